@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from tarnlight.llm.quality import op2
+from tarnlight.llm.token_counts import op6
+from tarnlight.llm.token_output import op1
 
 QUERIES = {
+    "op1_token_output_elias_fano": op1,
     "op2_quality_isolation_forest": op2,
+    "op6_token_counts_longest_match": op6,
 }
 
 #: DuckDB SQL for those that SQL can express.
