@@ -1,6 +1,6 @@
 """Array kernels over UTF-8 text: words, hashes and windows of many documents at once.
 
-A slice is about a megabyte of whole documents laid end to end, so the arrays
+A slice is about a quarter of a megabyte of whole documents laid end to end, so the arrays
 stay small however many rows an Arrow batch has. A single longer document is a
 slice of its own.
 """
@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Separators of `[^\x20\x09-\x0D]+` words.
 BLANK = np.zeros(256, bool)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tarnlight.llm.decontamination import op10
+from tarnlight.llm.jaccard import op9
 from tarnlight.llm.quality import op2
 from tarnlight.llm.token_counts import op6
 from tarnlight.llm.token_output import op1
@@ -10,6 +12,8 @@ QUERIES = {
     "op1_token_output_elias_fano": op1,
     "op2_quality_isolation_forest": op2,
     "op6_token_counts_longest_match": op6,
+    "op9_ngram_jaccard_join": op9,
+    "op10_benchmark_decontamination": op10,
 }
 
 #: DuckDB SQL for those that SQL can express.
