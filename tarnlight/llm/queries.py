@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from tarnlight.llm.decontamination import op10
 from tarnlight.llm.jaccard import op9
+from tarnlight.llm.mixing import op4
 from tarnlight.llm.quality import op2
 from tarnlight.llm.token_counts import op6
 from tarnlight.llm.token_output import op1
+from tarnlight.llm.url_filter import op7
 
 QUERIES = {
     "op1_token_output_elias_fano": op1,
     "op2_quality_isolation_forest": op2,
+    "op4_mixing_to_target_weights": op4,
     "op6_token_counts_longest_match": op6,
+    "op7_url_filter_boosted_trees": op7,
     "op9_ngram_jaccard_join": op9,
     "op10_benchmark_decontamination": op10,
 }
