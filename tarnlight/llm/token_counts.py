@@ -25,19 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.token_output import tokenizer_file
+from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
 END = 256
 _NONE = -1
 
 
-def byte_letters() -> dict[str, int]:
-    """The letter that stands for each byte in a byte-level vocabulary: printable bytes as they are, others from U+0100 on."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = [b for b in range(256) if b not in set(plain)]
-    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
-
-
 def vocabulary_symbols(path: str, word_end: str = "</w>") -> list[tuple[int, ...]]:
     """Vocabulary strings as symbols: bytes, and END for the mark of a word's end."""
     with open(path, encoding="utf-8") as f:

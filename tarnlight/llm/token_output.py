@@ -17,7 +17,9 @@ hash of their text; an empty table writes no blocks. Other columns are not read.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,21 +31,50 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnlight.llm.elias_fano import EliasFano
 from tarnlight.llm.store import Workspace
+from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 _HEAD = struct.Struct("<4sBBQq")
 _BLOCKS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 _DIGEST = "doc_id long, part int, seq int, start_in_block long, n_tokens long, ids_crc32 long"
-#: Distinct pieces between spaces whose ids a worker keeps.
-_MEMO = 400_000
+#: Distinct pieces between spaces, and distinct words, whose ids a worker keeps.
+_MEMO = 300_000
+#: The normalizer for which a plain piece can be cut into words before it is looked up.
+_NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+
+
+#: Pieces that are their own normal form but for case; within them the tokenizer's pattern finds these words.
+_PLAIN = re.compile("[\x21-\x7eÀ-ÖØ-öø-ÿ]+")
+_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
+class _WordIds(dict):
+    """Ids of the words that the tokenizer's pattern finds, from its model."""
+
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+        self.letter = {byte: letter for letter, byte in byte_letters().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = np.array([t.id for t in self.model.tokenize("".join([self.letter[b] for b in word.encode()]))], "<u4").tobytes()
+        if len(self) >= _MEMO:
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 class PieceIds(dict):
     """Ids, as little-endian uint32 bytes, of a text's pieces between spaces and newlines.
 
     The tokenizer drops white space and no token, normalisation or special
-    string crosses it, so a text's ids are those of its pieces joined.
+    string crosses it, so a text's ids are those of its pieces joined. A plain
+    piece is cut into words here and each word is looked up once; any other
+    piece goes through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -52,9 +83,14 @@ class PieceIds(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.words = _WordIds(self.tokenizer.model)
+        self.split = json.loads(self.tokenizer.to_str())["normalizer"] == _NORMALIZER
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.split and len(piece) <= 64 and "<|" not in piece and _PLAIN.fullmatch(piece):
+            ids = b"".join(map(self.words.__getitem__, _WORDS.findall(piece.lower())))
+        else:
+            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self) >= _MEMO:
                 self.clear()
@@ -67,6 +103,17 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
+_loaded: dict[str, PieceIds] = {}
+
+
+def piece_ids(path: str) -> PieceIds:
+    """One for each worker process and file."""
+    if path not in _loaded:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _loaded[path] = PieceIds(path)
+    return _loaded[path]
+
+
 def pack_block(doc_ids: list[int | None], docs: list[np.ndarray], width: int) -> bytes:
     """doc_ids ascending, nulls first; docs: the ids of each."""
     known = np.array([x for x in doc_ids if x is not None], np.int64)
@@ -101,8 +148,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     """Encodes each whole text, appends end_id and writes blocks in ascending doc_id order."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces, part, seq = PieceIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        pieces, part, seq = piece_ids(tokenizer_path), TaskContext.get().partitionId(), 0
         doc_ids, held, n = [], [], 0
 
         def block():
@@ -160,12 +206,6 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def tokenizer_file() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 def write_and_digest(docs: DataFrame) -> DataFrame:
     work = Workspace(docs.sparkSession, "tokens")
     write_tokens(docs, tokenizer_file(), work.path("blocks"))
