@@ -34,11 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.components import connected_components
-from tarnlight.llm.store import Workspace
+from tarnlight.llm.similarity import SimilarityJoin, binary_rows, small_enough
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -49,11 +48,6 @@ BATCH = 1 << 21
 #: Cost of verifying a chance candidate, in emitted signatures.
 VERIFY_COST = 20
 LARGEST_LIGHT = 48
-#: Lists of more sets than this are verified in blocks of about so many shingles.
-SMALL_LIST = 24
-BLOCK_SHINGLES = 1 << 19
-#: Ids, of those that need their sets again, that are broadcast at most: 8 bytes each. Beyond, texts are joined by shuffle.
-BROADCAST_IDS = 1 << 20
 
 
 def at_least(n, percent: int = PERCENT):
@@ -97,12 +91,6 @@ def node_names(n: np.ndarray, of: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """A binary column of equally long rows."""
-    n, width = rows.shape
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
 _SETS = "doc_id long, n long, node binary, shingle long, df long"
 
 
@@ -127,7 +115,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 held.clear()
         none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), _binary(node), none, none], names)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), binary_rows(node), none, none], names)
     if held:
         yield frequent()
 
@@ -188,23 +176,50 @@ def _size(column: str):
     return F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long")
 
 
-def _near_in_size(a: str, b: str, percent: int):
-    return F.least(_size(a), _size(b)) * 100 >= F.greatest(_size(a), _size(b)) * percent
-
-
 def links_between(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(a) + len(b) - len(np.union1d(a, b))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-class JaccardJoin:
+class JaccardJoin(SimilarityJoin):
     """One run of the join; ``components()`` is its result."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
+        super().__init__(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "jaccard")
         self.width, self.percent = width, percent
-        self.spark = docs.sparkSession
-        self.work = Workspace(self.spark, "jaccard")
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def near(self, a, b):
+        return F.least(_size(a), _size(b)) * 100 >= F.greatest(_size(a), _size(b)) * self.percent
+
+    def weight(self, node):
+        return _size(node)
+
+    def verifier(self):
+        percent = self.percent
+        return lambda x, y: links_between(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+
+    def scanner(self):
+        percent = self.percent
+
+        def block(names, data):
+            own = [np.frombuffer(x, np.uint64) for x in data]
+            sizes = np.array([len(x) for x in own])
+            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, of = flat[order], of[order]
+
+            def similar(_, bytes_):
+                """Scans the inverted lists of the set's shingles."""
+                x = np.frombuffer(bytes_, np.uint64)
+                lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+                shared = np.bincount(of[at], minlength=len(own))
+                return np.flatnonzero(100 * shared >= percent * (sizes + len(x) - shared))
+
+            return similar
+
+        return block
 
     def _order(self, seen: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
         """The most frequent shingles with their counts, and the others' chance of meeting."""
@@ -240,122 +255,35 @@ class JaccardJoin:
                             if len(seen) < 1_000_000:
                                 seen.add(name)
                     own = new[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), _binary(node[rows[own]])], ["sig", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), binary_rows(node[rows[own]])], ["sig", "node"])
 
         return self.docs.select("text").mapInArrow(emit, "sig long, node binary")
 
-    def _sets(self, ids: DataFrame) -> DataFrame:
-        """node, its shingles as bytes, for the documents in ids."""
+    def data(self, nodes):
+        """Shingles of each set as bytes."""
         width = self.width
+        ids = self.work.save(self.classes.join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "ids")
 
         def emit(batches):
             for batch in batches:
                 for lo, hi, of, h in shingle_sets(batch.column(0), width):
                     n = K.row_counts(of, hi - lo)
                     ends = np.cumsum(n)
-                    data = [h[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
-                    yield pa.RecordBatch.from_arrays([_binary(node_names(n, of, h)), pa.array(data, pa.binary())], ["node", "shingles"])
-
-        if ids.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        return self.docs.join(ids, "doc_id", "left_semi").select("text").mapInArrow(emit, "node binary, shingles binary").dropDuplicates(["node"])
-
-    def _verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs a, b whose sets are similar enough, as u, v."""
-        percent = self.percent
-
-        def check(batches):
-            for batch in batches:
-                a, b, x, y = batch.columns
-                yes = pa.array([links_between(np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64), percent) for p, q in zip(x, y, strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([a, b], ["u", "v"]).filter(yes)
-
-        first = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        both = first.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-        return both.select("a", "b", "x", "y").mapInArrow(check, "u binary, v binary")
-
-    def _across(self, lists: DataFrame, sets: DataFrame) -> DataFrame:
-        """Links between members of one list that are in different components. lists: sig, node, component."""
-        per = lists.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum(_size("node")).alias("shingles_in_list"))
-        mixed = self.work.save(lists.join(per.where("lo <> hi").drop("lo", "hi"), "sig"), "mixed")
-        small = mixed.where(F.col("members") <= SMALL_LIST).select("sig", "node", "component")
-        other = small.select("sig", F.col("node").alias("b"), F.col("component").alias("c"))
-        pairs = (
-            small.withColumnRenamed("node", "a").join(other, "sig")
-            .where((F.col("a") < F.col("b")) & (F.col("component") != F.col("c")) & _near_in_size("a", "b", self.percent)).select("a", "b").distinct()
-        )
-        return self._verified(pairs, sets).union(self._across_large(mixed.where(F.col("members") > SMALL_LIST), sets))
-
-    def _across_large(self, large: DataFrame, sets: DataFrame) -> DataFrame:
-        """Blocks of a list's members against blocks of those outside its largest component."""
-        percent = self.percent
-        share = large.groupBy("sig", "component").agg(F.count("*").alias("k"))
-        most = share.groupBy("sig").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
-        held = large.join(most, "sig").join(sets, "node").withColumn("blocks", F.ceil(F.col("shingles_in_list") / BLOCK_SHINGLES).cast("int"))
-        held = held.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        odd = F.col("component") != F.col("most")
-        every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        left = held.select("sig", F.col("block").alias("i"), every.alias("j"), F.lit(False).alias("odd"), "node", "component", "shingles")
-        right = held.where(odd).select("sig", every.alias("i"), F.col("block").alias("j"), F.lit(True).alias("odd"), "node", "component", "shingles")
-
-        def scan(rows: pd.DataFrame) -> pd.DataFrame:
-            all_rows, odd_rows = rows[~rows["odd"]], rows[rows["odd"]]
-            if not len(all_rows) or not len(odd_rows):
-                return pd.DataFrame({"u": [], "v": []})
-            own = [np.frombuffer(x, np.uint64) for x in all_rows["shingles"]]
-            sizes = np.array([len(x) for x in own])
-            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, of = flat[order], of[order]
-            names, comps = all_rows["node"].to_numpy(), all_rows["component"].to_numpy()
-            out, joined = [], {}  # a link is told only if it joins two components of this block
-
-            def root(c):
-                while c in joined:
-                    c = joined[c]
-                return c
-
-            for node, comp, data in zip(odd_rows["node"], odd_rows["component"], odd_rows["shingles"], strict=True):
-                x = np.frombuffer(data, np.uint64)
-                lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                shared = np.bincount(of[at], minlength=len(own))
-                for k in np.flatnonzero(100 * shared >= percent * (sizes + len(x) - shared)):
-                    p, q = root(comp), root(comps[k])
-                    if p != q:
-                        joined[p] = q
-                        out.append((node, names[k]))
-            return pd.DataFrame(out, columns=["u", "v"])
+                    sets = [h[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+                    yield pa.RecordBatch.from_arrays([binary_rows(node_names(n, of, h)), pa.array(sets, pa.binary())], ["node", "data"])
 
-        return left.union(right).groupBy("sig", "i", "j").applyInPandas(scan, "u binary, v binary")
+        return self.docs.join(small_enough(ids), "doc_id", "left_semi").select("text").mapInArrow(emit, "node binary, data binary").dropDuplicates(["node"])
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
         work = self.work
         seen = work.save(self.docs.select("doc_id", "text").mapInArrow(_describe, _SETS), "seen")
         rows = seen.where("n is not null").select("doc_id", "n", "node")
-        classes = work.save(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+        classes = self.classes = work.save(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
         sizes = classes.where(_size("node") <= LARGEST_LIGHT).groupBy(_size("node").alias("n")).count().collect()
         shingles, df, chance = self._order(seen)
         maker = Signatures(shingles, df, light_boundary([tuple(x) for x in sizes], chance, self.percent), self.percent)
-        by = Window.partitionBy("sig").orderBy("node")
-        lists = self._signatures(maker).select("sig", "node", F.first("node").over(by).alias("pivot"), F.lag("node").over(by).alias("before"))
-        lists = work.save(lists.where("node <> pivot and node <> before").select("sig", "node", "pivot"), "lists")
-
-        wanted = lists.select("node").union(lists.select("pivot")).distinct()
-        ids = work.save(classes.join(wanted, "node").select(F.col("rep").alias("doc_id")).where("doc_id is not null"), "ids")
-        sets = work.save(self._sets(ids), "sets")
-        pairs = lists.where(_near_in_size("node", "pivot", self.percent)).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = work.save(self._verified(pairs, sets), "found")
-        stars = connected_components(found, work, "stars")
-
-        many = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-        marked = lists.join(many, "sig").select("sig", "node").join(stars, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        late = work.save(self._across(marked, sets), "late")
-        whole = connected_components(found.union(late), work, "whole")
-        for label in ("lists", "sets", "mixed"):
-            work.drop(label)
+        whole = self.groups(self._signatures(maker))
 
         named = classes.join(whole, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

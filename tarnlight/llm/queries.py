@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from tarnlight.llm.decontamination import op10
+from tarnlight.llm.fuzzy_lines import op3
 from tarnlight.llm.jaccard import op9
+from tarnlight.llm.license_scan import op5
 from tarnlight.llm.mixing import op4
+from tarnlight.llm.pii import op8
 from tarnlight.llm.quality import op2
 from tarnlight.llm.token_counts import op6
 from tarnlight.llm.token_output import op1
@@ -13,9 +16,12 @@ from tarnlight.llm.url_filter import op7
 QUERIES = {
     "op1_token_output_elias_fano": op1,
     "op2_quality_isolation_forest": op2,
+    "op3_fuzzy_line_dedup": op3,
     "op4_mixing_to_target_weights": op4,
+    "op5_license_scan_rare_tokens": op5,
     "op6_token_counts_longest_match": op6,
     "op7_url_filter_boosted_trees": op7,
+    "op8_pii_weak_supervision": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_benchmark_decontamination": op10,
 }
