@@ -54,7 +54,7 @@ def terms(c: Column, limit: int | None = None) -> Column:
 def breadcrumb_tail(categories: Column) -> Column:
     """The last two parts, split at commas, that are not generic; "clothing item" if there are none."""
     parts = F.flatten(F.transform(categories, lambda c: F.split(c, ",")))
-    parts = F.filter(F.transform(parts, F.trim), lambda p: (p != "") & ~F.lower(p).isin(*X.GENERIC_BREADCRUMBS))
+    parts = F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: (p != "") & ~F.lower(p).isin(*X.GENERIC_BREADCRUMBS))
     parts = F.coalesce(parts, F.array().cast("array<string>"))
     last = F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), 2)
     return F.when(F.size(parts) == 0, X.DEFAULT_SHELF).otherwise(F.array_join(last, " "))
