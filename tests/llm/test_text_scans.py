@@ -1,0 +1,175 @@
+"""Fuzzy lines, licences, token counts, URLs and personal data."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from conftest import DATA
+from pyspark.sql import functions as F
+
+from tarnlight.llm import license_scan as L
+from tarnlight.llm.fuzzy_lines import LineJoin, drop_repeated_lines, edit_distance, line_table, op3, similar_lines
+from tarnlight.llm.pii import KINDS, base_spans, candidates, estimate, find_spans, luhn, op8
+from tarnlight.llm.token_counts import END, LongestMatch, count_pieces, op6, token_counts
+from tarnlight.llm.url_filter import BoostedTrees, judge_urls
+from tarnlight.llm.vocabulary import tokenizer_file
+
+LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def test_edit_distance():
+    def slow(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            now = [i + 1]
+            for j, y in enumerate(b):
+                now.append(min(row[j] + (x != y), row[j + 1] + 1, now[-1] + 1))
+            row = now
+        return row[-1]
+
+    r = random.Random(3)
+    for _ in range(800):
+        a, b = ("".join(r.choice("abé") for _ in range(r.randint(0, 14))) for _ in range(2))
+        assert edit_distance(a, b) == slow(a, b)
+
+
+def test_fuzzy_lines(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    long = "several words that make one long line so that a single changed letter hardly moves any bit of its hash at all today"
+    docs += [(1000, f"{long}\nx"), (1001, f"y\n{long.replace('hardly', 'hardlY!')}"), (1002, f"{long.replace('bit', 'bits')}")]
+    items = defaultdict(list)
+    for k, text in docs:
+        for i, line in enumerate(text.split("\n")):
+            w = ALNUM.findall(line.translate(LOW))
+            if w:
+                items[" ".join(w)].append((k, i))
+    forms = [f for f in items if f.count(" ") >= 4]
+    sims = np.array([int.from_bytes(next(line_table(pa.array([f])))[3][0][:8].tobytes()) for f in forms], np.uint64)
+    up = {f: f for f in items}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, f in enumerate(forms):
+        for j in np.flatnonzero(np.bitwise_count(sims[i + 1 :] ^ sims[i]) <= 3) + i + 1:
+            if similar_lines(f.encode(), forms[j].encode()):
+                up[root(f)] = root(forms[j])
+    groups = defaultdict(list)
+    for f, places in items.items():
+        groups[root(f)] += places
+    got = LineJoin(spark.createDataFrame(docs, "doc_id long, text string")).lines()
+    assert {(r.doc_id, r.line) for r in got.where("kept").collect()} == {min(g) for g in groups.values()}
+    assert got.count() == sum(map(len, items.values()))
+
+
+def test_fuzzy_line_edges(spark, docs, none):
+    out = {r.doc_id: r.text for r in drop_repeated_lines(docs).collect()}
+    assert out[5] == docs.where("doc_id = 5").first().text and out[6] == "" and out[1] == "" and out[0] is None
+    assert drop_repeated_lines(none).count() == 0 and LineJoin(none).lines().count() == 0
+
+
+def test_licenses(spark, docs, none):
+    texts = [
+        (1, "Foo. MIT License\n\n" + L.TEMPLATES[0][1].upper() + " x apache license, Apache-License"), (2, None), (3, ""), (4, "General  Public\nLICENSE v3, the mit licenses"),
+        (5, " ".join(L.TEMPLATES[4][1].split()[::-1])), (6, "Licensed under CC BY-NC 4.0."), (7, "permission granted free of charge"),
+    ]
+    held = spark.createDataFrame(texts, "doc_id long, text string").withColumn("licenses", F.lit(1))
+    got = {r.doc_id: r.licenses for r in L.scan_licenses(held).collect()}
+
+    def base(text):
+        w = ALNUM.findall((text or "").translate(LOW))
+        places = [(i, label) for phrase, label in L.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        return len(w), len(places), min(places)[0] if places else None, max(places)[0] if places else None, ",".join(sorted({p[1] for p in places}))
+
+    for k, text in texts:
+        assert tuple(got[k])[:5] == base(text)
+    assert "mit" in got[1].labels.split(",") and got[6].labels == "cc-by-nc" and got[5].labels == got[7].labels == got[2].labels == ""
+    assert got[4].labels == "gpl" and got[4].score >= 0.5
+    assert L.scan_licenses(docs).count() == docs.count() and L.scan_licenses(none).count() == 0
+
+
+def greedy(word, tokens):
+    s, n, i = (*word, END), 0, 0
+    while i < len(s):
+        i = next((j for j in range(len(s), i, -1) if s[i:j] in tokens), i + 1)
+        n += 1
+    return n
+
+
+def test_longest_match():
+    for seed in range(150):
+        r = random.Random(seed)
+        tokens = {tuple(r.choice(b"abc") for _ in range(r.randint(1, 4))) + ((END,) if r.random() < 0.3 else ()) for _ in range(r.randint(1, 9))}
+        words = [bytes(r.choice(b"abc") for _ in range(r.randint(1, 9))) for _ in range(20)]
+        ends = np.cumsum([len(w) for w in words])
+        got = LongestMatch(sorted(tokens)).count(np.frombuffer(b"".join(words), np.uint8), ends - [len(w) for w in words], ends)
+        assert got.tolist() == [greedy(w, tokens) for w in words]
+
+
+def test_token_counts(spark, docs, none):
+    rows = {r.doc_id: r for r in op6(spark, DATA).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert {k: r.n_words for k, r in rows.items()} == {k: len(re.findall("[^\x20\x09-\x0d]+", t)) for k, t in texts.items()}
+    assert all(r.n_pieces >= r.n_words for r in rows.values())
+    words, pieces = count_pieces(pa.array([None, "", "a  b"]), LongestMatch([(97, END), (98,)]))
+    assert words.tolist() == [0, 0, 2] and pieces.tolist() == [0, 0, 3]
+    assert token_counts(docs, tokenizer_file()).count() == docs.count() and token_counts(none, tokenizer_file()).count() == 0
+
+
+def test_urls(spark):
+    urls = [None, "none", "http://WWW.Example.COM/en/75?q", "https://a.example.com/en/8#x", "x://com", "ftp://q.net/de/9", "http://example.net/de/80", "http://examplenet/de/8", "u://a.org/es/", "http://b.org/ES/", "http://c.com"]
+    got = {r.page_id: r for r in judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert [(got[k].host, got[k].path) for k in (0, 1, 2, 4, 10)] == [("", ""), ("", ""), ("www.example.com", "/en/75"), ("com", ""), ("c.com", "")]
+    assert [got[k].rule for k in range(11)] == [None, None, "example.com/en/7", "com/en/", None, "net/de/", "example.net/de/8", None, "org/es/", None, None]
+    assert [got[k].verdict for k in (2, 3, 5, 6, 8)] == ["allow", "block", "allow", "block", "block"]
+    assert judge_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    alone = judge_urls(spark.createDataFrame([(1, "http://x.io/")], "page_id long, url string")).first()
+    assert alone.verdict == "allow"
+
+
+def test_boosted_trees():
+    r = np.random.default_rng(0)
+    x = r.random((600, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = BoostedTrees.fit(x[:400], y[:400])
+    assert ((model.predict(x[400:]) > 0) == y[400:]).mean() > 0.9
+
+
+def slow_spans(t):
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(2, *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+def test_base_spans():
+    r = random.Random(5)
+    for _ in range(20000):
+        t = "".join(r.choice(["a", "@", ".", "b", "1", "23", ".", "+", "-", " ", "(", ")", "_", "4111111111111111", "x@y.z", "10.0.0.", "é", "%"]) for _ in range(r.randint(0, 14)))
+        assert base_spans(t) == slow_spans(t), t
+
+
+def test_spans(spark, docs, none):
+    rows = {r.doc_id: r for r in op8(spark, DATA).collect()}
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    for k, t in texts.items():
+        base = slow_spans(t)
+        told = ",".join(f"{KINDS[c]}:{a}:{b}" for c, a, b in base)
+        assert rows[k].base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(rows[k].spans.split(",")) and rows[k].n_email == sum(c == 0 for c, *_ in base)
+    assert find_spans(docs).count() == docs.count() and find_spans(none).count() == 0
+
+
+def test_weak_supervision():
+    post = estimate({(3, "++00+"): 500, (3, "0-0--"): 300, (3, "0++++"): 40, (3, "0-0-+"): 60})
+    assert post[3, "++00+"] > 0.9 and post[3, "0-0--"] < 0.1
+    assert [KINDS[c[0]] for c in candidates('call (555) 123-4567, token = "a1b2c3d4e5f6a7b8" or bob at mail dot com')] == ["email", "phone", "secret"]
+    assert pytest.approx(sum(post.values()), abs=4) == 2
