@@ -96,7 +96,7 @@ class Mix:
         starts = sums.select("s", "chunk", (F.sum("words").over(Window.partitionBy("s").orderBy("chunk")) - F.col("words")).alias("chunk_start"))
         within = Window.partitionBy("s", "chunk").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
         own = named.withColumn("own", F.sum("size").over(within) - F.col("size"))
-        return own.join(starts, ["s", "chunk"]).withColumn("start", F.col("chunk_start") + F.col("own")).drop("chunk", "own", "chunk_start")
+        return own.join(starts.hint("merge"), ["s", "chunk"]).withColumn("start", F.col("chunk_start") + F.col("own")).drop("chunk", "own", "chunk_start")
 
     def _slots(self) -> DataFrame:
         """The output: shard, place (within it), s, block, pass of every slot."""
@@ -122,8 +122,9 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every row of docs."""
+        # Generated rows escape the optimizer's estimates, so joins of them say that they are shuffled.
         times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
-        got = self.pieces().join(times, ["s", "block"], "left").withColumn("got", F.col("words") * F.coalesce("times", F.lit(0)))
+        got = self.pieces().join(times.hint("merge"), ["s", "block"], "left").withColumn("got", F.col("words") * F.coalesce("times", F.lit(0)))
         key = ["doc_id", "size", "source_size", "target"]
         some = got.groupBy("s", "start", *key).agg(F.sum("got").alias("taken")).select(*key, "taken")
         return some.union(self.rows.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken")))
@@ -140,11 +141,11 @@ def mixed_documents(docs: DataFrame, block_words: int) -> DataFrame:
     once = docs.dropDuplicates(["doc_id", "source", "text"])
     mix = Mix(once, block_words)
     runs = F.sort_array(F.collect_list(F.struct("first", "words")))  # a document's blocks
-    got = mix.pieces().join(mix.slots.select("s", "block", "pass"), ["s", "block"])
+    got = mix.pieces().join(mix.slots.select("s", "block", "pass").hint("merge"), ["s", "block"])
     got = got.groupBy("doc_id", "tie", "s", "start", "size", "pass").agg(runs.alias("__runs"), F.sum("words").alias("__words"))
     got = got.join(mix.sources.select("s", F.col("source").alias("__source")), "s")
     got = got.select(F.col("doc_id").alias("__id"), F.col("tie").alias("__t"), "__source", "__runs", (F.col("__words") == F.col("size")).alias("__whole"))
-    rows = own.join(got, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")) & F.col("source").eqNullSafe(F.col("__source")))
+    rows = own.join(got.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__tie") == F.col("__t")) & F.col("source").eqNullSafe(F.col("__source")))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     cut = F.array_join(F.transform("__runs", lambda r: F.array_join(F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")), " ")), " ")
     rows = rows.withColumn("text", F.when(F.col("__whole"), F.col("text")).otherwise(cut))
