@@ -19,7 +19,7 @@ through ``drop_leaks``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -189,20 +189,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return docs.sparkSession.createDataFrame([], _LEAKS) if out is None else out
 
 
+def _leaks(index) -> Callable:
+    """A column function: whether a text holds a window of the (broadcast) index."""
+    @F.pandas_udf("boolean")
+    def leaks(text: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), bool)
+        for lo, _, data, at in K.text_slices(pa.array(text, pa.string(), from_pandas=True)):
+            for r, *_ in index.value.scan(data, at):
+                out[lo + r] = True
+        return pd.Series(out)
+
+    return leaks
+
+
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window is found."""
     for items in benchmark_blocks(benchmark):
-        index = docs.sparkSession.sparkContext.broadcast(LeakIndex(items))
-
-        @F.pandas_udf("boolean")
-        def leaks(text: pd.Series, index=index) -> pd.Series:
-            out = np.zeros(len(text), bool)
-            for lo, _, data, at in K.text_slices(pa.array(text, pa.string(), from_pandas=True)):
-                for r, *_ in index.value.scan(data, at):
-                    out[lo + r] = True
-            return pd.Series(out)
-
-        docs = docs.where(~leaks("text"))
+        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(LeakIndex(items)))("text"))
     return docs
 
 
