@@ -2,8 +2,8 @@
 
 A line is normalised to its words (runs of letters and digits, A-Z
 lower-cased) with one space between. Lines of equal normal form are one class.
-Classes of MIN_WORDS words or more link when their 64-bit SimHashes over words
-differ in at most FLIPS bits and their edit distance is at most a tenth of the
+Classes of MIN_WORDS words or more link when their 64-bit SimHashes over words,
+weighted by length so that function words do not make all lines alike, differ in at most FLIPS bits and their edit distance is at most a tenth of the
 longer one. With the bits cut into FLIPS + 2 blocks, such a pair agrees on two
 whole blocks, so classes meet on every pair of blocks. Of each connected group
 only the first occurrence (smallest id, then line) stays.
@@ -46,9 +46,10 @@ def line_table(texts: pa.Array):
         new[1:] = (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(starts)))
+        weight = np.maximum(ends - starts - 2, 0).astype(np.int32) + 1
         bits = np.unpackbits(K.mix(h).view(np.uint8).reshape(-1, 8), axis=1)
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        sim = np.packbits(2 * ones > n[:, None], axis=1)
+        ones = np.add.reduceat(bits * weight[:, None], first, axis=0, dtype=np.int64)
+        sim = np.packbits(2 * ones > np.add.reduceat(weight, first)[:, None], axis=1)
         ordered = np.add.reduceat(K.mix(h + (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
         name = np.concatenate([sim, K.mix(ordered ^ n.astype(np.uint64)).view(np.uint8).reshape(-1, 8)], axis=1)
         raw = low.tobytes()
