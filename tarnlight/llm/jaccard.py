@@ -94,7 +94,7 @@ def node_names(n: np.ndarray, of: np.ndarray, h: np.ndarray) -> np.ndarray:
 _SETS = "doc_id long, n long, node binary, shingle long, df long"
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """doc_id, n and node of each row; besides, shingle and df for shingles found in several documents of a batch."""
     names = ["doc_id", "n", "node", "shingle", "df"]
     held: list[np.ndarray] = []
@@ -107,7 +107,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         n, node = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 16), np.uint8)
-        for lo, hi, of, h in shingle_sets(batch.column(1)):
+        for lo, hi, of, h in shingle_sets(batch.column(1), width):
             n[lo:hi] = K.row_counts(of, hi - lo)
             node[lo:hi] = node_names(n[lo:hi], of, h)
             held.append(h)
@@ -176,6 +176,17 @@ def _size(column: str):
     return F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long")
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The high 40 bits of sorted hashes: what sets are compared by. Two shingles agree by chance once in 2**40."""
+    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view(">u8").ravel().astype(np.uint64)
+
+
 def links_between(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     shared = len(a) + len(b) - len(np.union1d(a, b))
     return 100 * shared >= percent * (len(a) + len(b) - shared)
@@ -196,13 +207,13 @@ class JaccardJoin(SimilarityJoin):
 
     def verifier(self):
         percent = self.percent
-        return lambda x, y: links_between(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent)
+        return lambda x, y: links_between(unpacked(x), unpacked(y), percent)
 
     def scanner(self):
         percent = self.percent
 
         def block(names, data):
-            own = [np.frombuffer(x, np.uint64) for x in data]
+            own = [unpacked(x) for x in data]
             sizes = np.array([len(x) for x in own])
             flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
             order = np.argsort(flat, kind="stable")
@@ -210,7 +221,7 @@ class JaccardJoin(SimilarityJoin):
 
             def similar(_, bytes_):
                 """Scans the inverted lists of the set's shingles."""
-                x = np.frombuffer(bytes_, np.uint64)
+                x = unpacked(bytes_)
                 lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
                 n = hi - lo
                 at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -260,7 +271,7 @@ class JaccardJoin(SimilarityJoin):
         return self.docs.select("text").mapInArrow(emit, "sig long, node binary")
 
     def data(self, nodes):
-        """Shingles of each set as bytes."""
+        """Shingles of each set, packed."""
         width = self.width
         ids = self.work.save(self.classes.join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "ids")
 
@@ -269,17 +280,19 @@ class JaccardJoin(SimilarityJoin):
                 for lo, hi, of, h in shingle_sets(batch.column(0), width):
                     n = K.row_counts(of, hi - lo)
                     ends = np.cumsum(n)
-                    sets = [h[e - k : e].tobytes() for e, k in zip(ends, n, strict=True)]
+                    sets = [packed(h[e - k : e]) for e, k in zip(ends, n, strict=True)]
                     yield pa.RecordBatch.from_arrays([binary_rows(node_names(n, of, h)), pa.array(sets, pa.binary())], ["node", "data"])
 
-        return self.docs.join(small_enough(ids), "doc_id", "left_semi").select("text").mapInArrow(emit, "node binary, data binary").dropDuplicates(["node"])
+        found = self.docs.join(small_enough(ids), "doc_id", "left_semi").select("text").mapInArrow(emit, "node binary, data binary")
+        return found.dropDuplicates(["node"]) if self.ids_repeat else found
 
     def components(self) -> DataFrame:
         """doc_id, n_shingles, component_id of every row."""
-        work = self.work
-        seen = work.save(self.docs.select("doc_id", "text").mapInArrow(_describe, _SETS), "seen")
+        work, width = self.work, self.width
+        seen = work.save(self.docs.select("doc_id", "text").mapInArrow(lambda batches: _describe(batches, width), _SETS), "seen")
         rows = seen.where("n is not null").select("doc_id", "n", "node")
         classes = self.classes = work.save(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
+        self.ids_repeat = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
         sizes = classes.where(_size("node") <= LARGEST_LIGHT).groupBy(_size("node").alias("n")).count().collect()
         shingles, df, chance = self._order(seen)
         maker = Signatures(shingles, df, light_boundary([tuple(x) for x in sizes], chance, self.percent), self.percent)

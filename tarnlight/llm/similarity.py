@@ -23,6 +23,8 @@ from tarnlight.llm.store import Workspace
 
 #: Longest list that is verified pair by pair.
 SMALL_LIST = 24
+#: Turns in which each node of a list with several components is verified against a few more before all that are left are, and how many.
+TURNS, DRAWS = 2, 3
 #: Size (as ``weight`` counts it) of a block of a longer list.
 BLOCK_WEIGHT = 1 << 19
 #: Ids, of the rows whose items are needed again, that are broadcast at most: 8 bytes each. Beyond, rows are joined by shuffle.
@@ -81,12 +83,24 @@ class SimilarityJoin(ABC):
         both = first.join(data.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(check, "u binary, v binary")
 
-    def _across(self, lists: DataFrame, data: DataFrame) -> DataFrame:
-        """Links between members of one list that are in different components. lists: sig, node, component."""
-        per = lists.groupBy("sig").agg(
+    def _mixed(self, lists: DataFrame, components: DataFrame, label: str) -> DataFrame:
+        """sig, node, component, members, size: the members, but the pivot, of lists that still hold several components."""
+        named = lists.select("sig", "node").join(components, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+        per = named.groupBy("sig").agg(
             F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("members"), F.sum(self.weight("node")).alias("size"),
         )
-        mixed = self.work.save(lists.join(per.where("lo <> hi").drop("lo", "hi"), "sig"), "mixed")
+        return self.work.save(named.join(per.where("lo <> hi").drop("lo", "hi"), "sig"), label)
+
+    def _few_each(self, mixed: DataFrame, turn: int) -> DataFrame:
+        """Each node of a mixed list with DRAWS others of other components at most, from the pivots that this turn draws for its lists."""
+        drawn = lambda k, c: F.xxhash64(F.lit(turn), k, c)
+        pivots = mixed.groupBy("sig").agg(F.array(*(F.struct(F.lit(k).alias("k"), F.min_by(F.struct("node", "component"), drawn(F.lit(k), "node")).alias("p")) for k in range(DRAWS))).alias("ps"))
+        pairs = mixed.join(pivots.select("sig", F.explode("ps").alias("d")), "sig").where(F.col("component") != F.col("d.p.component"))
+        pairs = pairs.select(F.col("node").alias("a"), F.col("d.p.node").alias("b"), F.col("d.k").alias("k")).where(self.near("a", "b"))
+        return pairs.groupBy("a", "k").agg(F.min_by("b", drawn(F.col("k"), "b")).alias("b")).select("a", "b").distinct()
+
+    def _across(self, mixed: DataFrame, data: DataFrame) -> DataFrame:
+        """Links between members of one list that are in different components."""
         small = mixed.where(F.col("members") <= SMALL_LIST).select("sig", "node", "component")
         other = small.select("sig", F.col("node").alias("b"), F.col("component").alias("c"))
         pairs = (
@@ -134,14 +148,24 @@ class SimilarityJoin(ABC):
         by = Window.partitionBy("sig").orderBy("node")
         lists = signatures.select("sig", "node", F.first("node").over(by).alias("pivot"), F.lag("node").over(by).alias("before"))
         lists = work.save(lists.where("node <> pivot and node <> before").select("sig", "node", "pivot"), "lists")
-        data = work.save(self.data(lists.select("node").union(lists.select("pivot")).distinct()), "data")
-        pairs = lists.where(self.near("node", "pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        work.settle()
+        pairs = work.save(lists.where(self.near("node", "pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
+        data = work.save(self.data(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "data")
+        work.settle()
         found = work.save(self._verified(pairs, data), "found")
-        stars = connected_components(found, work, "stars")
-        many = lists.groupBy("sig").agg(F.count("*").alias("k")).where("k > 1").select("sig")
-        marked = lists.join(many, "sig").select("sig", "node").join(stars, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
-        late = work.save(self._across(marked, data), "late")
+        work.drop("data")
+        work.settle()
+        parts = connected_components(found, work, "stars")
+        mixed = self._mixed(lists, parts, "mixed")
+        data = work.save(self.data(mixed.select("node").distinct()), "more")
+        for turn in range(1, TURNS + 1):
+            found = found.union(work.save(self._verified(self._few_each(mixed, turn), data), f"found-{turn}"))
+            parts = connected_components(found, work, f"stars-{turn}")
+            mixed = self._mixed(lists, parts, f"mixed-{turn}")
+            work.settle()
+        late = work.save(self._across(mixed, data), "late")
+        work.settle()
         whole = connected_components(found.union(late), work, "whole")
-        for label in ("lists", "data", "mixed"):
+        for label in ("lists", "pairs", "mixed", "more", *(f"mixed-{turn}" for turn in range(1, TURNS + 1))):
             work.drop(label)
         return whole

@@ -6,6 +6,7 @@ The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,11 @@ class Workspace:
         df.write.mode("overwrite").parquet(self.path(label))
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
+    def settle(self) -> None:
+        """Lets Spark delete the shuffle files of plans that are done: it does so once their objects are collected."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, label: str) -> None:
         """Frees the disk of a table that no later plan reads."""
         jvm = self.spark._jvm
