@@ -180,10 +180,10 @@ def shelf_jaccard(spark, d):
     return shelf.resolve_jaccard(q, shelf.shelves(items, "shelf", "item")).select("sid", "phrase", "shelf", *rounded("jaccard"))
 
 
-@query("WITH " + PART_SQL + "SELECT item, shelf FROM items WHERE shelf IN (SELECT shelf FROM known WHERE first_item % 2 = 0)")
+@query("WITH " + PART_SQL + "SELECT item, shelf FROM items WHERE shelf IN (SELECT shelf FROM known WHERE contains(shelf, 'ring'))")
 def shelf_members(spark, d):
     items = _items(spark, d)
-    return shelf.members(items, "shelf", shelf.shelves(items, "shelf", "item").where("first_item % 2 = 0")).select("item", "shelf")
+    return shelf.members(items, "shelf", shelf.shelves(items, "shelf", "item").where(F.contains("shelf", F.lit("ring")))).select("item", "shelf")
 
 
 # ---------------------------------------------------------------- text scalars
