@@ -29,6 +29,8 @@ _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _BYTES = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _powers = {}
+#: Large caches of other operators in this worker process; a scan frees them.
+CACHES: list[dict] = []
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -53,6 +55,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def text_slices(texts: pa.Array, target: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets of the rows in them); a null text is empty."""
+    for cache in CACHES:
+        cache.clear()
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     if not n:

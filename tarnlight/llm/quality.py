@@ -221,18 +221,17 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 def quality_rules(docs: DataFrame, model: QualityModel) -> DataFrame:
     """All rows and columns of docs, with a struct ``quality_rules``: COUNTS, base_failed, score, kept."""
 
-    @F.pandas_udf(T.DoubleType())
-    def anomaly(stats: pd.DataFrame) -> pd.Series:
-        return pd.Series(model.score({c: stats[c].to_numpy() for c in COUNTS}))
+    @F.pandas_udf(T.StructType([*_STATS.fields, T.StructField("score", T.DoubleType(), False)]))
+    def judged(text: pd.Series) -> pd.DataFrame:
+        """Counts and score in one function, so a task needs one Python worker."""
+        counts = count_rules(pa.array(text, pa.string(), from_pandas=True))
+        return pd.DataFrame(counts | {"score": model.score(counts)})
 
     s = "__rules"
-    out = docs.withColumn(s, rule_statistics("text"))
     failed = base_failed(F.col(f"{s}.n_words"), F.col(f"{s}.n_repeat_words"))
-    out = out.withColumn("__anomaly", anomaly(F.col(s)))
-    return out.withColumn("quality_rules", F.struct(
-        f"{s}.*", failed.alias("base_failed"), F.col("__anomaly").alias("score"),
-        (~failed & (F.col("__anomaly") < model.threshold)).alias("kept"),
-    )).drop(s, "__anomaly")
+    return docs.withColumn(s, judged("text")).withColumn("quality_rules", F.struct(
+        *(f"{s}.{c}" for c in COUNTS), failed.alias("base_failed"), f"{s}.score", (~failed & (F.col(f"{s}.score") < model.threshold)).alias("kept"),
+    )).drop(s)
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnlight.llm.elias_fano import EliasFano
+from tarnlight.llm.kernels import CACHES
 from tarnlight.llm.store import Workspace
 from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
@@ -104,6 +105,7 @@ class PieceIds(dict):
 
 
 _loaded: dict[str, PieceIds] = {}
+CACHES.append(_loaded)
 
 
 def piece_ids(path: str) -> PieceIds:
