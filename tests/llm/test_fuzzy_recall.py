@@ -1,0 +1,27 @@
+"""Fuzzy lines against plain edit distance, without a filter."""
+
+import random
+
+from tarnlight.llm.fuzzy_lines import LineJoin, similar_lines
+
+
+def edited(r, line, n):
+    out = [*line]
+    for _ in range(n):
+        i, kind = r.randrange(len(out)), r.random()
+        out[i : i + 1] = [] if kind < 0.25 else [r.choice("abcdefgh")] if kind < 0.75 else [out[i], r.choice("abcdefgh")]
+    return " ".join("".join(out).split())
+
+
+def test_recall(spark):
+    r = random.Random(2)
+    pairs = []
+    while len(pairs) < 240:
+        line = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range((8, 16, 40)[len(pairs) % 3]))
+        other = edited(r, line, max(1, int((0, 0.03, 0.06)[len(pairs) // 3 % 3] * len(line))))
+        if other != line and similar_lines(line.encode(), other.encode()):
+            pairs.append((line, other))
+    docs = spark.createDataFrame([(2 * k + i, line) for k, p in enumerate(pairs) for i, line in enumerate(p)], "doc_id long, text string")
+    gone = {row.doc_id for row in LineJoin(docs).lines().where("not kept").collect()}
+    assert not any(k % 2 == 0 for k in gone)
+    assert len(gone) >= 0.95 * len(pairs)
