@@ -2,7 +2,11 @@
 
 Text and benchmark are compared as bytes with A-Z lower-cased and runs of white
 space made one space. A benchmark item is taken whole up to WINDOW bytes, and
-else as overlapping windows of that length. A window of m bytes within k edits
+else as overlapping windows of that length. Besides, items longer than PART
+bytes are cut to windows of PART bytes at every PART_STEP-th byte, so a verbatim
+passage of PART + PART_STEP - 1 bytes holds one whole wherever it starts; these
+tell a leak only of an item that no window of the first kind finds in the text.
+Shorter passages of a longer item may be missed. A window of m bytes within k edits
 of some region of a text shares at least m - q + 1 - k q of its q-grams with it,
 all on diagonals that lie within k of each other. So the q-grams that text and
 window share are counted in overlapping diagonal bands, bands that meet the
@@ -31,6 +35,7 @@ from tarnlight.llm import kernels as K
 Q = 12
 WINDOW = 200
 STEP = 100
+PART, PART_STEP = 100, 25
 MIN_BYTES = 40
 #: Edits allowed, as a share of a window's bytes.
 EDITS = 0.06
@@ -85,7 +90,7 @@ class LeakIndex:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
         self.q = q
-        self.items, self.patterns = [], []
+        self.items, self.patterns, self.part = [], [], []
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body, _, _ = normalised(raw, np.array([0, len(raw)]))
@@ -96,6 +101,12 @@ class LeakIndex:
             for a in sorted({*range(0, last, STEP), last}):
                 self.items.append(item)
                 self.patterns.append(body[a : a + WINDOW])
+                self.part.append(False)
+            last = len(body) - PART
+            for a in sorted({*range(0, last, PART_STEP), last}) if last > 0 else ():
+                self.items.append(item)
+                self.patterns.append(body[a : a + PART])
+                self.part.append(True)
         self.length = np.array([len(p) for p in self.patterns], np.int64)
         self.budget = (self.length * edits).astype(np.int64)
         self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
@@ -148,10 +159,10 @@ class LeakIndex:
 
 
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size."""
+    """Items in blocks of bounded size; a byte is in WINDOW / STEP + PART / PART_STEP windows."""
     block, n = [], 0
     for item, text in benchmark.select("item_id", "text").toLocalIterator():
-        size = 2 * len((text or "").encode())
+        size = (WINDOW // STEP + PART // PART_STEP) * len((text or "").encode())
         if block and n + size > BLOCK_GRAMS:
             yield block
             block, n = [], 0
@@ -176,11 +187,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, _, data, at in K.text_slices(batch.column(1)):
                     best: dict = {}
                     for r, w, start, end, edits in index.value.scan(data, at):
-                        key, found = (lo + r, index.value.items[w]), (start - int(at[r]), end - int(at[r]), edits)
+                        key, found = (lo + r, index.value.items[w]), (index.value.part[w], start - int(at[r]), end - int(at[r]), edits)
                         old = best.get(key, found)
-                        best[key] = (*min(old[:2], found[:2]), min(old[2], edits))
+                        if old[0] != found[0]:
+                            best[key] = min(old, found)  # windows of the first kind go before parts
+                        else:
+                            best[key] = (*min(old[:3], found[:3]), min(old[3], edits))
                     yield pa.RecordBatch.from_pylist(
-                        [{"doc_id": ids[r].as_py(), "item_id": item, "start": a, "end": b, "edits": e} for (r, item), (a, b, e) in best.items()],
+                        [{"doc_id": ids[r].as_py(), "item_id": item, "start": a, "end": b, "edits": e} for (r, item), (_, a, b, e) in best.items()],
                         schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start", "end", "edits")]),
                     )
 

@@ -49,3 +49,12 @@ def test_leaks(spark, bench, docs, none):
     assert kept == {k for k, _ in rows} - {k for k, _ in got}
     assert find_leaks(docs, benchmark).count() == 0 and drop_leaks(docs, benchmark).count() == docs.count() and find_leaks(none, benchmark).count() == 0
     assert find_leaks(docs, benchmark.limit(0)).count() == 0
+
+
+def test_partial_passages(spark, bench):
+    benchmark, texts = bench
+    item = texts[2]
+    passages = [item[a : a + 124] for a in range(0, len(item) - 124, 7)] + [item[30:280], item[-124:], texts[1][50:174]]
+    held = spark.createDataFrame([(k, f"qq {p} zz") for k, p in enumerate(passages)], "doc_id long, text string")
+    assert {r.doc_id for r in find_leaks(held, benchmark).collect()} == set(range(len(passages)))
+    assert drop_leaks(held, benchmark).count() == 0
