@@ -3,12 +3,13 @@
 Templates are passages of public licences. Their content words are the index's
 vocabulary; a template's posting of a word is its position. A first pass keeps,
 per text, the positions of vocabulary words and the base phrases. Document
-frequencies of the vocabulary over all texts give each word its IDF. A text's
-RARE_WORDS highest-IDF licence words are looked up; their postings vote for
-relative positions (text position less template position); at the best one the
-template words found in place are summed by IDF, and the template's mandatory
-key phrases must stand there word for word. A template's label is given at
-COVERAGE of its IDF and up.
+frequencies of the vocabulary over all texts give each word its IDF. Of each
+template the highest-IDF words that hold more than 1 - COVERAGE of its IDF are
+looked up, so no place that reaches COVERAGE is without one of them; their
+postings tell relative positions (text position less template position). At
+each of these the template words found in place are summed by IDF, and the
+template's mandatory key phrases must stand there word for word. A template's
+label is given at COVERAGE of its IDF and up, with the best place's coverage.
 
 Edge cases: null and empty texts have no words and no labels; a text of any
 length is read whole; rows are independent, so ties, repeats and null ids do
@@ -52,8 +53,7 @@ TEMPLATES = (
 #: Words too common to index.
 COMMON = frozenset("a all and any are as at by can for form if in is it may must not of on one or that the this to use was were with you your".split())
 
-RARE_WORDS = 8
-#: Words by which a place may differ from the voted one.
+#: Words by which a place may differ from the one looked up.
 DRIFT = 3
 COVERAGE = 0.6
 
@@ -95,24 +95,29 @@ class Templates:
         found: dict[str, float] = {}
         if not len(words):
             return found
-        held = np.unique(words)
-        rare = held[np.lexsort((held, -idf[held]))][:RARE_WORDS]
-        votes: dict[tuple[int, int], float] = defaultdict(float)
-        for p, w in zip(positions[np.isin(words, rare)].tolist(), words[np.isin(words, rare)].tolist(), strict=True):
-            for t, at in self.of_word.get(w, ()):
-                for shift in range(p - at - DRIFT, p - at + DRIFT + 1):
-                    votes[t, shift] += idf[w]
-        best: dict[int, tuple[float, int]] = {}
-        for (t, shift), vote in votes.items():
-            best[t] = max(best.get(t, (0.0, 0)), (vote, -shift))
+        at_word: dict[int, list[int]] = defaultdict(list)
+        for p, w in zip(positions.tolist(), words.tolist(), strict=True):
+            at_word[w].append(p)
         placed = set(zip(positions.tolist(), words.tolist(), strict=True))
-        for t, (_, shift) in best.items():
-            near = lambda at, w, s=-shift: any((at + s + d, w) in placed for d in range(-DRIFT, DRIFT + 1))
-            mass = sum(idf[w] for _, w in self.posts[t])
-            cover = sum(idf[w] for at, w in self.posts[t] if near(at, w)) / mass if mass else 0.0
-            there = lambda key, start, s=-shift: any(all((start + s + d + at, w) in placed for at, w in key) for d in range(-DRIFT, DRIFT + 1))
-            if cover >= COVERAGE and all(there(k, a) for k, a in zip(self.keys[t], self.key_starts[t], strict=True)):
-                found[self.labels[t]] = max(found.get(self.labels[t], 0.0), min(1.0, float(cover)))
+        for t, (posts, label) in enumerate(zip(self.posts, self.labels, strict=True)):
+            mass = sum(idf[w] for _, w in posts)
+            if sum(idf[w] for _, w in posts if w in at_word) < COVERAGE * mass or any(w not in at_word for key in self.keys[t] for _, w in key):
+                continue
+            shifts, left = set(), mass
+            for at, w in sorted(posts, key=lambda post: (-idf[post[1]], post)):
+                if left < (COVERAGE - 1e-9) * mass:  # the words left cannot reach it alone
+                    break
+                left -= idf[w]
+                shifts.update(p - at + d for p in at_word.get(w, ()) for d in range(-DRIFT, DRIFT + 1))
+            for key, start in zip(self.keys[t], self.key_starts[t], strict=True):
+                at, w = min(key, key=lambda post: len(at_word[post[1]]))
+                stands = [p - at for p in at_word[w] if all((p - at + i, x) in placed for i, x in key)]
+                shifts &= {p - start + d for p in stands for d in range(-DRIFT, DRIFT + 1)}
+            for s in shifts:
+                near = lambda at, w, s=s: any((at + s + d, w) in placed for d in range(-DRIFT, DRIFT + 1))
+                cover = sum(idf[w] for at, w in posts if near(at, w)) / mass if mass else 0.0
+                if cover >= COVERAGE:
+                    found[label] = max(found.get(label, 0.0), min(1.0, float(cover)))
         return found
 
 

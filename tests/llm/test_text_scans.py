@@ -94,6 +94,19 @@ def test_licenses(spark, docs, none):
     assert L.scan_licenses(docs).count() == docs.count() and L.scan_licenses(none).count() == 0
 
 
+def test_several_licenses(spark):
+    passage = {label: text for label, text, _ in reversed(L.TEMPLATES)}
+    texts = [
+        (1, passage["mit"] + " licensed under cc by nc 4 0"), (2, "all rights reserved " + passage["bsd"]),
+        (3, " ".join(passage[k] for k in ("mit", "gpl", "bsd", "isc", "mpl", "unlicense", "all-rights-reserved"))),
+        (4, "gnu lesser redistributed library program foundation " * 3 + "x " * 50 + passage["lgpl"]),
+    ]
+    filler = [(10 + k, "words of no licence at all") for k in range(30)]
+    got = {r.doc_id: set(r.licenses.labels.split(",")) for r in L.scan_licenses(spark.createDataFrame(texts + filler, "doc_id long, text string")).collect()}
+    assert got[1] >= {"mit", "cc-by-nc"} and got[2] >= {"bsd", "all-rights-reserved"} and "lgpl" in got[4]
+    assert got[3] >= {"mit", "gpl", "bsd", "isc", "mpl", "unlicense", "all-rights-reserved"}
+
+
 def greedy(word, tokens):
     s, n, i = (*word, END), 0, 0
     while i < len(s):
