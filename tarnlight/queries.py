@@ -430,7 +430,7 @@ def mmr_diversify(spark, d):
 @query()
 def tfidf_svd_embed(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
-    rows = dense.TfidfSvd(rank=64, max_features=20_000).fit(docs, "doc_id", "text").transform(docs, "doc_id", "text")
+    rows = dense.TfidfSvd().fit(docs, "doc_id", "text").transform(docs, "doc_id", "text")
     return rows.select("doc_id", F.size("vector").cast("long").alias("rank"), F.round(F.sqrt(dense.dot(F.col("vector"), F.col("vector"))), 6).alias("norm"))
 
 
