@@ -9,11 +9,11 @@ so do light sets that a heavy one can reach. The boundary is the size at which
 the cost of enumerating, summed over the sizes at hand, is least. Frequent
 shingles come last in the order, so few lists are long.
 
-Lists are not expanded into pairs. Each member is verified against its list's
-first set; components of those links are found; only lists that still hold
-several components are looked at again, and there only pairs across components
-are verified. So every link that could join two components is tested, and
-copies, near copies and passages shared by many documents cost no square.
+Lists are not expanded into pairs (see ``similarity``). A set's sketch holds, in
+four bits a shingle or more, the parities of how many of its shingles fall in
+each bit. Two sets differ in at least as many shingles as their parities differ
+in bits, so a sketch refutes a pair only if it is not similar; what is left is
+verified on the shingles of the texts themselves.
 
 What is bounded: the shingles that are ordered by frequency, at most
 ``ORDERED`` (counted over all documents, within batches of BATCH shingles;
@@ -22,13 +22,13 @@ any order gives the same result).
 Edge cases: null and blank texts have an empty set and link with nothing; a
 text of under five words has one shingle, all its words; equal sets are one
 class, so copies cost one set; a component's id is the smallest id in it that is
-not null, and a class whose rows all have null ids links with no other (its
-component id is null); repeated ids are rows of their own; an empty table gives an empty result; other
-columns are not read.
+not null, and of a component whose rows all have null ids null; repeated ids are
+rows of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.similarity import SimilarityJoin, binary_rows, small_enough
+from tarnlight.llm.similarity import LIST_ENTRIES, Packer, SimilarityJoin, binary_rows, few, free_name, numbers, row_key
 
 WIDTH = 5
 #: Similarity in hundredths.
@@ -47,7 +47,8 @@ ORDERED = 1 << 18
 BATCH = 1 << 21
 #: Cost of verifying a chance candidate, in emitted signatures.
 VERIFY_COST = 20
-LARGEST_LIGHT = 48
+LARGEST_LIGHT = 200
+_COUNT = struct.Struct("<Q")
 
 
 def at_least(n, percent: int = PERCENT):
@@ -71,8 +72,10 @@ def shingle_sets(texts: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int
                 of.append(rows[first][own])
                 got.append(found[own])
         of, got = np.concatenate(of), np.concatenate(got)
-        order = np.lexsort((got, of))
-        of, got = of[order], got[order]
+        if len(short) and short.min() < width:
+            order = np.argsort(of, kind="stable")
+            of, got = of[order], got[order]
+        K.sort_rows(got, np.concatenate([[0], np.cumsum(K.row_counts(of, hi - lo))]))
         new = np.ones(len(got), bool)
         new[1:] = (got[1:] != got[:-1]) | (of[1:] != of[:-1])
         yield lo, hi, of[new], got[new]
@@ -91,31 +94,99 @@ def node_names(n: np.ndarray, of: np.ndarray, h: np.ndarray) -> np.ndarray:
     return out
 
 
-_SETS = "doc_id long, n long, node binary, shingle long, df long"
+def set_ids(n: np.ndarray, names: np.ndarray) -> np.ndarray:
+    return numbers(n, np.ascontiguousarray(names[:, 4:12]).view(np.uint64).ravel())
+
+
+def parities(n: np.ndarray, of: np.ndarray, h: np.ndarray) -> pa.Array:
+    """A sketch for each set: its size (8 bytes), and parity bits, a power of two of at least four a shingle."""
+    bits = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(4 * n, 64))).astype(np.int64), 0)
+    ends = np.cumsum(bits)
+    odd = np.bincount((ends - bits)[of] + (h & (bits[of] - 1).astype(np.uint64)).astype(np.int64), minlength=int(ends[-1]) if len(ends) else 0) & 1
+    body = np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return pa.array([_COUNT.pack(k) + body[(e - b) // 8 : e // 8] for k, b, e in zip(n.tolist(), bits.tolist(), ends.tolist(), strict=True)], pa.binary())
+
+
+def _parity(sketch: bytes) -> tuple[int, int, int]:
+    """Size, bits as an integer, and how many they are."""
+    return _COUNT.unpack_from(sketch)[0], int.from_bytes(sketch[8:], "little"), 8 * (len(sketch) - 8)
+
+
+def parity_distance(x: bytes, y: bytes, percent: int) -> float:
+    """Shingles in which two sets differ at least, over their sizes; NaN if they cannot be similar."""
+    (n, p, a), (k, q, b) = _parity(x), _parity(y)
+    while a > b:
+        a //= 2
+        p = (p ^ p >> a) & ((1 << a) - 1)
+    while b > a:
+        b //= 2
+        q = (q ^ q >> b) & ((1 << b) - 1)
+    differ = max((p ^ q).bit_count(), abs(n - k))
+    return differ / (n + k) if differ * (100 + percent) <= (n + k) * (100 - percent) else np.nan
+
+
+class ParityBlock:
+    """Sketches of a block by their number of bits, to be compared with one sketch at a time."""
+
+    def __init__(self, sketches: list[bytes], percent: int):
+        self.percent = percent
+        self.size = np.array([_COUNT.unpack_from(x)[0] for x in sketches], np.int64)
+        width = np.array([len(x) - 8 for x in sketches])
+        self.by = {}
+        for w in np.unique(width).tolist():
+            rows = np.flatnonzero(width == w)
+            words = np.frombuffer(b"".join(sketches[i][8:] for i in rows), "<u8").reshape(len(rows), -1)
+            self.by[w] = rows, words
+
+    def near(self, sketch: bytes) -> tuple[np.ndarray, np.ndarray]:
+        n, width = _COUNT.unpack_from(sketch)[0], len(sketch) - 8
+        at, far = [], []
+        for w, (rows, words) in self.by.items():
+            fits = (self.size[rows] * 100 >= n * self.percent) & (n * 100 >= self.size[rows] * self.percent)
+            if not fits.any():
+                continue
+            rows, words, own = rows[fits], words[fits], np.frombuffer(sketch, "<u8", offset=8)
+            while words.shape[1] > len(own):
+                words = words[:, : words.shape[1] // 2] ^ words[:, words.shape[1] // 2 :]
+            while len(own) > words.shape[1]:
+                own = own[: len(own) // 2] ^ own[len(own) // 2 :]
+            differ = np.maximum(np.bitwise_count(words ^ own).sum(1, dtype=np.int64), np.abs(self.size[rows] - n))
+            both = self.size[rows] + n
+            close = differ * (100 + self.percent) <= both * (100 - self.percent)
+            at.append(rows[close])
+            far.append(differ[close] / both[close])
+        return (np.concatenate(at), np.concatenate(far)) if at else (np.empty(0, np.int64), np.empty(0))
+
+
+_SETS = "doc_id long, key long, n long, name binary, id long, sketch binary, shingle long, df long"
 
 
 def _describe(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, n and node of each row; besides, shingle and df for shingles found in several documents of a batch."""
-    names = ["doc_id", "n", "node", "shingle", "df"]
+    """doc_id, key, n, name, id and sketch of each row; besides, shingle and df for shingles found in several documents of a batch."""
+    names = ["doc_id", "key", "n", "name", "id", "sketch", "shingle", "df"]
     held: list[np.ndarray] = []
 
     def frequent():
-        value, count = np.unique(np.concatenate(held), return_counts=True)
-        value, count = value[count > 1], count[count > 1]
+        every = np.concatenate(held)
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        count = np.diff(np.append(first, len(every)))
+        value, count = every[first[count > 1]], count[count > 1]
         none = pa.nulls(len(value), pa.int64())
-        return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(value), pa.binary()), pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names)
+        blank = pa.nulls(len(value), pa.binary())
+        return pa.RecordBatch.from_arrays([none, none, none, blank, none, blank, pa.array(value.view(np.int64)), pa.array(count.astype(np.int64))], names)
 
     for batch in batches:
-        n, node = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, 16), np.uint8)
-        for lo, hi, of, h in shingle_sets(batch.column(1), width):
-            n[lo:hi] = K.row_counts(of, hi - lo)
-            node[lo:hi] = node_names(n[lo:hi], of, h)
+        for lo, hi, of, h in shingle_sets(batch.column(2), width):
+            n = K.row_counts(of, hi - lo)
+            name = node_names(n, of, h)
+            none = pa.nulls(hi - lo, pa.int64())
+            ids = [batch.column(k).slice(lo, hi - lo) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([*ids, pa.array(n), binary_rows(name), pa.array(set_ids(n, name)), parities(n, of, h), none, none], names)
             held.append(h)
             if sum(map(len, held)) >= BATCH:
                 yield frequent()
                 held.clear()
-        none = pa.nulls(batch.num_rows, pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), binary_rows(node), none, none], names)
     if held:
         yield frequent()
 
@@ -126,18 +197,29 @@ class Signatures:
     def __init__(self, shingles: np.ndarray, df: np.ndarray, boundary: int, percent: int):
         order = np.argsort(shingles)
         self.shingles, self.df = shingles[order], df[order].astype(np.int32)
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.shingles >> np.uint64(42)] = True
         self.boundary, self.percent = boundary, percent
 
     def _weight(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.shingles):
-            return np.zeros(len(h), np.int32)
-        i = np.minimum(np.searchsorted(self.shingles, h), len(self.shingles) - 1)
-        return np.where(self.shingles[i] == h, self.df[i], 0)
+        out = np.zeros(len(h), np.int32)
+        hit = np.flatnonzero(self.filter[h >> np.uint64(42)])
+        if len(hit):
+            i = np.minimum(np.searchsorted(self.shingles, h[hit]), len(self.shingles) - 1)
+            out[hit] = np.where(self.shingles[i] == h[hit], self.df[i], 0)
+        return out
 
     def of(self, rows: np.ndarray, h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and signature. n: size of each row's set."""
-        h = h[np.lexsort((h, self._weight(h), rows))]
-        start = np.searchsorted(rows, np.arange(len(n)))
+        """Row and signature. h: sorted in each row; n: size of each row's set."""
+        weight = self._weight(h)
+        start = np.cumsum(n) - n
+        some = np.zeros(len(n), bool)
+        some[rows[weight > 0]] = True
+        moved = np.flatnonzero(some[rows])
+        if len(moved):
+            order = moved[np.lexsort((h[moved], weight[moved], rows[moved]))]
+            h = h.copy()
+            h[moved] = h[order]
         prefix = np.where(n > 0, n - at_least(n, self.percent) + 1, 0)
         light = n <= self.boundary
         singles = ~light | (100 * n // self.percent > self.boundary)
@@ -147,9 +229,10 @@ class Signatures:
         wide = np.where(light & (n > 1), np.minimum(n, prefix + 1), 0)
         for j in range(1, int(wide.max(initial=0))):
             has = np.flatnonzero(wide > j)
+            second = h[start[has] + j]
             for i in range(j):
                 of.append(has)
-                sig.append(K.mix(K.mix(h[start[has] + i]) * np.uint64(3) + h[start[has] + j]))
+                sig.append(K.mix(K.mix(h[start[has] + i]) * np.uint64(3) + second))
         return np.concatenate(of), np.concatenate(sig)
 
 
@@ -172,68 +255,44 @@ def light_boundary(sizes: list[tuple[int, int]], chance: float, percent: int = P
     return at
 
 
-def _size(column: str):
-    return F.conv(F.hex(F.substring(column, 1, 4)), 16, 10).cast("long")
-
-
-def packed(h: np.ndarray) -> bytes:
-    """The high 40 bits of sorted hashes: what sets are compared by. Two shingles agree by chance once in 2**40."""
-    return h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(">u8").ravel().astype(np.uint64)
-
-
-def links_between(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    shared = len(a) + len(b) - len(np.union1d(a, b))
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
 class JaccardJoin(SimilarityJoin):
     """One run of the join; ``components()`` is its result."""
 
     def __init__(self, docs: DataFrame, width: int = WIDTH, percent: int = PERCENT):
-        super().__init__(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "jaccard")
-        self.width, self.percent = width, percent
+        super().__init__(docs, "jaccard")
+        self.width, self.percent, self.ratio = width, percent, percent / 100
 
-    def near(self, a, b):
-        return F.least(_size(a), _size(b)) * 100 >= F.greatest(_size(a), _size(b)) * self.percent
+    def bodies(self, docs, wanted):
+        return docs.join(few(wanted), "key").select("t", "salt", "a", F.col("text").alias("body"))
 
-    def weight(self, node):
-        return _size(node)
+    def prepared(self):
+        width = self.width
+        return lambda body: next(shingle_sets(pa.array([body], pa.string()), width))[3]
 
-    def verifier(self):
+    def similar(self):
         percent = self.percent
-        return lambda x, y: links_between(unpacked(x), unpacked(y), percent)
 
-    def scanner(self):
-        percent = self.percent
+        def similar(x, y):
+            shared = len(x) + len(y) - len(np.union1d(x, y))
+            return 100 * shared >= percent * (len(x) + len(y) - shared)
 
-        def block(names, data):
-            own = [unpacked(x) for x in data]
-            sizes = np.array([len(x) for x in own])
-            flat, of = np.concatenate(own), np.repeat(np.arange(len(own)), sizes)
-            order = np.argsort(flat, kind="stable")
-            flat, of = flat[order], of[order]
+        return similar
 
-            def similar(_, bytes_):
-                """Scans the inverted lists of the set's shingles."""
-                x = unpacked(bytes_)
-                lo, hi = np.searchsorted(flat, x), np.searchsorted(flat, x, "right")
-                n = hi - lo
-                at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-                shared = np.bincount(of[at], minlength=len(own))
-                return np.flatnonzero(100 * shared >= percent * (sizes + len(x) - shared))
+    def sketched(self):
+        percent = self.percent
 
-            return similar
+        def block(sketches):
+            held = ParityBlock(sketches, percent)
+            return lambda others: (held.near(x) for x in others)
 
         return block
 
-    def _order(self, seen: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-        """The most frequent shingles with their counts, and the others' chance of meeting."""
+    def refuted(self):
+        percent = self.percent
+        return lambda xs, ys: np.array([parity_distance(x, y, percent) for x, y in zip(xs, ys, strict=True)], float)
+
+    def _order(self, seen: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray, float]:
+        """The most frequent shingles with their counts, and the others' chance of meeting. total: shingles of all rows."""
         counts = self.work.save(seen.where("shingle is not null").groupBy("shingle").agg(F.sum("df").alias("df")), "counts")
         sizes = counts.groupBy(F.least("df", F.lit(1 << 16)).alias("df")).agg(F.count("*").alias("k")).orderBy(F.desc("df")).collect()  # 65,536 rows at most
         kept, least = 0, None
@@ -242,71 +301,72 @@ class JaccardJoin(SimilarityJoin):
                 break
             kept, least = kept + k, df
         rows = counts.where(F.col("df") >= least).toPandas() if least else pd.DataFrame({"shingle": [], "df": []})  # ORDERED rows at most
-        total = seen.agg(F.sum("n")).first()[0] or 1
         rest = sum(df * k for df, k in sizes if least is None or df < least)
         self.work.drop("counts")
-        return rows["shingle"].to_numpy().astype(np.int64).view(np.uint64), rows["df"].to_numpy(), rest / total
+        return rows["shingle"].to_numpy().astype(np.int64).view(np.uint64), rows["df"].to_numpy(), rest / max(total, 1)
 
-    def _signatures(self, maker: Signatures) -> DataFrame:
-        held = self.spark.sparkContext.broadcast(maker)
-        width = self.width
+    def _signatures(self, maker: Signatures, parts: int) -> DataFrame:
+        """Copies within a slice of texts emit once."""
+        held = self.spark.sparkContext.broadcast(maker)  # ORDERED numbers
+        width, hot = self.width, self.hot
 
         def emit(batches):
-            seen: set[bytes] = set()  # copies within a task emit once
+            packer = Packer(parts, hot)
             for batch in batches:
                 for lo, hi, of, h in shingle_sets(batch.column(0), width):
                     n = K.row_counts(of, hi - lo)
-                    node = node_names(n, of, h)
-                    rows, sig = held.value.of(of, h, n)
+                    ids = set_ids(n, node_names(n, of, h))
+                    _, first = np.unique(ids, return_index=True)
                     new = np.zeros(hi - lo, bool)
-                    for k in np.flatnonzero(n):
-                        name = node[k].tobytes()
-                        if name not in seen:
-                            new[k] = True
-                            if len(seen) < 1_000_000:
-                                seen.add(name)
-                    own = new[rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[own].view(np.int64)), binary_rows(node[rows[own]])], ["sig", "node"])
-
-        return self.docs.select("text").mapInArrow(emit, "sig long, node binary")
-
-    def data(self, nodes):
-        """Shingles of each set, packed."""
-        width = self.width
-        ids = self.work.save(self.classes.join(nodes, "node").where("rep is not null").select(F.col("rep").alias("doc_id")).distinct(), "ids")
-
-        def emit(batches):
-            for batch in batches:
-                for lo, hi, of, h in shingle_sets(batch.column(0), width):
-                    n = K.row_counts(of, hi - lo)
-                    ends = np.cumsum(n)
-                    sets = [packed(h[e - k : e]) for e, k in zip(ends, n, strict=True)]
-                    yield pa.RecordBatch.from_arrays([binary_rows(node_names(n, of, h)), pa.array(sets, pa.binary())], ["node", "data"])
+                    new[first] = True
+                    keep = new[of]
+                    rows, sig = held.value.of(of[keep], h[keep], np.where(new, n, 0))
+                    yield from packer.add(sig, ids[rows])
+            yield from packer.flush()
 
-        found = self.docs.join(small_enough(ids), "doc_id", "left_semi").select("text").mapInArrow(emit, "node binary, data binary")
-        return found.dropDuplicates(["node"]) if self.ids_repeat else found
+        return self.docs.select("text").mapInArrow(emit, "part int, hot boolean, blob binary")
 
     def components(self) -> DataFrame:
-        """doc_id, n_shingles, component_id of every row."""
+        """doc_id, key, n_shingles, component_id and first (key of its group's first row: smallest id, nulls last) of every row."""
         work, width = self.work, self.width
-        seen = work.save(self.docs.select("doc_id", "text").mapInArrow(lambda batches: _describe(batches, width), _SETS), "seen")
-        rows = seen.where("n is not null").select("doc_id", "n", "node")
-        classes = self.classes = work.save(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep")), "classes")
-        self.ids_repeat = not rows.groupBy("doc_id").count().where("count > 1").isEmpty()
-        sizes = classes.where(_size("node") <= LARGEST_LIGHT).groupBy(_size("node").alias("n")).count().collect()
-        shingles, df, chance = self._order(seen)
-        maker = Signatures(shingles, df, light_boundary([tuple(x) for x in sizes], chance, self.percent), self.percent)
-        whole = self.groups(self._signatures(maker))
-
-        named = classes.join(whole, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        named = named.join(least, "component").select("node", "component_id")
-        some = rows.where("n > 0").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-        return some.union(rows.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
+        seen = work.save(self.docs.mapInArrow(lambda batches: _describe(batches, width), _SETS), "seen")
+        rows = seen.where("n is not null").select("doc_id", "key", "n", "name")
+        classes = seen.where("n > 0").groupBy("name").agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("rep"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("id").alias("id"), F.first("sketch").alias("sketch"),
+        )
+        classes = work.save(classes, "classes")
+        self.items = work.save(self.numbered(classes).withColumn("line", F.lit(0)), "items")
+        self.rows_repeat = not rows.groupBy("key").count().where("count > 1").isEmpty()
+        total, emitted = rows.agg(F.sum("n"), F.sum(F.col("n") * (100 - self.percent) / 100 + 1)).first()
+        sizes = classes.where(F.col("n") <= LARGEST_LIGHT).groupBy("n").count().collect()  # LARGEST_LIGHT rows at most
+        shingles, df, chance = self._order(seen, total or 0)
+        boundary = light_boundary([tuple(x) for x in sizes], chance, self.percent)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-int(emitted or 0) // LIST_ENTRIES))
+        whole = self.groups(self._signatures(Signatures(shingles, df, boundary, self.percent), parts), parts)
+
+        named = self.items.join(whole, "node", "left").select("name", "rep", F.coalesce("component", "node").alias("component"))
+        least = named.groupBy("component").agg(F.min("rep").alias("first"))
+        named = named.join(least, "component").select("name", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("first"))
+        some = rows.where("n > 0").join(named, "name").select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id", "first")
+        return some.union(rows.where("n = 0").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"), "key"))
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    return JaccardJoin(docs, width, percent).components()
+    """doc_id, n_shingles, component_id of every row."""
+    return JaccardJoin(docs, width, percent).components().select("doc_id", "n_shingles", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """Of each group of linked rows the first (smallest id, nulls last) stays, once; rows without words stay. All columns."""
+    join = JaccardJoin(docs, width, percent)
+    groups = join.work.save(join.components().where("n_shingles > 0").select("key", "first"), "groups")
+    key = free_name(docs, "__key")
+    gone = groups.where("key <> first").select(F.col("key").alias(key)).distinct()
+    kept = docs.withColumn(key, row_key()).join(few(gone), key, "left_anti")
+    if join.rows_repeat:
+        again = groups.groupBy(F.col("key").alias(key)).count().where("count > 1").select(key)
+        kept = kept.join(again, key, "left_anti").union(kept.join(again, key, "left_semi").dropDuplicates([key]))
+    return kept.select(docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -12,8 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 SLICE_BYTES = 1 << 18
+#: Bytes from which a span is hashed by itself.
+LONG_SPAN = 64
 
 #: Separators of `[^\x20\x09-\x0D]+` words.
 BLANK = np.zeros(256, bool)
@@ -89,12 +92,20 @@ def spans(data: np.ndarray, at: np.ndarray, separators: np.ndarray) -> tuple[np.
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, the same wherever the span stands."""
+    """A 64-bit hash of each byte span, the same wherever the span stands.
+
+    Short spans: a polynomial modulo 2**64, all at once. Modulo a power of two it fails on long
+    strings of the Thue-Morse kind, so spans of LONG_SPAN bytes and up are hashed one by one by XXH3.
+    """
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTES[data] * _power(_P, n)[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _power(_P_INV, n)[starts]
-    return mix(h + (ends - starts).astype(np.uint64))
+    h = mix((sums[ends] - sums[starts]) * _power(_P_INV, n)[starts] + (ends - starts).astype(np.uint64))
+    long = np.flatnonzero(ends - starts >= LONG_SPAN)
+    if len(long):
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = np.fromiter((xxh3_64_intdigest(raw[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)), np.uint64, len(long))
+    return h
 
 
 def windows(h: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +124,13 @@ def row_counts(rows: np.ndarray, n: int, weights: np.ndarray | None = None) -> n
     return np.bincount(rows, weights, n).astype(np.int64)
 
 
+def sort_rows(values: np.ndarray, bounds: np.ndarray) -> None:
+    """Sorts values[bounds[k]:bounds[k + 1]] in place."""
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def repeated(rows: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For items (row, hash): whether an equal item stands earlier, and whether one stands anywhere else."""
     key = mix(h ^ mix(rows.astype(np.uint64) + np.uint64(1)))

@@ -43,11 +43,12 @@ def test_documents(spark):
     assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
 
 
-@pytest.mark.parametrize("small", [24, 2])
-def test_chains_and_small_sets(spark, monkeypatch, small):
+@pytest.mark.parametrize("small, hot", [(24, 512), (2, 512), (2, 3)])
+def test_chains_and_small_sets(spark, monkeypatch, small, hot):
     """Near copies in chains, tiny sets on both sides of the light boundary, and lists verified by blocks."""
     monkeypatch.setattr(S, "SMALL_LIST", small)
-    monkeypatch.setattr(S, "BLOCK_WEIGHT", 200)
+    monkeypatch.setattr(S, "BLOCK_MEMBERS", 2)
+    monkeypatch.setattr(S, "HOT", hot)
     r = random.Random(4)
     rows, base = [], [f"w{k}" for k in range(60)]
     for k in range(60):
@@ -70,6 +71,45 @@ def test_edges(docs, none):
     assert (None, 1, 4) in got and jaccard_components(none).count() == 0
 
 
+def thue_morse(n, a, b):
+    return "".join((a, b)[k.bit_count() % 2] for k in range(n))
+
+
+def test_words_that_a_polynomial_confuses(spark):
+    words = [thue_morse(2048, *p) for p in (("a", "b"), ("b", "a"), ("xy", "yx"), ("yx", "xy"))]
+    got = jaccard_components(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(4)}
+
+
+def test_equal_numbers(spark):
+    """Items that agree in their number by chance are told apart."""
+    join = J.JaccardJoin(spark.createDataFrame([], "doc_id long, text string"))
+    items = join.numbered(spark.createDataFrame([(7, b"x"), (7, b"y"), (8, b"z")], "id long, name binary")).collect()
+    assert len({r.node for r in items}) == 3 and {r.node for r in items} > {7, 8}
+    entries = spark.createDataFrame([r for b in entries_of(S.Packer(2, 512)) for r in b.to_pylist()], "part int, hot boolean, blob binary")
+    lists = defaultdict(set)
+    for r in join._lists(entries, 2).collect():
+        lists[r.sig] |= {r.node, r.pivot}
+    assert [len(x) for x in lists.values()] == [3] and set.union(*lists.values()) == {r.node for r in items}
+
+
+def entries_of(packer):
+    import numpy as np
+
+    yield from packer.add(np.array([5, 5, 6], np.uint64), np.array([7, 8, 8], np.int64))
+    yield from packer.flush()
+
+
+def test_near_copies_go(spark):
+    """Rows are told apart by id and text; repeated rows stay once."""
+    a, b = ("one two three four five six seven " * 3 + f"{x} {x} {x}" for x in "ab")
+    other = " ".join(f"w{k}" for k in range(20))
+    rows = [(3, a), (5, a), (5, other), (6, b), (6, other), (None, a), (7, None), (7, " "), (3, a)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, __key string")
+    got = sorted((r.doc_id, r.text or "") for r in J.drop_near_copies(docs).collect())
+    assert got in ([(3, a), (5, other), (7, ""), (7, " ")], [(3, a), (5, other), (6, b), (7, ""), (7, " ")])
+
+
 def test_boundary():
     assert J.light_boundary([(5, 100), (40, 100)], 0.0) <= 5
     assert J.light_boundary([(5, 100), (10, 100), (40, 100)], 5.0) >= 10
