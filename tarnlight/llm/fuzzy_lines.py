@@ -3,100 +3,110 @@
 A line is normalised to its words (runs of letters and digits, A-Z
 lower-cased) with one space between. Lines of equal normal form are one class.
 Classes of MIN_WORDS words or more link when their edit distance is at most a
-tenth of the longer one. Candidates share two of their SKETCH words: those of
-least hash over weight, where the weight grows with a word's length, so edits
-elsewhere do not change which words are chosen. That is a sampling, not a
-bound: a pair whose edits touch most of its words can be missed (the README has
-the measured recall). A name holds the line's length in steps of 4 per cent as
-a cyclic code, in which lengths within a tenth differ in FLIPS bits at most, so
-the test on names loses no pair. Of each connected group only the first
-occurrence (smallest id, then line) stays.
+tenth of the longer one. Candidates share two of their SKETCH words, in the same
+order: the words of least hash over weight, where the weight grows with a word's
+length, so edits elsewhere do not change which words are chosen. That is a
+sampling, not a bound: a pair whose edits touch most of its words can be missed
+(the README has the measured recall, and why blocks of SimHash bits found less).
+Counts of letters refute most candidates and no similar pair. Of each connected
+group only the first occurrence (smallest id, then line) stays.
 
 Edge cases: null and empty texts have no lines; lines without a word are never
 dropped; a line of any length is one line; null ids sort last; rows of equal
-id and text are one document; an empty table gives an empty result; other
-columns pass through ``drop_repeated_lines``.
+id and text are one document, whose result each of them gets; an empty table
+gives an empty result; other columns pass through ``drop_repeated_lines``.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
+import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.similarity import SimilarityJoin, binary_rows, small_enough
+from tarnlight.llm.similarity import LIST_ENTRIES, Packer, SimilarityJoin, binary_rows, few, free_name, numbers, row_key
 
-#: Bits by which the length codes of lines within EDITS of each other may differ.
-FLIPS = 3
 MIN_WORDS = 5
-#: Words of a line of which candidates share two, and bytes of the hash of one.
-SKETCH, _WORD = 6, 4
+#: Words of a line of which candidates share two.
+SKETCH = 6
 #: Edits allowed, as a share of the longer line.
 EDITS = 0.1
-#: Lengths are told apart in steps of this ratio: FLIPS steps hold 1 / (1 - EDITS).
-_STEP = 1.04
-_CODES = np.array([(1 << k) - 1 for k in range(65)] + [(1 << 64) - (1 << k) for k in range(1, 64)], np.uint64)
+#: Counts of letters in a sketch, each 255 at most.
+BUCKETS = 32
+_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+_LOWER = {c: c + 32 for c in range(65, 91)}
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_table(texts: pa.Array):
-    """(row, line, words, name (16 bytes: length code, hash), normal form) of each line with a word; lines from 0."""
-    for row, line, n, name, forms, _ in _lines(texts):
-        yield row, line, n, name, forms
+def normal_form(line: str) -> str:
+    return " ".join(_WORD.findall(line.translate(_LOWER)))
+
 
+def line_table(texts: pa.Array):
+    """(row, line, words, name (16 bytes), characters, sketch) of each line with a word; lines from 0.
 
-def _lines(texts: pa.Array):
-    """What line_table yields, and a function that gives the sketch of each line."""
-    for lo, _, data, at in K.text_slices(texts):
+    A sketch: characters (4 bytes), counts of letters, and hashes (4 bytes each, 0 where there are fewer) of its SKETCH words as they follow each other.
+    """
+    for lo, hi, data, at in K.text_slices(texts):
         low = K.LOWER[data]
         starts, ends, rows = K.spans(low, at, K.NOT_ALNUM)
         if not len(starts):
             continue
         h = K.span_hashes(low, starts, ends)
-        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        breaks = np.concatenate([[0], np.cumsum(low == 10, dtype=np.int64)])
         line = breaks[starts]
-        new = np.ones(len(starts), bool)
-        new[1:] = (line[1:] != line[:-1]) | (rows[1:] != rows[:-1])
+        new = np.append(True, (line[1:] != line[:-1]) | (rows[1:] != rows[:-1]))
         first = np.flatnonzero(new)
         n = np.diff(np.append(first, len(starts)))
-        chars = np.concatenate([[0], np.cumsum((low & 0xC0) != 0x80)])
-        length = np.add.reduceat(chars[ends] - chars[starts], first) + n - 1
-        sim = _CODES[(np.log(length) / np.log(_STEP)).astype(np.int64) % len(_CODES)].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ordered = np.add.reduceat(K.mix(h + (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), first)
-        name = np.concatenate([sim, K.mix(ordered ^ n.astype(np.uint64)).view(np.uint8).reshape(-1, 8)], axis=1)
-        raw = low.tobytes()
-        forms = lambda k, f=first, c=n, s=starts, e=ends, raw=raw: b" ".join([raw[a:b] for a, b in zip(s[f[k] : f[k] + c[k]], e[f[k] : f[k] + c[k]], strict=True)])
+        of = np.cumsum(new) - 1
+        place = (np.arange(len(h)) - first[of]).astype(np.uint64)
+        one, two = (np.add.reduceat(K.mix(h * np.uint64(odd) + place * _ODD), first) for odd in (1, 5))
+        name = np.concatenate([K.mix(x ^ n.astype(np.uint64)).view(np.uint8).reshape(-1, 8) for x in (one, two)], axis=1)
+
+        mark = np.zeros(len(low), np.int32)
+        mark[starts[first]] = 1
+        letter = np.flatnonzero(~K.NOT_ALNUM[low] & ((low & 0xC0) != 0x80))
+        bucket = (np.cumsum(mark, dtype=np.int32)[letter] - 1) * BUCKETS + (low[letter] & (BUCKETS - 1))
+        counts = np.bincount(bucket, minlength=len(first) * BUCKETS).reshape(-1, BUCKETS)
+        chars = counts.sum(1) + n - 1
+        counts[:, 0] += n - 1
+        words = sketch_words(h, of, ends - starts, len(first))
+        sketch = np.concatenate([chars.astype("<u4").view(np.uint8).reshape(-1, 4), np.minimum(counts, 255).astype(np.uint8), words.view(np.uint8).reshape(len(first), -1)], axis=1)
         row = rows[first]
-        yield lo + row, line[first] - breaks[at[row]], n, name, forms, lambda h=h, size=ends - starts, n=n: sketches(h, size, n)
+        yield lo + row, line[first] - breaks[at[row]], n, name, chars, sketch
 
 
-def sketches(h: np.ndarray, size: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """The hashes (_WORD bytes, or 0 where a line has fewer words) of SKETCH words of each line of n words, least first.
+def sketch_words(h: np.ndarray, of: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The hashes (32 bits, 0 where there are fewer) of SKETCH distinct words of each of n lines, in the order in which they first stand there.
 
-    Words have hash h and size bytes; a word's second occurrence counts as a word of its own.
+    Words have hash h, line ``of`` (ascending) and size bytes.
     """
-    of = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((h, of))
-    new = np.ones(len(h), bool)
-    new[1:] = (h[order][1:] != h[order][:-1]) | (of[1:] != of[:-1])
-    at = np.arange(len(h))
-    again = np.empty(len(h), np.uint64)
-    again[order] = at - np.maximum.accumulate(np.where(new, at, 0))
-    h = K.mix(h + again * np.uint64(0x9E3779B97F4A7C15))
-    rank = -np.log(((h >> np.uint64(11)) + np.uint64(1)) / 2.0**53) / np.maximum(size - 2, 0.15) ** 2
-    order = np.lexsort((h, rank, of))
-    place = at - np.repeat(np.cumsum(n) - n, n)
-    out = np.zeros((len(n), SKETCH), np.uint32)
-    some = place < SKETCH
-    out[of[some], place[some]] = h[order[some]].astype(np.uint32) | np.uint32(1)
-    return out.view(np.uint8).reshape(len(n), -1)
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Myers' bit-parallel Levenshtein distance; equal ends are cut off first."""
+    h = K.mix(h)
+    rank = (-np.log(((h >> np.uint64(11)) + np.uint64(1)) / 2.0**53) / np.maximum(size - 2, 0.15) ** 2).astype(np.float32)
+    bits = max(len(h) - 1, 1).bit_length()
+    if bits + max(n - 1, 1).bit_length() <= 34:  # line, rank and place in one number
+        key = (of.astype(np.uint64) << np.uint64(30) | (rank.view(np.uint32) >> np.uint32(2)).astype(np.uint64)) << np.uint64(bits) | np.arange(len(h), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
+    else:
+        order = np.lexsort((rank, of))
+    again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]))
+    order = order[~again]
+    own = of[order]
+    count = np.bincount(own, minlength=n)
+    order = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < SKETCH]
+    order.sort()
+    own = of[order]
+    count = np.bincount(own, minlength=n)
+    out = np.zeros((n, SKETCH), np.uint32)
+    out[own, np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)] = h[order].astype(np.uint32) | np.uint32(1)
+    return out
+
+
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Myers' bit-parallel Levenshtein distance; equal ends are cut off first. Beyond ``most`` any number over it."""
     n = min(len(a), len(b))
     k = next((i for i in range(n) if a[i] != b[i]), n)
     a, b, n = a[k:], b[k:], n - k
@@ -108,113 +118,164 @@ def edit_distance(a: str, b: str) -> int:
     for i, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    plus, minus, score = full, 0, len(a)
+    plus, minus, score, left = full, 0, len(a), len(b)
     for c in b:
         eq = at.get(c, 0)
         xv = eq | minus
         xh = ((eq & plus) + plus ^ plus) | eq
         up, down = minus | ~(xh | plus) & full, plus & xh
         score += bool(up & top) - bool(down & top)
+        left -= 1
+        if most is not None and score - left > most:
+            return score - left
         up, down = (up << 1 | 1) & full, down << 1 & full
         plus, minus = down | ~(xv | up) & full, up & xv
     return score
 
 
-def similar_lines(x: bytes, y: bytes) -> bool:
-    a, b = x.decode(), y.decode()
-    longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > EDITS * longer:
-        return False
-    p, q = Counter(a), Counter(b)
-    return max((p - q).total(), (q - p).total()) <= EDITS * longer and edit_distance(a, b) <= EDITS * longer
+def similar_lines(a: str, b: str) -> bool:
+    """Whether two normal forms are within EDITS of each other."""
+    most = int(EDITS * max(len(a), len(b)))
+    return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
+
 
+def _letters(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each line, and its counts of letters."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 4 + BUCKETS + 4 * SKETCH)
+    return np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int64), rows[:, 4 : 4 + BUCKETS].astype(np.int16)
 
-def _sim(node: str) -> Column:
-    return F.conv(F.hex(F.substring(node, 1, 8)), 16, -10).cast("long")
+
+def _edits(n, own, k, other) -> tuple[np.ndarray, np.ndarray]:
+    """Edits between lines at least, by their letters and lengths, and edits allowed."""
+    apart = np.abs(own - other).sum(-1, dtype=np.int64)
+    return np.maximum((apart + 1) // 2, np.abs(n - k)), (EDITS * np.maximum(n, k)).astype(np.int64)
 
 
 class LineJoin(SimilarityJoin):
-    def __init__(self, docs: DataFrame):
-        super().__init__(docs.select("doc_id", F.xxhash64("text").alias("tie"), F.col("text").cast("string").alias("text")), "lines")
+    """One run over docs; ``lines()`` is its result."""
 
-    def near(self, a, b):
-        return F.bit_count(_sim(a).bitwiseXOR(_sim(b))) <= FLIPS
+    ratio = 1 - EDITS
 
-    def weight(self, node):
-        return F.lit(256)
+    def __init__(self, docs: DataFrame):
+        super().__init__(docs, "lines")
 
-    def data(self, nodes):
-        ids = self.classes.join(nodes, "node").select("first.doc_id").distinct()
+    def bodies(self, docs, wanted):
+        per = wanted.groupBy("key").agg(F.collect_list(F.struct("line", "t", "salt", "a")).alias("wanted"))
 
-        def emit(batches):
+        def pick(batches):
             for batch in batches:
-                for _, _, n, name, forms in line_table(batch.column(0)):
-                    yield pa.RecordBatch.from_arrays([binary_rows(name), pa.array([forms(k) for k in range(len(n))], pa.binary())], ["node", "data"])
+                out = []
+                for text, own in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                    lines = text.as_py().split("\n")
+                    out += [{"t": w["t"], "salt": w["salt"], "a": w["a"], "body": lines[w["line"]]} for w in own]
+                yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("t", pa.int64()), ("salt", pa.int32()), ("a", pa.int64()), ("body", pa.string())]))
 
-        some = self.docs.join(small_enough(ids), "doc_id", "left_semi") if ids.where("doc_id is null").isEmpty() else self.docs
-        found = some.select("text").mapInArrow(emit, "node binary, data binary")
-        return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        return docs.join(few(self.work.save(per, "per-document")), "key").select("text", "wanted").mapInArrow(pick, "t long, salt int, a long, body string")
 
-    def verifier(self):
+    def prepared(self):
+        return normal_form
+
+    def similar(self):
         return similar_lines
 
-    def scanner(self):
-        def block(names, data):
-            sims = np.array([int.from_bytes(x[:8]) for x in names], np.uint64)
+    def sketched(self):
+        def block(sketches):
+            n, own = _letters(sketches)
 
-            def similar(node, own):
-                for k in np.flatnonzero(np.bitwise_count(sims ^ np.uint64(int.from_bytes(node[:8]))) <= FLIPS):
-                    if similar_lines(own, data[k]):
-                        yield k
+            def find(others):
+                for k, other in zip(*_letters(others), strict=True):
+                    edits, most = _edits(n, own, k, other)
+                    at = np.flatnonzero(edits <= most)
+                    yield at, edits[at] / most[at]
 
-            return similar
+            return find
 
         return block
 
-    def lines(self) -> DataFrame:
-        """doc_id, tie (hash of the text), line, kept, class_doc, class_line (the occurrence that stays) of each line with a word."""
+    def refuted(self):
+        def far(xs, ys):
+            edits, most = _edits(*_letters(xs), *_letters(ys)) if xs else (np.zeros(0), np.zeros(0))
+            return np.where(edits <= most, edits / np.maximum(most, 1), np.nan)
+
+        return far
+
+    def _entries(self, parts: int) -> DataFrame:
+        hot = self.hot
+
         def emit(batches):
-            names = ["doc_id", "tie", "line", "n_words", "node", "words"]
+            packer, i, j = Packer(parts, hot), *np.triu_indices(SKETCH, 1)
             for batch in batches:
-                for row, line, n, name, _, words in _lines(batch.column(2)):
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(line), pa.array(n), binary_rows(name), binary_rows(words())], names)
-
-        rows = self.docs.mapInArrow(emit, "doc_id long, tie long, line long, n_words long, node binary, words binary")
-        rows = self.work.save(rows, "rows")
-        place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tie", "line")
-        self.classes = self.work.save(rows.groupBy("node").agg(F.min(place).alias("first"), F.max("n_words").alias("n_words"), F.any_value("words").alias("words"), F.count("*").alias("k")), "classes")
-        words = [F.substring("words", 1 + _WORD * k, _WORD) for k in range(SKETCH)]
-        none = F.lit(bytes(_WORD))
-        keys = [F.when(b != none, F.xxhash64(a, b)) for a, b in itertools.combinations(words, 2)]
-        linked = self.groups(self.classes.where(F.col("n_words") >= MIN_WORDS).select(F.explode(F.array_compact(F.array(*keys))).alias("sig"), "node"))
-        named = self.classes.join(linked, "node", "left").select("node", "first", "k", F.coalesce("component", "node").alias("component"))
+                if not batch.num_rows:
+                    continue
+                node = batch.column(0).to_numpy(zero_copy_only=False)
+                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1)[:, 4 + BUCKETS :]
+                words = np.ascontiguousarray(words).view(np.uint32).astype(np.uint64)
+                words[:, 1] = np.where(words[:, 1] == 0, words[:, 0], words[:, 1])  # a line of one word, over and over
+                sig = K.mix(K.mix(words[:, i]) * np.uint64(3) + words[:, j])
+                has = (words[:, i] > 0) & (words[:, j] > 0)
+                yield from packer.add(sig[has], np.broadcast_to(node[:, None], has.shape)[has])
+            yield from packer.flush()
+
+        return self.items.select("node", "sketch").mapInArrow(emit, "part int, hot boolean, blob binary")
+
+    def lines(self) -> tuple[DataFrame, DataFrame]:
+        """Two tables, by key: n_lines (with a word) of each document that has any, and the lines that go: line, class_doc, class_line (the occurrence that stays)."""
+        def emit(batches):
+            names = ["doc_id", "key", "n_lines", "line", "long", "name", "id", "sketch"]
+            for batch in batches:
+                for row, line, n, name, chars, sketch in line_table(batch.column(2)):
+                    at = pa.array(row)
+                    ids = numbers(chars, np.ascontiguousarray(name[:, :8]).view(np.uint64).ravel())
+                    last = np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1)
+                    count = np.zeros(len(row), np.int64)
+                    count[last] = np.diff(np.append(-1, last))
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(at), batch.column(1).take(at), pa.array(count, mask=count == 0), pa.array(line),
+                        pa.array(n >= MIN_WORDS), binary_rows(name), pa.array(ids), binary_rows(sketch),
+                    ], names)
+
+        repeats = self.docs.groupBy("key").count().where("count > 1").isEmpty()
+        self.rows_repeat = not repeats
+        docs = self.docs if repeats else self.docs.dropDuplicates(["key"])
+        rows = self.work.save(docs.mapInArrow(emit, "doc_id long, key long, n_lines long, line long, long boolean, name binary, id long, sketch binary"), "rows")
+        place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "line")
+        classes = rows.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.first("long").alias("long"), F.first("id").alias("id"), F.first("sketch").alias("sketch"))
+        classes = self.work.save(self.numbered(self.work.save(classes, "classes")), "numbered")
+        self.items = classes.where("long").select("node", "first.key", "first.line", "sketch")
+        total = classes.count()
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SKETCH * (SKETCH - 1) // 2 // LIST_ENTRIES))
+        linked = self.groups(self._entries(parts), parts)
+        named = classes.select("name", "node", "first", "k").join(linked, "node", "left").select("name", "first", "k", F.coalesce("component", "node").alias("component"))
         least = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("k").alias("occurrences"))
-        several = named.join(least.where("occurrences > 1"), "component").select("node", "stays")
-        marked = rows.join(several, "node", "left").withColumn("place", place)
-        return marked.select(
-            "doc_id", "tie", "line", (F.col("stays").isNull() | (F.col("stays") == F.col("place"))).alias("kept"),
-            F.coalesce("stays.doc_id", "doc_id").alias("class_doc"), F.coalesce("stays.line", "line").alias("class_line"),
-        )
-
-
-def repeated_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, dropped (numbers of the lines that go, ascending) of documents that lose a line."""
-    gone = LineJoin(docs).lines().where("not kept")
-    return gone.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+        several = named.select("name", "component").join(least.where("occurrences > 1"), "component").select("name", "stays")
+        marked = rows.select("doc_id", "key", "line", "name").join(several, "name").where(F.col("stays") != place)
+        gone = marked.select("key", "line", F.col("stays.doc_id").alias("class_doc"), F.col("stays.line").alias("class_line"))
+        # A document's lines stand in one slice, so its count is in one row.
+        return rows.where("n_lines is not null").select("key", "n_lines"), gone
+
+
+def dropped_lines(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n_lines (with a word), dropped (numbers of the lines that go, ascending) of every row of docs."""
+    join = LineJoin(docs)
+    counts, gone = join.lines()
+    per = gone.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("dropped"))
+    return (
+        join.docs.select("doc_id", "key").join(counts.join(per, "key", "left"), "key", "left")
+        .select("doc_id", "key", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce("dropped", F.array().cast("array<bigint>")).alias("dropped"))
+    )
 
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with their texts cut to the lines that stay; all other columns as they are."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("dropped").alias("__dropped"))
-    rows = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__tie")), "left")
-    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__dropped", i.cast("long")))
-    return rows.withColumn("text", F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))).select(docs.columns)
+    key, dropped = free_name(docs, "__key"), free_name(docs, "__dropped")
+    gone = LineJoin(docs).lines()[1].groupBy(F.col("key").alias(key)).agg(F.collect_set("line").alias(dropped))
+    rows = docs.withColumn(key, row_key()).join(gone, key, "left")
+    stays = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(dropped, i.cast("long")))
+    return rows.withColumn("text", F.when(F.col(dropped).isNull(), F.col("text")).otherwise(F.array_join(stays, "\n"))).select(docs.columns)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """doc_id, n_lines (with a word), n_dropped, dropped (line numbers from 0, comma-joined) of every document that has a line with a word."""
-    lines = LineJoin(spark.read.parquet(f"{sf_dir}/documents.parquet")).lines()
-    gone = F.sort_array(F.collect_list(F.when(~F.col("kept"), F.col("line"))))
-    return lines.groupBy("doc_id", "tie").agg(F.count("*").alias("n_lines"), gone.alias("gone")).select(
-        "doc_id", "n_lines", F.size("gone").cast("long").alias("n_dropped"), F.array_join("gone", ",").alias("dropped"),
+    """doc_id, n_lines (with a word), n_dropped, dropped (line numbers from 0, comma-joined) of every document."""
+    return dropped_lines(spark.read.parquet(f"{sf_dir}/documents.parquet")).select(
+        "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"),
     )
