@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near duplicates, decontamination, mixing, token output.
 
 STAGES are (name, function); a function takes (spark, docs, sf_dir) and returns
-the next stage's docs. All but the last return the columns of ``documents``.
+the next stage's docs. All but the last return the columns of ``documents``,
+whatever their names are. An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations
@@ -9,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarnlight.llm.decontamination import drop_leaks
-from tarnlight.llm.jaccard import jaccard_components
+from tarnlight.llm.jaccard import drop_near_copies
 from tarnlight.llm.mixing import mixed_documents
-from tarnlight.llm.quality import fit_quality, quality_rules
-from tarnlight.llm.similarity import small_enough
+from tarnlight.llm.quality import drop_rejected, fit_quality
 from tarnlight.llm.store import Workspace
 from tarnlight.llm.token_output import write_and_digest
 
@@ -21,35 +21,33 @@ MIX_BLOCK_WORDS = 2048
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules or the forest reject go; each row's verdict is its own."""
-    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_rules(docs, model).where("quality_rules.kept").select(docs.columns)
+    """Rows that the rules or the forest reject go, null and empty texts among them; each row's verdict is its own, so repeats and ties fare alike."""
+    return drop_rejected(docs, fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays, once. Rows without an id or words stay."""
-    found = Workspace(spark, "kept").save(jaccard_components(docs).where("n_shingles > 0 and doc_id is not null"), "found")
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(small_enough(others), "doc_id", "left_anti").select(docs.columns)
-    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if again.isEmpty():
-        return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, "doc_id", "left_anti").union(once).select(docs.columns)
+    """Of each group of linked documents the one with the smallest id stays, once; rows without words stay, a null id comes last."""
+    return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that hold a passage of the benchmark go."""
+    """Rows that hold a passage of the benchmark go; a null or empty text holds none, equal rows fare alike, an empty benchmark removes nothing."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; a text that a pass takes in part is cut to that part."""
+    """Documents as often as the mix takes them; a text that a pass takes in part is cut to that part.
+
+    A null or blank text is never taken, a null source is one source, rows of equal id, source and text are one document.
+    """
     return mixed_documents(docs, MIX_BLOCK_WORDS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every row, read back from the token files."""
+    """doc_id, start, n_tokens, ids_crc32 of every row, read back from the token files.
+
+    A null or empty text is the end id alone; null ids come first, rows of one id are ordered by a hash of their text.
+    """
     return write_and_digest(docs)
 
 
