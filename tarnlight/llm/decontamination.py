@@ -10,20 +10,24 @@ Shorter passages of a longer item may be missed. A window of m bytes within k ed
 of some region of a text shares at least m - q + 1 - k q of its q-grams with it,
 all on diagonals that lie within k of each other. So the q-grams that text and
 window share are counted in overlapping diagonal bands, bands that meet the
-bound are kept, and each is verified by banded alignment.
+bound are kept, and each is verified by banded alignment. Items of Q to MIN_BYTES
+bytes are short enough to stand in a text by chance: they count only without an
+edit and between word ends.
 
 The benchmark is read in blocks of at most BLOCK_GRAMS q-grams; each block is one
-pass over the documents, and its index is what the workers are sent.
+pass over the documents, and its index is what the workers are sent, one at a time.
 
-Edge cases: null and empty texts, and items under MIN_BYTES bytes, match
-nothing; texts of any length are read whole; rows are independent, so repeats
-and null ids do not matter; empty tables give empty results; other columns pass
-through ``drop_leaks``.
+Edge cases: null and empty texts, and items under Q bytes, match nothing; texts
+of any length are read whole; rows are independent, so repeats and null ids do
+not matter; edits are counted in bytes, so one letter of another script may
+cost up to four, of a window whose length is in bytes too; empty tables give
+empty results; other columns pass through ``drop_leaks``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,11 +35,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
+from tarnlight.llm.similarity import few, free_name, row_key
+from tarnlight.llm.store import Workspace
 
 Q = 12
 WINDOW = 200
 STEP = 100
-PART, PART_STEP = 100, 25
+PART, PART_STEP = 72, 18
 MIN_BYTES = 40
 #: Edits allowed, as a share of a window's bytes.
 EDITS = 0.06
@@ -85,6 +91,18 @@ def best_alignment(pattern: np.ndarray, region: np.ndarray, budget: int) -> tupl
     return (int(row[end]), min(len(pattern) + end, len(region))) if row[end] <= budget else None
 
 
+def _whole_words(pattern: np.ndarray, body: np.ndarray, first: int, last: int, lo: int, hi: int) -> tuple[int, int] | None:
+    """As best_alignment in body[lo:hi], without an edit and where no letter or digit of the row, body[first:last], goes on at either end."""
+    needle, text = pattern.tobytes(), body[lo:hi].tobytes()
+    at = text.find(needle)
+    while at >= 0:
+        a, b = lo + at, lo + at + len(needle)
+        if (a == first or K.NOT_ALNUM[body[a - 1]] or K.NOT_ALNUM[body[a]]) and (b == last or K.NOT_ALNUM[body[b]] or K.NOT_ALNUM[body[b - 1]]):
+            return 0, at + len(needle)
+        at = text.find(needle, at + 1)
+    return None
+
+
 class LeakIndex:
     """Windows of a block of benchmark items, and where each q-gram stands in them."""
 
@@ -95,7 +113,7 @@ class LeakIndex:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body, _, _ = normalised(raw, np.array([0, len(raw)]))
             body = np.frombuffer(body.tobytes().strip(b" "), np.uint8)
-            if len(body) < MIN_BYTES:
+            if len(body) < q:
                 continue
             last = max(0, len(body) - WINDOW)
             for a in sorted({*range(0, last, STEP), last}):
@@ -108,7 +126,7 @@ class LeakIndex:
                 self.patterns.append(body[a : a + PART])
                 self.part.append(True)
         self.length = np.array([len(p) for p in self.patterns], np.int64)
-        self.budget = (self.length * edits).astype(np.int64)
+        self.budget = np.where(self.length < MIN_BYTES, 0, self.length * edits).astype(np.int64)
         self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
         found = [grams(p, q) for p in self.patterns]
         h = np.concatenate(found) if found else np.empty(0, np.uint64)
@@ -152,6 +170,8 @@ class LeakIndex:
             lo = max(int(bounds[r]), int(band[f]) * reach - int(self.budget[w]))
             hi = min(int(bounds[r + 1]), (int(band[f]) + 2) * reach + int(self.length[w]) + int(self.budget[w]))
             match = best_alignment(self.patterns[w], body[lo:hi], int(self.budget[w]))
+            if match and self.length[w] < MIN_BYTES:
+                match = _whole_words(self.patterns[w], body, int(bounds[r]), int(bounds[r + 1]), lo, hi)
             if match:
                 end = lo + match[1]
                 start = max(lo, end - int(self.length[w]))
@@ -218,9 +238,21 @@ def _leaks(index) -> Callable:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, all columns, in which no benchmark window is found."""
-    for items in benchmark_blocks(benchmark):
-        docs = docs.where(~_leaks(docs.sparkSession.sparkContext.broadcast(LeakIndex(items)))("text"))
-    return docs
+    context = docs.sparkSession.sparkContext
+    blocks = benchmark_blocks(benchmark)
+    one, more = next(blocks, None), next(blocks, None)
+    if one is None:
+        return docs
+    if more is None:
+        return docs.where(~_leaks(context.broadcast(LeakIndex(one)))("text"))
+    # Several blocks: a pass for each tells the rows that go, so that a worker holds one index at a time.
+    work, key = Workspace(docs.sparkSession, "leaks"), free_name(docs, "__key")
+    keyed = docs.withColumn(key, row_key())
+    found = None
+    for items in chain((one, more), blocks):
+        rows = keyed.where(_leaks(context.broadcast(LeakIndex(items)))("text")).select(key)
+        found = rows if found is None else found.union(rows)
+    return keyed.join(few(work.save(found.distinct(), "found")), key, "left_anti").select(docs.columns)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

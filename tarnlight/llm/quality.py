@@ -1,10 +1,10 @@
 """Quality rules with an isolation forest over their statistics.
 
 ``rule_statistics`` counts, per text, what the usual page rules look at. An
-isolation forest is grown on those statistics of a bounded sample of labelled
-rows; its path lengths give each text an anomaly score, and the score from
-which texts are rejected is calibrated on the same labelled rows so that at
-most ``max_false_rejects`` of the rows labelled good are lost.
+isolation forest is grown on those statistics of one half of a bounded sample of
+labelled rows; its path lengths give each text an anomaly score, and the score
+from which texts are rejected is calibrated on the other half so that at most
+``max_false_rejects`` of its rows labelled good are lost.
 
 Edge cases: a null or blank text has no words and fails the base rule; a text
 of any length is read whole; equal rows get equal verdicts, row by row, so
@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from tarnlight.llm import kernels as K
+from tarnlight.llm.similarity import free_name
 
 #: Rows with a label, lowest hashes first, from which forest and threshold are fitted.
 SAMPLE_ROWS = 20_000
@@ -213,9 +214,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
         return QualityModel(None, np.arange(0), 2.0)
     x = features({c: v[usable] for c, v in stats.items()})
     good = rows["good"].to_numpy()[usable] > 0
-    columns = telling_features(x, good)
-    forest = IsolationForest.fit(x[:, columns], good)
-    return QualityModel(forest, columns, calibrate(forest.score(x[:, columns]), good))
+    grown = np.arange(len(x)) % 2 == 0  # rows are in the order of their ids, which says nothing of them
+    if not (good[~grown].any() and (~good[~grown]).any()):
+        grown = np.ones(len(x), bool)
+    columns = telling_features(x[grown], good[grown])
+    forest = IsolationForest.fit(x[grown][:, columns], good[grown])
+    held = ~grown if (~grown).any() else grown
+    return QualityModel(forest, columns, calibrate(forest.score(x[held][:, columns]), good[held]))
 
 
 def quality_rules(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -227,13 +232,19 @@ def quality_rules(docs: DataFrame, model: QualityModel) -> DataFrame:
         counts = count_rules(pa.array(text, pa.string(), from_pandas=True))
         return pd.DataFrame(counts | {"score": model.score(counts)})
 
-    s = "__rules"
+    s = free_name(docs, "__rules")
     failed = base_failed(F.col(f"{s}.n_words"), F.col(f"{s}.n_repeat_words"))
     return docs.withColumn(s, judged("text")).withColumn("quality_rules", F.struct(
         *(f"{s}.{c}" for c in COUNTS), failed.alias("base_failed"), f"{s}.score", (~failed & (F.col(f"{s}.score") < model.threshold)).alias("kept"),
     )).drop(s)
 
 
+def drop_rejected(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The rows of docs that the base rule and the forest keep, all columns as they are."""
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return quality_rules(rows, model).where("quality_rules.kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -1,17 +1,103 @@
-"""Registered queries of the subpackage: name -> (spark, sf_dir) -> DataFrame."""
+"""Registered queries of the subpackage: name -> (spark, sf_dir) -> DataFrame.
+
+A forest, a tokenizer, a permutation by Spark's hash and near copies are beyond SQL; tests hold those
+queries against brute force. What SQL can tell of op2, op4, op5, op7 and op8 (their fixed columns)
+is registered as queries of their own, over the same whole tables and through the same operators.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
 from tarnlight.llm.decontamination import op10
 from tarnlight.llm.fuzzy_lines import op3
 from tarnlight.llm.jaccard import op9
-from tarnlight.llm.license_scan import op5
+from tarnlight.llm.license_scan import BASE, op5
 from tarnlight.llm.mixing import op4
 from tarnlight.llm.pii import op8
 from tarnlight.llm.quality import op2
 from tarnlight.llm.token_counts import op6
 from tarnlight.llm.token_output import op1
-from tarnlight.llm.url_filter import op7
+from tarnlight.llm.url_filter import RULES, op7
+
+_WORD = r"[^\x20\x09-\x0D]+"
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def quality_counts(spark, sf_dir: str) -> DataFrame:
+    return op2(spark, sf_dir).drop("score", "kept")
+
+
+QUALITY_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
+dups AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM lines WHERE regexp_matches(line, '{_WORD}')) WHERE r > 1 GROUP BY 1),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5),
+wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS n FROM starts),
+reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM wins WHERE n > 1) GROUP BY 1),
+c AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+ length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM t LEFT JOIN dups d USING (doc_id) LEFT JOIN reps r USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"""
+
+
+def mix_targets(spark, sf_dir: str) -> DataFrame:
+    return op4(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 6).alias("target"))
+
+
+MIX_SQL = rf"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT) + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS most FROM s),
+l AS (SELECT *, ((SELECT sum(source_size) FROM s) * 1.5 - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+t AS (SELECT source, source_size, least(most, (SELECT max(level) FROM l) * weight) AS target FROM l)
+SELECT doc_id, size, source_size, round(target, 6) AS target FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source"""
+
+
+def license_places(spark, sf_dir: str) -> DataFrame:
+    return op5(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def _phrase_sql(phrase: str, label: str) -> str:
+    words = phrase.split()
+    fits = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    return f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM starts WHERE {fits}"
+
+
+LICENSE_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+hits AS ({" UNION ALL ".join(_phrase_sql(*b) for b in BASE)})
+SELECT doc_id, len(any_value(w)) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    rows = op7(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("rule_verdict"))
+
+
+def _rule_case(value) -> str:
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{value(v, h, p)}'" for v, h, p in longest) + " END"
+
+
+URL_SQL = rf"""WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, {_LOWER.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r)
+SELECT page_id, host, path, {_rule_case(lambda v, h, p: h + p)} AS rule, {_rule_case(lambda v, h, p: v)} AS rule_verdict FROM p"""
+
+
+def personal_counts(spark, sf_dir: str) -> DataFrame:
+    return op8(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"""list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda k: CASE WHEN k % 2 = 1 THEN CAST({_DIGITS}[-k] AS INT)
+ ELSE 2 * CAST({_DIGITS}[-k] AS INT) - CASE WHEN CAST({_DIGITS}[-k] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0"""
+PERSONAL_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+e AS (SELECT doc_id, 'email' AS kind, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS x FROM t
+ UNION ALL SELECT doc_id, 'ip', unnest(regexp_extract_all(text, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)')) FROM t
+ UNION ALL SELECT doc_id, 'card', unnest(regexp_extract_all(text, '[0-9]([\x20-]?[0-9])+')) FROM t
+ UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]')) FROM t),
+k AS (SELECT doc_id, kind FROM e WHERE CASE kind WHEN 'email' THEN true WHEN 'ip' THEN list_max(list_transform(string_split(x, '.'), lambda p: CAST(p AS HUGEINT))) <= 255
+ WHEN 'phone' THEN length({_DIGITS}) BETWEEN 9 AND 15 ELSE length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN} END)
+SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone FROM t LEFT JOIN k USING (doc_id) GROUP BY 1"""
 
 QUERIES = {
     "op1_token_output_elias_fano": op1,
@@ -24,7 +110,18 @@ QUERIES = {
     "op8_pii_weak_supervision": op8,
     "op9_ngram_jaccard_join": op9,
     "op10_benchmark_decontamination": op10,
+    "quality_counts": quality_counts,
+    "mix_targets": mix_targets,
+    "license_places": license_places,
+    "url_rules": url_rules,
+    "personal_counts": personal_counts,
 }
 
 #: DuckDB SQL for those that SQL can express.
-ORACLE = {}
+ORACLE = {
+    "quality_counts": QUALITY_SQL,
+    "mix_targets": MIX_SQL,
+    "license_places": LICENSE_SQL,
+    "url_rules": URL_SQL,
+    "personal_counts": PERSONAL_SQL,
+}

@@ -1,12 +1,16 @@
 """Intermediate tables in the folder that all executors share.
 
-The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-(tests, a local shell) a folder of this process is made and set.
+The folder is the session's ``spark.checkpoint.dir``. Only where that is unset and
+Spark runs in this process (tests, a local shell) a folder is made and set, and
+removed when the process ends; on a cluster it must be set.
 """
 
 from __future__ import annotations
 
+import atexit
 import gc
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tarnlight-"))
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        own = tempfile.mkdtemp(prefix="tarnlight-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 

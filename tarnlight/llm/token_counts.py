@@ -28,6 +28,8 @@ from tarnlight.llm import kernels as K
 from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
 END = 256
+#: Bytes from which a word is read by itself, symbol by symbol.
+LONG_WORD = 256
 _NONE = -1
 
 
@@ -76,6 +78,7 @@ class LongestMatch:
         edges = sorted((u * 512 + x, v) for u, own in enumerate(children) for x, v in own.items())
         self.keys, self.to = np.array([k for k, _ in edges], np.int64), np.array([v for _, v in edges], np.int64)
         self.link, self.popped = np.array(link), np.array(popped)
+        self._edges: dict[int, int] | None = None
 
     def _child(self, at: np.ndarray, x: np.ndarray) -> np.ndarray:
         key = at * 512 + x
@@ -95,8 +98,33 @@ class LongestMatch:
             at[todo] = self.link[at[todo]]
         return at
 
+    def count_one(self, word: bytes) -> int:
+        """Pieces of one word, in time that grows with its length only."""
+        if self._edges is None:
+            self._edges = dict(zip(self.keys.tolist(), self.to.tolist(), strict=True))
+            self._link, self._popped = self.link.tolist(), self.popped.tolist()
+        edges, link, popped, at, count = self._edges, self._link, self._popped, 0, 0
+        for x in (*word, END):
+            to = edges.get(at * 512 + x)
+            while to is None:
+                count += popped[at]
+                at = link[at]
+                to = edges.get(at * 512 + x)
+            at = to
+        while at:
+            count += popped[at]
+            at = link[at]
+        return count
+
     def count(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Pieces of each word data[start:end], in lock step over all words."""
+        """Pieces of each word data[start:end]: long ones one by one, the rest in lock step."""
+        out = np.empty(len(starts), np.int64)
+        long = ends - starts >= LONG_WORD
+        out[long] = [self.count_one(data[a:b].tobytes()) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        out[~long] = self._lock_step(data, starts[~long], ends[~long])
+        return out
+
+    def _lock_step(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         order = np.argsort(starts - ends, kind="stable")  # longest first: the words still being read are a prefix
         first, size = starts[order], (ends - starts)[order]
         at, count = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)

@@ -41,6 +41,8 @@ _BLOCKS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 _DIGEST = "doc_id long, part int, seq int, start_in_block long, n_tokens long, ids_crc32 long"
 #: Distinct pieces between spaces, and distinct words, whose ids a worker keeps.
 _MEMO = 300_000
+#: Boundaries that are selected at once.
+_SELECTED = 4096
 #: The normalizer for which a plain piece can be cut into words before it is looked up.
 _NORMALIZER = {
     "type": "Sequence",
@@ -122,7 +124,7 @@ def pack_block(doc_ids: list[int | None], docs: list[np.ndarray], width: int) ->
     first = int(known[0]) if len(known) else 0
     bounds = np.concatenate([[0], np.cumsum([len(x) for x in docs], dtype=np.int64)])
     return b"".join([
-        _HEAD.pack(b"TKEF", 1, width, len(doc_ids) - len(known), first),
+        _HEAD.pack(b"TKEF", 2, width, len(doc_ids) - len(known), first),
         EliasFano.encode(known.astype(np.uint64) - np.array(first, np.int64).astype(np.uint64)).to_bytes(),
         EliasFano.encode(bounds).to_bytes(),
         np.concatenate(docs).astype(f"<u{width}").tobytes(),
@@ -134,7 +136,7 @@ class Block:
 
     def __init__(self, payload: bytes):
         magic, version, width, self.unnamed, first = _HEAD.unpack_from(payload)
-        if (magic, version) != (b"TKEF", 1):
+        if (magic, version) != (b"TKEF", 2):
             raise ValueError("not a token block")
         known, at = EliasFano.from_bytes(payload, _HEAD.size)
         self.bounds, at = EliasFano.from_bytes(payload, at)
@@ -195,10 +197,11 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, seq, payload in zip(*(batch.column(k) for k in range(3)), strict=True):
                 block = Block(payload.as_py())
-                bounds, n = block.bounds.values().astype(np.int64), len(block.doc_ids)
-                ids = block.ids.astype("<u4")
-                crc = [zlib.crc32(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(block.doc_ids, pa.int64()), pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seq.as_py(), np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "part", "seq", "start_in_block", "n_tokens", "ids_crc32"])
+                for lo in range(0, len(block.doc_ids), _SELECTED):
+                    own = block.doc_ids[lo : lo + _SELECTED]
+                    n, bounds = len(own), block.bounds.select_many(np.arange(lo, lo + len(own) + 1)).astype(np.int64)
+                    crc = [zlib.crc32(block.ids[a:b].astype("<u4")) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(np.full(n, part.as_py(), np.int32)), pa.array(np.full(n, seq.as_py(), np.int32)), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())], ["doc_id", "part", "seq", "start_in_block", "n_tokens", "ids_crc32"])
 
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     starts = read_tokens(spark, path).select("part", "seq", "start")

@@ -3,7 +3,8 @@
 The rows that a rule decides are the labelled ones. Trees are fitted on the
 driver from at most SAMPLE_ROWS of them (lowest hashes first; a row is a dozen
 numbers) and become CASE expressions, so scoring is part of the scan. Suffix
-statistics are counts over all pages, joined back by the host's suffix.
+statistics are counts over all pages, joined back by the host's suffix; a labelled
+row's suffix rate leaves out the labels of its own fold, so no row is told its label.
 
 Edge cases: a null url, or one without "://", has an empty host and path, fits
 no rule and is judged by the trees; rows are independent, so ties, repeats and
@@ -33,6 +34,7 @@ DEPTH = 3
 RATE = 0.2
 #: Rows labelled that a suffix's rate leans on, of the overall rate.
 PRIOR_ROWS = 20
+FOLDS = 5
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "params", "labels", "hyphens", "fragment", "suffix_share", "suffix_rate")
 
 
@@ -83,14 +85,18 @@ def lexical(rows: DataFrame) -> DataFrame:
         "fragment": F.contains(url, F.lit("#")).cast("double"),
         "suffix": F.regexp_extract("host", r"[^.]*\.?[^.]*$", 0),
     })
-    blocked = F.sum(F.when(F.col("rule_verdict") == "block", 1).otherwise(0))
-    per = rows.groupBy("suffix").agg(F.count("*").alias("k"), blocked.alias("bad"), F.count("rule_verdict").alias("told"))
-    whole = rows.agg(F.count("*").alias("all"), (blocked / F.greatest(F.count("rule_verdict"), F.lit(1))).alias("rate"))
-    stats = per.join(F.broadcast(whole)).select(  # one row
-        "suffix", (F.col("k") / F.col("all")).alias("suffix_share"),
-        ((F.col("bad") + PRIOR_ROWS * F.coalesce("rate", F.lit(0.0))) / (F.col("told") + PRIOR_ROWS)).alias("suffix_rate"),
+    block = F.when(F.col("rule_verdict") == "block", 1).otherwise(0)
+    rows = rows.withColumn("fold", F.when(F.col("rule_verdict").isNotNull(), F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")))
+    in_fold = lambda c, k: F.sum(F.when(F.col("fold") == k, c).otherwise(0))
+    per = rows.groupBy("suffix").agg(
+        F.count("*").alias("k"), F.sum(block).alias("bad"), F.count("rule_verdict").alias("told"),
+        F.array(*(in_fold(block, k) for k in range(FOLDS))).alias("bad_in"), F.array(*(in_fold(F.lit(1), k) for k in range(FOLDS))).alias("told_in"),
     )
-    return rows.join(stats, "suffix").drop("suffix")
+    whole = rows.agg(F.count("*").alias("all"), (F.sum(block) / F.greatest(F.count("rule_verdict"), F.lit(1))).alias("rate"))
+    stats = per.join(F.broadcast(whole)).select("suffix", (F.col("k") / F.col("all")).alias("suffix_share"), "bad", "told", "bad_in", "told_in", F.coalesce("rate", F.lit(0.0)).alias("rate"))  # one row
+    own = lambda c: F.coalesce(F.element_at(c, F.col("fold") + 1), F.lit(0))
+    rate = (F.col("bad") - own("bad_in") + PRIOR_ROWS * F.col("rate")) / (F.col("told") - own("told_in") + PRIOR_ROWS)
+    return rows.join(stats, "suffix").withColumn("suffix_rate", rate).drop("suffix", "fold", "bad", "told", "bad_in", "told_in", "rate")
 
 
 @dataclass

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from tarnlight.llm import decontamination as D
 from tarnlight.llm.decontamination import best_alignment, drop_leaks, find_leaks
 
 
@@ -53,8 +54,52 @@ def test_leaks(spark, bench, docs, none):
 
 def test_partial_passages(spark, bench):
     benchmark, texts = bench
-    item = texts[2]
-    passages = [item[a : a + 124] for a in range(0, len(item) - 124, 7)] + [item[30:280], item[-124:], texts[1][50:174]]
+    item, n = texts[2], D.PART + D.PART_STEP - 1
+    passages = [item[a : a + n] for a in range(0, len(item) - n, 7)] + [item[30:280], item[-n:], texts[1][50 : 50 + n]]
     held = spark.createDataFrame([(k, f"qq {p} zz") for k, p in enumerate(passages)], "doc_id long, text string")
     assert {r.doc_id for r in find_leaks(held, benchmark).collect()} == set(range(len(passages)))
     assert drop_leaks(held, benchmark).count() == 0
+
+
+def test_short_items(spark):
+    """Under MIN_BYTES bytes an item counts without an edit and as whole words only."""
+    item = "a short question of 35 bytes, no more"
+    benchmark = spark.createDataFrame([(1, item), (2, "tiny item")], "item_id long, text string")
+    rows = [(1, f"so {item.upper()}!"), (2, item), (3, f"so {item}over"), (4, f"x{item}"), (5, item.replace("35", "36")), (6, "a tiny item"), (7, f"{item}over {item}")]
+    got = {r.doc_id for r in find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert got == {1, 2, 7}
+
+
+def test_against_brute_force(spark):
+    """Every window against every place of every text, by plain dynamic programming."""
+    r = random.Random(21)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    items = [(1, words(18)), (2, words(50))]
+    rows = []
+    for k in range(24):
+        body = [*items[k % 2][1]]
+        lo = r.randrange(max(1, len(body) - 150))
+        body = body[lo : lo + r.randint(60, 240)]
+        for _ in range(r.randint(0, 14)):
+            i, kind = r.randrange(len(body)), r.random()
+            body[i : i + 1] = [] if kind < 0.3 else [r.choice("xyz")] if kind < 0.6 else [body[i], r.choice("xyz")]
+        rows.append((k, f"{words(3)} {''.join(body)} {words(3)}"))
+    index = D.LeakIndex(items)
+    clean = lambda text: [*" ".join(text.lower().split()).encode()]
+    want = {
+        (k, index.items[w]) for k, text in rows for w, p in enumerate(index.patterns)
+        if least_edits([*p.tobytes()], clean(text)) <= index.budget[w]
+    }
+    held = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in find_leaks(held, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want and 4 < len({k for k, _ in want}) < len(rows)
+
+
+def test_many_blocks_repeats_and_clashes(spark, bench, monkeypatch):
+    monkeypatch.setattr(D, "BLOCK_GRAMS", 500)
+    benchmark, texts = bench
+    rows = [(1, texts[0]), (1, texts[0]), (2, texts[2]), (3, "clean words"), (3, "clean words"), (None, None)]
+    held = spark.createDataFrame([(*x, "k") for x in rows], "doc_id long, text string, __key string")
+    kept = drop_leaks(held, benchmark)
+    assert kept.columns == held.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["3", "3", "None"]
+    assert sorted((x.doc_id, x.item_id) for x in find_leaks(held, benchmark).collect()) == [(1, 0), (1, 0), (2, 2)]

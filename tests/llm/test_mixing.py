@@ -1,11 +1,14 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from conftest import DATA
 from pyspark.sql import functions as F
 
+from tarnlight.llm import mixing as M
 from tarnlight.llm.mixing import Mix, mixed_documents, permuted
 
+WORD = r"[^\x20\x09-\x0D]+"
+
 
 def targets(sizes):
     """By hand: excess over twice a source's size is shared again until none is left."""
@@ -42,9 +45,44 @@ def test_targets_and_takes(spark):
     assert places.distinct().count() == places.count() == mix.sources.agg(F.sum("draws")).first()[0]
 
 
+def test_taken_by_hand(spark):
+    """What every document gives, recounted word by word from the slots of the shards."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    mix = Mix(docs, 8)
+    times = Counter((r.s, r.block) for r in mix.slots.collect())
+    want = Counter()
+    for r in mix.rows.collect():
+        want[r.doc_id] += sum(times[r.s, w // 8] for w in range(r.start, r.start + r.size))
+    assert {r.doc_id: r.taken for r in mix.taken().collect()} == dict(want)
+
+
+def test_shards(spark, monkeypatch):
+    """Shards are full, sources get their number, and the counts of a shard scatter as a multinomial's do."""
+    monkeypatch.setattr(M, "SHARD_SLOTS", 64)
+    mix = Mix(spark.read.parquet(f"{DATA}/documents.parquet"), 16)
+    counts = mix.counts.collect()
+    per_shard, per_source = Counter(), Counter()
+    for r in counts:
+        per_shard[r.shard] += r.n
+        per_source[r.s] += r.n
+    full = {k: n for k, n in per_shard.items() if k != max(per_shard)}
+    assert set(full.values()) == {64} and 0 < per_shard[max(per_shard)] <= 64
+    draws = {r.s: r.draws for r in mix.sources.collect()}
+    assert dict(per_source) == {s: n for s, n in draws.items() if n}
+    got = Counter({(r.shard, r.s): r.n for r in counts})
+    total, chi, cells = sum(draws.values()), 0.0, 0
+    for s, n in draws.items():
+        mean = 64 * n / total
+        if mean >= 3:
+            chi += sum((got[k, s] - mean) ** 2 / (mean * (1 - n / total)) for k in full)
+            cells += len(full)
+    assert cells and 0.8 < chi / cells < 1.2
+    assert "shard" in mix.slots.columns and mix.slots.groupBy("shard").count().where("count > 64").isEmpty()
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 1000):
-        got = [r[0] for r in spark.range(n).select(permuted(F.col("id"), F.lit(n).cast("long"), F.lit(3))).collect()]
+        got = [r[0] for r in permuted(spark.range(n), "id", F.lit(n).cast("long"), F.lit(3)).collect()]
         assert sorted(got) == list(range(n))
 
 
@@ -52,7 +90,16 @@ def test_mixed_documents(docs, none):
     out = mixed_documents(docs, 8)
     assert out.columns == docs.columns and mixed_documents(none, 8).count() == 0
     whole = Mix(docs.dropDuplicates(["doc_id", "source", "text"]), 8).taken().agg(F.sum("taken")).first()[0]
-    assert out.agg(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()[0] == whole
+    assert out.agg(F.sum(F.regexp_count("text", F.lit(WORD)))).first()[0] == whole
+
+
+def test_repeated_rows_and_clashing_columns(docs):
+    twice = docs.union(docs).withColumn("__key", F.lit(1)).withColumn("__runs", F.lit("x")).withColumn("s", F.lit(2)).withColumn("shard", F.lit(3))
+    out = mixed_documents(twice, 8)
+    assert out.columns == twice.columns
+    once = mixed_documents(docs.dropDuplicates(["doc_id", "source", "text"]), 8)
+    assert sorted(map(str, out.select(docs.columns).collect())) == sorted(map(str, once.collect()))
+    assert Mix(twice).taken().count() == 2 * docs.count()
 
 
 def test_edges(docs, none):

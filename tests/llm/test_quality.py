@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 from conftest import DATA
 
-from tarnlight.llm.quality import COUNTS, count_rules, fit_quality, op2, quality_rules
+from tarnlight.llm.quality import COUNTS, count_rules, drop_rejected, fit_quality, op2, quality_rules
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -43,3 +43,29 @@ def test_edges(spark, docs, none):
     out = quality_rules(docs.withColumnRenamed("lang", "quality_rules"), model)
     assert out.count() == docs.count() and quality_rules(none, model).count() == 0
     assert all(r.quality_rules.kept != r.quality_rules.base_failed for r in quality_rules(docs, model).collect())
+
+
+def test_lines_that_a_polynomial_confuses():
+    lines = ["".join("ab"[(k.bit_count() + flip) % 2] for k in range(1024)) for flip in (0, 1)]
+    assert count_rules(pa.array(["\n".join(lines)]))["n_dup_lines"][0] == 0
+    assert count_rules(pa.array(["\n".join([*lines, lines[0]])]))["n_dup_lines"][0] == 1
+
+
+def test_held_out(spark):
+    """Fitted on the labels of three quarters of the rows, told on the rest."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = fit_quality(docs, labels.where("doc_id % 4 <> 0"))
+    rows = quality_rules(docs.where("doc_id % 4 = 0"), model).join(labels, "doc_id").where("not quality_rules.base_failed").select("quality", "quality_rules.kept").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert len(bad) > 50 and np.mean(good) >= 0.99 and np.mean(bad) <= 0.15
+
+
+def test_repeats_and_clashing_columns(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    clash = docs.union(docs).withColumnRenamed("lang", "quality_rules").withColumnRenamed("source", "__rules")
+    model = fit_quality(clash, labels)
+    out = drop_rejected(clash, model)
+    assert out.columns == clash.columns and {r.quality_rules for r in out.collect()} <= {"en"}
+    assert sorted(map(str, out.collect())) == sorted(2 * [str(r) for r in drop_rejected(clash.limit(docs.count()), model).collect()])
+    assert drop_rejected(none, model).count() == 0

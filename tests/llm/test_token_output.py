@@ -15,7 +15,14 @@ from tarnlight.llm.vocabulary import tokenizer_file
 def test_elias_fano_round_trip(values):
     values.sort()
     code, end = EliasFano.from_bytes(EliasFano.encode(np.array(values, np.uint64)).to_bytes())
-    assert code.values().tolist() == values and [code.select(i) for i in range(len(values))] == values
+    assert code.values().tolist() == values and code.select_many(np.arange(len(values))).tolist() == values
+    assert all(code.select(i) == values[i] for i in range(0, len(values), 7))
+
+
+def test_elias_fano_space():
+    """About 2 bits and the low bits a value, and less than 64."""
+    values = np.cumsum(np.random.default_rng(1).integers(1, 900, 50_000)).astype(np.uint64)
+    assert 8 * len(EliasFano.encode(values).to_bytes()) / len(values) < 2.2 + np.log2(900)
 
 
 def test_blocks_round_trip():
@@ -41,3 +48,5 @@ def test_digest(docs, none, words):
         at += len(ids)
     assert sorted(map(tuple, write_and_digest(docs).collect()), key=lambda r: r[1]) == wanted
     assert write_and_digest(none).count() == 0
+    twice = sorted(map(tuple, write_and_digest(docs.union(docs).withColumn("part", docs.n_chars)).collect()), key=lambda r: r[1])
+    assert len(twice) == 2 * len(wanted) and [r[1] for r in twice] == np.cumsum([0, *(r[2] for r in twice)])[:-1].tolist()
