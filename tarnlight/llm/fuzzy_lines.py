@@ -5,11 +5,16 @@ lower-cased) with one space between. Lines of equal normal form are one class.
 Classes of MIN_WORDS words or more link when their edit distance is at most a
 tenth of the longer one. Candidates share two of their SKETCH words, in the same
 order: the words of least hash over weight, where the weight grows with a word's
-length, so edits elsewhere do not change which words are chosen. That is a
-sampling, not a bound: a pair whose edits touch most of its words can be missed
-(the README has the measured recall, and why blocks of SimHash bits found less).
-Counts of letters refute most candidates and no similar pair. Of each connected
-group only the first occurrence (smallest id, then line) stays.
+length, so edits elsewhere do not change which words are chosen, and they stand
+within the allowed edits of the same place. That is a sampling, not a bound: a
+pair whose edits touch most of its words can be missed (the README has the
+measured recall, and why blocks of SimHash bits found less). Counts of letters
+refute most candidates and no similar pair. Of each connected group only the
+first occurrence (smallest id, then line) stays.
+
+Equal lines of a task are put together before they are dealt out: one goes to
+its class, the others only tell where they stand. So a line that stands in a
+third of all documents loads no task.
 
 Edge cases: null and empty texts have no lines; lines without a word are never
 dropped; a line of any length is one line; null ids sort last; rows of equal
@@ -26,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.similarity import LIST_ENTRIES, Packer, SimilarityJoin, binary_rows, few, free_name, numbers, row_key
+from tarnlight.llm.similarity import BROADCAST_ROWS, LIST_ENTRIES, Packer, SimilarityJoin, free_name, numbers, row_key
 
 MIN_WORDS = 5
 #: Words of a line of which candidates share two.
@@ -38,6 +43,13 @@ BUCKETS = 32
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: A line's characters, counts of letters, and of SKETCH words as they follow each other hashes (0 where there are fewer) and places (65,535 at most).
+SKETCHES = np.dtype([("chars", "<u4"), ("letters", "u1", BUCKETS), ("word", "<u4", SKETCH), ("place", "<u2", SKETCH)])
+#: A line as it is dealt to its class, and one that its task has told of already.
+_FIRST = np.dtype([("one", "<u8"), ("two", "<u8"), ("unnamed", "?"), ("doc", "<i8"), ("key", "<i8"), ("line", "<i4"), ("k", "<i8"), ("long", "?"), ("sketch", SKETCHES)])
+_COPY = np.dtype([("one", "<u8"), ("two", "<u8"), ("chars", "<u4"), ("key", "<i8"), ("line", "<i4")])
+#: Lines of a task that are put together at once.
+_HELD = 1 << 17
 
 
 def normal_form(line: str) -> str:
@@ -47,7 +59,7 @@ def normal_form(line: str) -> str:
 def line_table(texts: pa.Array):
     """(row, line, words, name (16 bytes), characters, sketch) of each line with a word; lines from 0.
 
-    A sketch: characters (4 bytes), counts of letters, and hashes (4 bytes each, 0 where there are fewer) of its SKETCH words as they follow each other.
+    A sketch: see SKETCHES.
     """
     for lo, hi, data, at in K.text_slices(texts):
         low = K.LOWER[data]
@@ -72,17 +84,24 @@ def line_table(texts: pa.Array):
         counts = np.bincount(bucket, minlength=len(first) * BUCKETS).reshape(-1, BUCKETS)
         chars = counts.sum(1) + n - 1
         counts[:, 0] += n - 1
-        words = sketch_words(h, of, ends - starts, len(first))
-        sketch = np.concatenate([chars.astype("<u4").view(np.uint8).reshape(-1, 4), np.minimum(counts, 255).astype(np.uint8), words.view(np.uint8).reshape(len(first), -1)], axis=1)
+        sketch = np.zeros(len(first), SKETCHES)
+        sketch["chars"], sketch["letters"] = chars, np.minimum(counts, 255)
+        # Where a word begins in the normal form: the letters before it, and a space for each word before.
+        letters = np.zeros(len(low) + 1, np.int64)
+        letters[letter + 1] = 1
+        np.cumsum(letters, out=letters)
+        begins = letters[starts] - letters[starts[first]][of] + place.astype(np.int64)
+        sketch_words(h, of, ends - starts, begins, sketch)
         row = rows[first]
         yield lo + row, line[first] - breaks[at[row]], n, name, chars, sketch
 
 
-def sketch_words(h: np.ndarray, of: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
-    """The hashes (32 bits, 0 where there are fewer) of SKETCH distinct words of each of n lines, in the order in which they first stand there.
+def sketch_words(h: np.ndarray, of: np.ndarray, size: np.ndarray, begins: np.ndarray, sketch: np.ndarray) -> None:
+    """Sets word and place of each line's sketch: SKETCH distinct words, in the order in which they first stand there.
 
-    Words have hash h, line ``of`` (ascending) and size bytes.
+    Words have hash h, line ``of`` (ascending), size bytes, and begin at a character of the normal form.
     """
+    n = len(sketch)
     h = K.mix(h)
     rank = (-np.log(((h >> np.uint64(11)) + np.uint64(1)) / 2.0**53) / np.maximum(size - 2, 0.15) ** 2).astype(np.float32)
     bits = max(len(h) - 1, 1).bit_length()
@@ -92,17 +111,16 @@ def sketch_words(h: np.ndarray, of: np.ndarray, size: np.ndarray, n: int) -> np.
         order = (key & np.uint64((1 << bits) - 1)).astype(np.int64)
     else:
         order = np.lexsort((rank, of))
-    again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1]))
-    order = order[~again]
-    own = of[order]
-    count = np.bincount(own, minlength=n)
+    own, words = of[order], h[order]
+    order = order[np.append(True, (words[1:] != words[:-1]) | (own[1:] != own[:-1]))]
+    count = np.bincount(of[order], minlength=n)
     order = order[np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count) < SKETCH]
     order.sort()
     own = of[order]
     count = np.bincount(own, minlength=n)
-    out = np.zeros((n, SKETCH), np.uint32)
-    out[own, np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)] = h[order].astype(np.uint32) | np.uint32(1)
-    return out
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    sketch["word"][own, nth] = h[order].astype(np.uint32) | np.uint32(1)
+    sketch["place"][own, nth] = np.minimum(begins[order], 65535)
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -139,22 +157,129 @@ def similar_lines(a: str, b: str) -> bool:
     return abs(len(a) - len(b)) <= most and edit_distance(a, b, most) <= most
 
 
-def _letters(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of each line, and its counts of letters."""
-    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(len(sketches), 4 + BUCKETS + 4 * SKETCH)
-    return np.ascontiguousarray(rows[:, :4]).view("<u4").ravel().astype(np.int64), rows[:, 4 : 4 + BUCKETS].astype(np.int16)
+def _unpacked(sketches: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), SKETCHES)
+
+
+def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Edits between lines at least, by their letters and lengths, over the edits allowed; NaN beyond, or without two words (one of a line of one word) in common within them.
+
+    x: one sketch for each of y, or one for all.
+    """
+    n, k = x["chars"].astype(np.int64), y["chars"].astype(np.int64)
+    most = (EDITS * np.maximum(n, k)).astype(np.int64)
+    edits = np.maximum((np.abs(x["letters"].astype(np.int16) - y["letters"].astype(np.int16)).sum(-1, dtype=np.int64) + 1) // 2, np.abs(n - k))
+    out = np.where(edits <= most, edits / np.maximum(most, 1), np.nan)
+    left = np.flatnonzero(edits <= most)
+    if len(left):
+        x = x[left] if x.shape else x
+        y, most = y[left], most[left]
+        place = np.abs(x["place"].astype(np.int64)[..., :, None] - y["place"].astype(np.int64)[:, None, :]) <= most[:, None, None]
+        both = ((x["word"][..., :, None] == y["word"][:, None, :]) & (y["word"] > 0)[:, None, :] & place).sum((1, 2))
+        few_words = (y["word"] > 0).sum(1) < 2
+        out[left[(both < 2) & ~(few_words & (both > 0))]] = np.nan
+    return out
+
+
+class _Classes:
+    """Puts the equal lines of a task together and deals them out: rows part, copies, blob."""
+
+    def __init__(self, parts: int):
+        self.parts, self.held, self.n = parts, [], 0
+
+    def add(self, lines: np.ndarray):
+        self.held.append(lines)
+        self.n += len(lines)
+        if self.n >= _HELD:
+            yield from self.flush()
 
+    def flush(self):
+        if not self.n:
+            return
+        rows = np.concatenate(self.held)
+        self.held, self.n = [], 0
+        rows, first = in_classes(rows)
+        rest = rows[~first]
+        copies = np.zeros(len(rest), _COPY)
+        for name in ("one", "two", "key", "line"):
+            copies[name] = rest[name]
+        copies["chars"] = rest["sketch"]["chars"]
+        heads = rows[first]
+        heads["k"] = np.add.reduceat(rows["k"], np.flatnonzero(first))
+        yield from self._dealt(_numbers(heads["one"], heads["sketch"]["chars"]).view(np.uint64), heads, False)
+        yield from self._dealt(copies["key"].view(np.uint64) + copies["line"].astype(np.uint64), copies, True)
 
-def _edits(n, own, k, other) -> tuple[np.ndarray, np.ndarray]:
-    """Edits between lines at least, by their letters and lengths, and edits allowed."""
-    apart = np.abs(own - other).sum(-1, dtype=np.int64)
-    return np.maximum((apart + 1) // 2, np.abs(n - k)), (EDITS * np.maximum(n, k)).astype(np.int64)
+    def _dealt(self, by: np.ndarray, rows: np.ndarray, copies: bool):
+        if not len(rows):
+            return
+        part = (K.mix(by) % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        part, rows = part[order], rows[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        blobs = [rows[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(rows)), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(part[starts]), pa.array(np.full(len(starts), copies)), pa.array(blobs, pa.binary())], ["part", "copies", "blob"])
+
+
+def _numbers(one: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    return numbers(chars.astype(np.int64), one)
+
+
+def in_classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by name, the first occurrence (smallest id, nulls last, then key and line) before the others, and which rows are first."""
+    rows = rows[np.lexsort((rows["line"], rows["key"], rows["doc"], rows["unnamed"], rows["two"], rows["one"]))]
+    return rows, np.append(True, (rows["one"][1:] != rows["one"][:-1]) | (rows["two"][1:] != rows["two"][:-1]))
+
+
+_MEMBERS = "node long, doc_id long, key long, line int, k long, long boolean, sketch binary, number long, name binary"
+
+
+def _read_classes(batches):
+    """Whole partitions of _Classes' rows to _MEMBERS: a row for each class, with its first occurrence, its size and sketch; and one for each other occurrence, without.
+
+    node: the class's number, or another where two classes have the same; then number and name tell which.
+    """
+    names = [x.split()[0] for x in _MEMBERS.split(", ")]
+    heads, copies = [], []
+    for batch in batches:
+        for copy, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            (copies if copy else heads).append(np.frombuffer(blob, _COPY if copy else _FIRST))
+    if copies:
+        rows = np.concatenate(copies)
+        number = _numbers(rows["one"], rows["chars"])
+        yield _members(names, number, None, rows["key"], rows["line"], None, None, None, number, rows)
+    if not heads:
+        return
+    rows, first = in_classes(np.concatenate(heads))
+    starts = np.flatnonzero(first)
+    size = np.add.reduceat(rows["k"], starts)
+    number = _numbers(rows["one"], rows["sketch"]["chars"])
+    head = number[starts]
+    order = np.argsort(head, kind="stable")
+    same = np.append(False, head[order][1:] == head[order][:-1])
+    node_of_class = head.copy()
+    again = order[same]
+    node_of_class[again] = (K.mix(rows["one"][starts[again]] ^ K.mix(rows["two"][starts[again]])) | np.uint64(1 << 63)).view(np.int64)
+    node = node_of_class[np.cumsum(first) - 1]
+    doc = pa.array(rows["doc"][first], mask=rows["unnamed"][first])
+    yield _members(names, node[first], doc, rows["key"][first], rows["line"][first], size, rows["long"][first], rows["sketch"][first], number[first], rows[first])
+    yield _members(names, node[~first], None, rows["key"][~first], rows["line"][~first], None, None, None, None, None)
+
+
+def _members(names, node, doc, key, line, k, long, sketch, number, named):
+    n = len(node)
+    name = pa.nulls(n, pa.binary()) if named is None else pa.array([a.tobytes() + b.tobytes() for a, b in zip(named["one"], named["two"], strict=True)], pa.binary())
+    return pa.RecordBatch.from_arrays([
+        pa.array(node), pa.nulls(n, pa.int64()) if doc is None else doc, pa.array(key), pa.array(line), pa.nulls(n, pa.int64()) if k is None else pa.array(k),
+        pa.nulls(n, pa.bool_()) if long is None else pa.array(long), pa.nulls(n, pa.binary()) if sketch is None else pa.array([x.tobytes() for x in sketch], pa.binary()),
+        pa.nulls(n, pa.int64()) if number is None else pa.array(number), name,
+    ], names)
 
 
 class LineJoin(SimilarityJoin):
     """One run over docs; ``lines()`` is its result."""
 
     ratio = 1 - EDITS
+    turns = 3
 
     def __init__(self, docs: DataFrame):
         super().__init__(docs, "lines")
@@ -170,7 +295,8 @@ class LineJoin(SimilarityJoin):
                     out += [{"t": w["t"], "salt": w["salt"], "a": w["a"], "body": lines[w["line"]]} for w in own]
                 yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("t", pa.int64()), ("salt", pa.int32()), ("a", pa.int64()), ("body", pa.string())]))
 
-        return docs.join(few(self.work.save(per, "per-document")), "key").select("text", "wanted").mapInArrow(pick, "t long, salt int, a long, body string")
+        per = self.work.save(per, "per-document")
+        return docs.join(F.broadcast(per) if wanted.count() <= BROADCAST_ROWS // 8 else per, "key").select("text", "wanted").mapInArrow(pick, "t long, salt int, a long, body string")
 
     def prepared(self):
         return normal_form
@@ -180,24 +306,24 @@ class LineJoin(SimilarityJoin):
 
     def sketched(self):
         def block(sketches):
-            n, own = _letters(sketches)
+            rows = _unpacked(sketches)
+            order = np.argsort(rows["chars"], kind="stable")
+            rows = rows[order]
 
             def find(others):
-                for k, other in zip(*_letters(others), strict=True):
-                    edits, most = _edits(n, own, k, other)
-                    at = np.flatnonzero(edits <= most)
-                    yield at, edits[at] / most[at]
+                for other in _unpacked(others):
+                    n = int(other["chars"])
+                    lo, hi = np.searchsorted(rows["chars"], [int(n * (1 - EDITS)), int(n / (1 - EDITS)) + 1])
+                    far = _far(other, rows[lo : hi + 1])
+                    at = np.flatnonzero(~np.isnan(far))
+                    yield order[lo + at], far[at]
 
             return find
 
         return block
 
     def refuted(self):
-        def far(xs, ys):
-            edits, most = _edits(*_letters(xs), *_letters(ys)) if xs else (np.zeros(0), np.zeros(0))
-            return np.where(edits <= most, edits / np.maximum(most, 1), np.nan)
-
-        return far
+        return lambda xs, ys: _far(_unpacked(xs), _unpacked(ys)) if xs else np.zeros(0)
 
     def _entries(self, parts: int) -> DataFrame:
         hot = self.hot
@@ -208,8 +334,7 @@ class LineJoin(SimilarityJoin):
                 if not batch.num_rows:
                     continue
                 node = batch.column(0).to_numpy(zero_copy_only=False)
-                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(len(node), -1)[:, 4 + BUCKETS :]
-                words = np.ascontiguousarray(words).view(np.uint32).astype(np.uint64)
+                words = _unpacked(batch.column(1).to_pylist())["word"].astype(np.uint64)
                 words[:, 1] = np.where(words[:, 1] == 0, words[:, 0], words[:, 1])  # a line of one word, over and over
                 sig = K.mix(K.mix(words[:, i]) * np.uint64(3) + words[:, j])
                 has = (words[:, i] > 0) & (words[:, j] > 0)
@@ -220,38 +345,44 @@ class LineJoin(SimilarityJoin):
 
     def lines(self) -> tuple[DataFrame, DataFrame]:
         """Two tables, by key: n_lines (with a word) of each document that has any, and the lines that go: line, class_doc, class_line (the occurrence that stays)."""
+        self.rows_repeat = not self.docs.groupBy("key").count().where("count > 1").isEmpty()
+        docs = self.docs.dropDuplicates(["key"]) if self.rows_repeat else self.docs
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.docs.rdd.getNumPartitions())
+
         def emit(batches):
-            names = ["doc_id", "key", "n_lines", "line", "long", "name", "id", "sketch"]
+            classes = _Classes(parts)
             for batch in batches:
-                for row, line, n, name, chars, sketch in line_table(batch.column(2)):
-                    at = pa.array(row)
-                    ids = numbers(chars, np.ascontiguousarray(name[:, :8]).view(np.uint64).ravel())
-                    last = np.append(np.flatnonzero(row[1:] != row[:-1]), len(row) - 1)
-                    count = np.zeros(len(row), np.int64)
-                    count[last] = np.diff(np.append(-1, last))
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(at), batch.column(1).take(at), pa.array(count, mask=count == 0), pa.array(line),
-                        pa.array(n >= MIN_WORDS), binary_rows(name), pa.array(ids), binary_rows(sketch),
-                    ], names)
-
-        repeats = self.docs.groupBy("key").count().where("count > 1").isEmpty()
-        self.rows_repeat = not repeats
-        docs = self.docs if repeats else self.docs.dropDuplicates(["key"])
-        rows = self.work.save(docs.mapInArrow(emit, "doc_id long, key long, n_lines long, line long, long boolean, name binary, id long, sketch binary"), "rows")
+                ids, keys = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+                unnamed, doc = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
+                for row, line, n, name, _, sketch in line_table(batch.column(2)):
+                    rows = np.zeros(len(row), _FIRST)
+                    rows["one"], rows["two"] = (np.ascontiguousarray(name[:, 8 * k : 8 * k + 8]).view(np.uint64).ravel() for k in range(2))
+                    rows["unnamed"], rows["doc"], rows["key"], rows["line"] = unnamed[row], doc[row], keys[row], line
+                    rows["k"], rows["long"], rows["sketch"] = 1, n >= MIN_WORDS, sketch
+                    yield from classes.add(rows)
+            yield from classes.flush()
+
+        dealt = docs.mapInArrow(emit, "part int, copies boolean, blob binary").repartitionById(parts, F.col("part"))
+        members = self.work.save(dealt.mapInArrow(_read_classes, _MEMBERS), "members")
+        classes = members.where("k is not null")
+        other = classes.where("node <> number").select("number", "name", F.col("node").alias("other"))
+        if not other.isEmpty():  # copies of a class that has not the number of its name
+            members = members.join(other, ["number", "name"], "left").withColumn("node", F.coalesce("other", "node"))
+        members = members.select("node", "doc_id", "key", "line", "k")
+        self.items, self.renumbered = classes.where("long").select("node", "key", "line", "sketch"), None
+        total = self.items.count()
+        linked = self.groups(self._entries(parts_of := max(parts, -(-total * SKETCH * (SKETCH - 1) // 2 // LIST_ENTRIES))), parts_of)
+        # The first occurrence of each component of several classes, and of each class of several lines.
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "line")
-        classes = rows.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("k"), F.first("long").alias("long"), F.first("id").alias("id"), F.first("sketch").alias("sketch"))
-        classes = self.work.save(self.numbered(self.work.save(classes, "classes")), "numbered")
-        self.items = classes.where("long").select("node", "first.key", "first.line", "sketch")
-        total = classes.count()
-        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-total * SKETCH * (SKETCH - 1) // 2 // LIST_ENTRIES))
-        linked = self.groups(self._entries(parts), parts)
-        named = classes.select("name", "node", "first", "k").join(linked, "node", "left").select("name", "first", "k", F.coalesce("component", "node").alias("component"))
-        least = named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("k").alias("occurrences"))
-        several = named.select("name", "component").join(least.where("occurrences > 1"), "component").select("name", "stays")
-        marked = rows.select("doc_id", "key", "line", "name").join(several, "name").where(F.col("stays") != place)
-        gone = marked.select("key", "line", F.col("stays.doc_id").alias("class_doc"), F.col("stays.line").alias("class_line"))
-        # A document's lines stand in one slice, so its count is in one row.
-        return rows.where("n_lines is not null").select("key", "n_lines"), gone
+        several = linked.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node")).union(linked.select("node", "component"))
+        named = classes.select("node", place.alias("first")).join(several, "node")
+        least = named.groupBy("component").agg(F.min("first").alias("stays"))
+        stays = named.select("node", "component").join(least, "component").select("node", "stays")
+        own = classes.where("k > 1").select("node", place.alias("own"))
+        stays = own.join(stays, "node", "full").select("node", F.coalesce("stays", "own").alias("stays"))
+        gone = members.join(stays, "node").where((F.col("key") != F.col("stays.key")) | (F.col("line") != F.col("stays.line")))
+        gone = gone.select("key", F.col("line").cast("long").alias("line"), F.col("stays.doc_id").alias("class_doc"), F.col("stays.line").cast("long").alias("class_line"))
+        return members.groupBy("key").agg(F.count("*").alias("n_lines")), gone
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:

@@ -53,18 +53,14 @@ ROUNDS = 16
 SEED = 11
 
 
-def permuted(rows: DataFrame, name: str, n: Column, *key: Column) -> DataFrame:
-    """rows with the column ``name`` (long, 0 to n - 1) replaced by its image in a pseudorandom permutation of 0 .. n - 1, its own for each key.
+def permuted(index: Column, n: Column, *key: Column) -> Column:
+    """A pseudorandom permutation of 0 .. n - 1, its own for each key, at ``index`` (long)."""
+    def swap(x, r):
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) - x, n)
+        return F.when(F.xxhash64(r, F.greatest(x, other), *key).bitwiseAND(F.lit(1)) == 1, other).otherwise(x)
 
-    A round is two plain projections, so all of them are compiled into one loop over the rows.
-    """
-    other = free_name(rows, "other_of_swap")
-    for k in range(ROUNDS):
-        r = F.lit(k + 1)
-        rows = rows.withColumn(other, F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) - F.col(name), n))
-        swaps = F.xxhash64(r, F.greatest(name, other), *key).bitwiseAND(F.lit(1)) == 1
-        rows = rows.withColumn(name, F.when(swaps, F.col(other)).otherwise(F.col(name)))
-    return rows.drop(other)
+    # A lambda names its argument once; rounds written out as columns would double the expression each.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index, swap)
 
 
 class Mix:
@@ -163,8 +159,9 @@ class Mix:
         rows = rows.repartition(self._parts(), "shard", "s")
         rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         rows = rows.withColumn("k", F.col("first") + F.col("i"))
-        rows = rows.select("shard", (F.col("base") + F.col("i")).alias("place"), "s", "blocks", F.floor(F.col("k") / F.col("blocks")).cast("long").alias("pass"), F.pmod("k", "blocks").alias("block"))
-        return permuted(rows, "block", F.col("blocks"), F.col("s"), F.col("pass")).drop("blocks")
+        rows = rows.withColumn("pass", F.floor(F.col("k") / F.col("blocks")).cast("long"))
+        block = permuted(F.pmod("k", "blocks"), F.col("blocks"), F.col("s"), F.col("pass"))
+        return rows.select("shard", (F.col("base") + F.col("i")).alias("place"), "s", "pass", block.alias("block"))
 
     def pieces(self) -> DataFrame:
         """A row for each document and block that share words: first (word of the document) and words."""

@@ -12,7 +12,7 @@ joins move numbers only:
    fetched once for a pair and once for a pivot.
 3. The components of those links are found. Only lists whose members are still in several
    are looked at again, one of each set of equal lists, and there only pairs across
-   components: first the closest of each item and component, then all that are left.
+   components: in some turns the CLOSEST of each item, then all that are left.
 
 So every link that could join two components is tested, while a group of copies,
 however large, costs each member a few verifications.
@@ -37,13 +37,15 @@ SMALL_LIST = 24
 #: Members of a block of a longer list.
 BLOCK_MEMBERS = 4096
 #: Entries of a pack from which a signature's list is not put together in one task.
-HOT = 512
+HOT = 256
+#: Others of other components against which an item is verified in a turn.
+CLOSEST = 2
 #: Pairs verified against one copy of a pivot.
 PIVOT_PAIRS = 256
 #: Rows that are broadcast at most: some 50 bytes each. Beyond, they are joined by shuffle.
 BROADCAST_ROWS = 1 << 19
 #: Entries packed at once, and entries of a partition of lists.
-PACKED, LIST_ENTRIES = 1 << 20, 1 << 21
+PACKED, LIST_ENTRIES = 1 << 19, 1 << 20
 _HASH_BITS = 52
 _STEP = np.log(1.02)
 _MARK = np.int64(-1)
@@ -205,6 +207,8 @@ class SimilarityJoin(ABC):
 
     #: Least ratio of the sizes of similar items.
     ratio: float
+    #: Turns in which each item of a list with several components is verified against its closest only.
+    turns = 1
 
     @abstractmethod
     def bodies(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -275,7 +279,7 @@ class SimilarityJoin(ABC):
         both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
         return both.select(*names, "x", "y").mapInArrow(test, ", ".join(f"{c} long" for c in names) + ", far double")
 
-    def _linked(self, pairs: DataFrame, label: str) -> DataFrame:
+    def _linked(self, pairs: DataFrame, label: str, keep_pairs: bool = False) -> DataFrame:
         """Those of the pairs a, b that are similar, as u, v."""
         pairs = self.work.save(pairs.select("a", "b"), f"{label}-pairs")
         salts = F.ceil(F.col("count") / PIVOT_PAIRS).cast("int")
@@ -305,7 +309,7 @@ class SimilarityJoin(ABC):
 
         rows = self.bodies(docs, wanted).repartition("t", "salt").sortWithinPartitions("t", "salt", F.col("a").asc_nulls_first())
         out = self.work.save(rows.mapInArrow(verify, "u long, v long"), label)
-        for name in ("pairs", "wanted"):
+        for name in ("wanted",) if keep_pairs else ("wanted", "pairs"):
             self.work.drop(f"{label}-{name}")
         self.work.settle()
         return out
@@ -330,7 +334,7 @@ class SimilarityJoin(ABC):
     def _large(self, mixed: DataFrame, every: bool) -> DataFrame:
         """a, b of long lists: blocks of their members against blocks of those outside the largest component.
 
-        Of each item and component the closest, or all, that are not refuted.
+        Of each item the closest, or all, that are not refuted.
         """
         sketched = self.sketched()
         large = mixed.where(F.col("members") > SMALL_LIST)
@@ -352,13 +356,21 @@ class SimilarityJoin(ABC):
                 for a, p, (at, far) in zip(odd["node"], odd["component"], find(odd["sketch"].to_list()), strict=True):
                     other = component[at] != p
                     at, far = at[other], far[other]
-                    if not every and len(at):
-                        at = at[np.lexsort((far, component[at]))]
-                        at = at[np.append(True, component[at][1:] != component[at][:-1])]
-                    out += [(a, b) for b in node[at]]
-            return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                    if not every:
+                        best = np.argsort(far, kind="stable")[:CLOSEST]
+                        at, far = at[best], far[best]
+                    out += [(a, b, x) for b, x in zip(node[at], far, strict=True)]
+            return pd.DataFrame(out, columns=["a", "b", "far"]).astype({"a": "int64", "b": "int64", "far": "float64"})
 
-        return left.union(right).groupBy("sig", "i", "j").applyInPandas(scan, "a long, b long").distinct()
+        found = left.union(right).groupBy("sig", "i", "j").applyInPandas(scan, "a long, b long, far double")
+        return found.select("a", "b").distinct() if every else self._nearest(found)
+
+    @staticmethod
+    def _nearest(pairs: DataFrame) -> DataFrame:
+        """a, b: of each item in a the closest by far."""
+        by = Window.partitionBy("a").orderBy("far", "b")
+        once = pairs.select("a", "b", "far").distinct()
+        return once.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= CLOSEST).select("a", "b")
 
     def groups(self, entries: DataFrame, parts: int) -> DataFrame:
         """node, component of every item that is linked, but the smallest of each group. entries: rows of Packers with ``parts``."""
@@ -372,15 +384,25 @@ class SimilarityJoin(ABC):
         if mixed.isEmpty():
             return components
         small = work.save(self._small(mixed), "small")
-        closest = small.groupBy("a", "q").agg(F.min_by("b", F.struct("far", "b")).alias("b")).select("a", "b")
-        more = self._linked(closest.union(self._large(mixed, every=False)).distinct(), "more")
-        again = connected_components(found.union(more), work, "again")
-        named = lambda c, o: again.select(F.col("node").alias(c), F.col("component").alias(o))
-        left = small.select("a", "b").join(closest, ["a", "b"], "left_anti").join(named("a", "p"), "a", "left").join(named("b", "q"), "b", "left")
-        left = left.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b")
-        still = self._mixed(mixed.where(F.col("members") > SMALL_LIST), again, "still")
-        last = self._linked(left.union(self._large(still, every=True)).distinct(), "last")
-        whole = connected_components(found.union(more).union(last), work, "whole")
-        for label in ("dealt", "lists", "mixed", "small", "still"):
+        large = mixed.where(F.col("members") > SMALL_LIST)
+        tried = None
+        for turn in range(self.turns):
+            pairs = self._nearest(self._apart(small, components, tried)).union(self._large(large, every=False)).distinct()
+            found = found.union(self._linked(pairs, f"more-{turn}", keep_pairs=True))
+            own = self.spark.read.schema("a long, b long").parquet(work.path(f"more-{turn}-pairs"))
+            tried = own if tried is None else tried.union(own)
+            components = connected_components(found, work, f"again-{turn}")
+            large = self._mixed(large, components, f"large-{turn}")
+        left = self._apart(small, components, tried).select("a", "b")
+        last = self._linked(left.union(self._large(large, every=True)).distinct().join(tried, ["a", "b"], "left_anti"), "last")
+        whole = connected_components(found.union(last), work, "whole")
+        for label in ("dealt", "lists", "mixed", "small", *(f"large-{k}" for k in range(self.turns)), *(f"more-{k}-pairs" for k in range(self.turns))):
             work.drop(label)
         return whole
+
+    def _apart(self, pairs: DataFrame, components: DataFrame, tried: DataFrame | None) -> DataFrame:
+        """a, b, far of the pairs whose items are in several components and that have not been tried."""
+        named = lambda c, o: components.select(F.col("node").alias(c), F.col("component").alias(o))
+        rows = pairs.select("a", "b", "far").join(named("a", "p"), "a", "left").join(named("b", "q"), "b", "left")
+        rows = rows.where(F.coalesce("p", "a") != F.coalesce("q", "b")).select("a", "b", "far")
+        return rows if tried is None else rows.join(tried, ["a", "b"], "left_anti")
