@@ -30,7 +30,6 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -225,13 +224,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _leaks(index) -> Callable:
     """A column function: whether a text holds a window of the (broadcast) index."""
-    @F.pandas_udf("boolean")
-    def leaks(text: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def leaks(text: pa.Array) -> pa.Array:
         out = np.zeros(len(text), bool)
-        for lo, _, data, at in K.text_slices(pa.array(text, pa.string(), from_pandas=True)):
+        for lo, _, data, at in K.text_slices(text):
             for r, *_ in index.value.scan(data, at):
                 out[lo + r] = True
-        return pd.Series(out)
+        return pa.array(out)
 
     return leaks
 

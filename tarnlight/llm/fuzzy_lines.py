@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
-from tarnlight.llm.similarity import BROADCAST_ROWS, LIST_ENTRIES, Packer, SimilarityJoin, free_name, numbers, row_key
+from tarnlight.llm.similarity import BROADCAST_ROWS, LIST_ENTRIES, Packer, SimilarityJoin, free_name, numbers, ranked, row_key
 
 MIN_WORDS = 5
 #: Words of a line of which candidates share two.
@@ -206,7 +206,7 @@ class _Classes:
         copies["chars"] = rest["sketch"]["chars"]
         heads = rows[first]
         heads["k"] = np.add.reduceat(rows["k"], np.flatnonzero(first))
-        yield from self._dealt(_numbers(heads["one"], heads["sketch"]["chars"]).view(np.uint64), heads, False)
+        yield from self._dealt(heads["one"] >> np.uint64(18), heads, False)
         yield from self._dealt(copies["key"].view(np.uint64) + copies["line"].astype(np.uint64), copies, True)
 
     def _dealt(self, by: np.ndarray, rows: np.ndarray, copies: bool):
@@ -230,13 +230,14 @@ def in_classes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.append(True, (rows["one"][1:] != rows["one"][:-1]) | (rows["two"][1:] != rows["two"][:-1]))
 
 
-_MEMBERS = "node long, doc_id long, key long, line int, k long, long boolean, sketch binary, number long, name binary"
+_MEMBERS = "node long, doc_id long, key long, line int, k long, long boolean, sketch binary, number long, name binary, ranked long"
 
 
 def _read_classes(batches):
     """Whole partitions of _Classes' rows to _MEMBERS: a row for each class, with its first occurrence, its size and sketch; and one for each other occurrence, without.
 
     node: the class's number, or another where two classes have the same; then number and name tell which.
+    ranked: another number, by which the join knows the class. Classes that could agree in either are in one partition.
     """
     names = [x.split()[0] for x in _MEMBERS.split(", ")]
     heads, copies = [], []
@@ -246,32 +247,37 @@ def _read_classes(batches):
     if copies:
         rows = np.concatenate(copies)
         number = _numbers(rows["one"], rows["chars"])
-        yield _members(names, number, None, rows["key"], rows["line"], None, None, None, number, rows)
+        yield _members(names, number, None, rows["key"], rows["line"], None, None, None, number, rows, None)
     if not heads:
         return
     rows, first = in_classes(np.concatenate(heads))
     starts = np.flatnonzero(first)
     size = np.add.reduceat(rows["k"], starts)
     number = _numbers(rows["one"], rows["sketch"]["chars"])
-    head = number[starts]
-    order = np.argsort(head, kind="stable")
-    same = np.append(False, head[order][1:] == head[order][:-1])
-    node_of_class = head.copy()
-    again = order[same]
-    node_of_class[again] = (K.mix(rows["one"][starts[again]] ^ K.mix(rows["two"][starts[again]])) | np.uint64(1 << 63)).view(np.int64)
-    node = node_of_class[np.cumsum(first) - 1]
+    own = _unlike(number[starts], rows[starts])
+    by_copies = _unlike(ranked(rows["sketch"]["chars"][starts].astype(np.int64), size, rows["one"][starts]), rows[starts])
+    node = own[np.cumsum(first) - 1]
     doc = pa.array(rows["doc"][first], mask=rows["unnamed"][first])
-    yield _members(names, node[first], doc, rows["key"][first], rows["line"][first], size, rows["long"][first], rows["sketch"][first], number[first], rows[first])
-    yield _members(names, node[~first], None, rows["key"][~first], rows["line"][~first], None, None, None, None, None)
+    yield _members(names, node[first], doc, rows["key"][first], rows["line"][first], size, rows["long"][first], rows["sketch"][first], number[first], rows[first], by_copies)
+    yield _members(names, node[~first], None, rows["key"][~first], rows["line"][~first], None, None, None, None, None, None)
 
 
-def _members(names, node, doc, key, line, k, long, sketch, number, named):
+def _unlike(number: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The numbers, of equal ones but the first replaced by negative hashes of the names."""
+    order = np.argsort(number, kind="stable")
+    again = order[np.append(False, number[order][1:] == number[order][:-1])]
+    out = number.copy()
+    out[again] = (K.mix(heads["one"][again] ^ K.mix(heads["two"][again])) | np.uint64(1 << 63)).view(np.int64)
+    return out
+
+
+def _members(names, node, doc, key, line, k, long, sketch, number, named, ranks):
     n = len(node)
     name = pa.nulls(n, pa.binary()) if named is None else pa.array([a.tobytes() + b.tobytes() for a, b in zip(named["one"], named["two"], strict=True)], pa.binary())
     return pa.RecordBatch.from_arrays([
         pa.array(node), pa.nulls(n, pa.int64()) if doc is None else doc, pa.array(key), pa.array(line), pa.nulls(n, pa.int64()) if k is None else pa.array(k),
         pa.nulls(n, pa.bool_()) if long is None else pa.array(long), pa.nulls(n, pa.binary()) if sketch is None else pa.array([x.tobytes() for x in sketch], pa.binary()),
-        pa.nulls(n, pa.int64()) if number is None else pa.array(number), name,
+        pa.nulls(n, pa.int64()) if number is None else pa.array(number), name, pa.nulls(n, pa.int64()) if ranks is None else pa.array(ranks),
     ], names)
 
 
@@ -279,7 +285,7 @@ class LineJoin(SimilarityJoin):
     """One run over docs; ``lines()`` is its result."""
 
     ratio = 1 - EDITS
-    turns = 3
+    by_copies = True
 
     def __init__(self, docs: DataFrame):
         super().__init__(docs, "lines")
@@ -369,13 +375,13 @@ class LineJoin(SimilarityJoin):
         if not other.isEmpty():  # copies of a class that has not the number of its name
             members = members.join(other, ["number", "name"], "left").withColumn("node", F.coalesce("other", "node"))
         members = members.select("node", "doc_id", "key", "line", "k")
-        self.items, self.renumbered = classes.where("long").select("node", "key", "line", "sketch"), None
+        self.items, self.renumbered = classes.where("long").select(F.col("ranked").alias("node"), "key", "line", "sketch"), None
         total = self.items.count()
         linked = self.groups(self._entries(parts_of := max(parts, -(-total * SKETCH * (SKETCH - 1) // 2 // LIST_ENTRIES))), parts_of)
         # The first occurrence of each component of several classes, and of each class of several lines.
         place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key", "line")
         several = linked.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node")).union(linked.select("node", "component"))
-        named = classes.select("node", place.alias("first")).join(several, "node")
+        named = classes.select("node", "ranked", place.alias("first")).join(several.withColumnRenamed("node", "ranked"), "ranked")
         least = named.groupBy("component").agg(F.min("first").alias("stays"))
         stays = named.select("node", "component").join(least, "component").select("node", "stays")
         own = classes.where("k > 1").select("node", place.alias("own"))

@@ -73,9 +73,13 @@ def count_rules(texts: pa.Array) -> dict[str, np.ndarray]:
 _STATS = T.StructType([T.StructField(c, T.LongType(), False) for c in COUNTS])
 
 
-@F.pandas_udf(_STATS)
-def rule_statistics(text: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame(count_rules(pa.array(text, pa.string(), from_pandas=True)))
+def _struct(columns: dict[str, np.ndarray]) -> pa.Array:
+    return pa.StructArray.from_arrays([pa.array(v) for v in columns.values()], list(columns))
+
+
+@F.arrow_udf(_STATS)
+def rule_statistics(text: pa.Array) -> pa.Array:
+    return _struct(count_rules(text))
 
 
 def features(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -226,11 +230,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_RO
 def quality_rules(docs: DataFrame, model: QualityModel) -> DataFrame:
     """All rows and columns of docs, with a struct ``quality_rules``: COUNTS, base_failed, score, kept."""
 
-    @F.pandas_udf(T.StructType([*_STATS.fields, T.StructField("score", T.DoubleType(), False)]))
-    def judged(text: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(T.StructType([*_STATS.fields, T.StructField("score", T.DoubleType(), False)]))
+    def judged(text: pa.Array) -> pa.Array:
         """Counts and score in one function, so a task needs one Python worker."""
-        counts = count_rules(pa.array(text, pa.string(), from_pandas=True))
-        return pd.DataFrame(counts | {"score": model.score(counts)})
+        counts = count_rules(text)
+        return _struct(counts | {"score": model.score(counts)})
 
     s = free_name(docs, "__rules")
     failed = base_failed(F.col(f"{s}.n_words"), F.col(f"{s}.n_repeat_words"))

@@ -5,7 +5,9 @@ that agree by chance are numbered anew). Items that can be similar share a signa
 joins move numbers only:
 
 1. Signatures are dealt to partitions as packed blobs and become lists. Each member is
-   paired with its list's least one (the pivot). Very frequent signatures are not put
+   paired with its list's pivot: the member of most copies, where numbers tell them, and of
+   those the one of middle size, for variants are nearer to what they were made from than to each
+   other. Very frequent signatures are not put
    together in one task: their pivots come from an aggregation and a join.
 2. Pairs of all lists are deduplicated. A sketch of each item refutes most that are not
    similar and none that is; the rest are verified on the items themselves, which are
@@ -46,7 +48,7 @@ PIVOT_PAIRS = 256
 BROADCAST_ROWS = 1 << 19
 #: Entries packed at once, and entries of a partition of lists.
 PACKED, LIST_ENTRIES = 1 << 19, 1 << 20
-_HASH_BITS = 52
+_HASH_BITS, _RANK_AT = 52, 46
 _STEP = np.log(1.02)
 _MARK = np.int64(-1)
 
@@ -68,6 +70,13 @@ def numbers(sizes: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (code << np.uint64(_HASH_BITS) | h >> np.uint64(64 - _HASH_BITS)).view(np.int64)
 
 
+def ranked(sizes: np.ndarray, copies: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """As numbers, with six bits of the logarithm of an item's copies before the hash bits."""
+    code = np.minimum(np.log(np.maximum(sizes, 1)) / _STEP, 2047).astype(np.uint64)
+    rank = np.minimum(np.log2(np.maximum(copies, 1)), 63).astype(np.uint64)
+    return (code << np.uint64(_HASH_BITS) | rank << np.uint64(_RANK_AT) | h >> np.uint64(64 - _RANK_AT)).view(np.int64)
+
+
 def size_reach(ratio: float) -> int:
     """Steps by which the codes of sizes within ratio of each other may differ."""
     return int(np.ceil(-np.log(ratio) / _STEP))
@@ -154,7 +163,7 @@ def _repeated(name: np.ndarray) -> np.ndarray:
     return order[same[:-1] | same[1:]]
 
 
-def read_lists(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+def read_lists(batches: Iterator[pa.RecordBatch], reach: int, by_copies: bool = False) -> Iterator[pa.RecordBatch]:
     """part, hot, blob of whole partitions to home, sig, node, pivot: the members, but the pivot, of lists with two items or more.
 
     A list is cut where the sizes of its items, which their numbers begin with, leave a gap that no two
@@ -190,9 +199,20 @@ def read_lists(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.Rec
         if not len(home):
             continue
         first = np.append(True, (home[1:] != home[:-1]) | ((node[1:] >> _HASH_BITS) - (node[:-1] >> _HASH_BITS) > reach))
-        pivot = node[np.maximum.accumulate(np.where(first, np.arange(len(home)), 0))]
+        starts = np.flatnonzero(first)
+        sizes = np.diff(np.append(starts, len(home)))
+        rank = np.zeros(len(home), np.int64)
+        rank[starts + sizes // 2] = 1
+        if by_copies:
+            rank += (node >> _RANK_AT & 63) << 1
+        best = np.flatnonzero(rank == np.repeat(np.maximum.reduceat(rank, starts), sizes))
+        of = np.repeat(np.arange(len(starts)), sizes)
+        best = best[np.append(True, of[best][1:] != of[best][:-1])]
+        pivot = node[best][of]
+        member = np.ones(len(home), bool)
+        member[best] = False
         sig = K.mix(home.view(np.uint64) ^ K.mix(pivot.view(np.uint64))).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x[~first]) for x in (home, sig, node, pivot)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(x[member]) for x in (home, sig, node, pivot)], names)
 
 
 class SimilarityJoin(ABC):
@@ -209,6 +229,8 @@ class SimilarityJoin(ABC):
     ratio: float
     #: Turns in which each item of a list with several components is verified against its closest only.
     turns = 1
+    #: Whether items are numbered by ``ranked``.
+    by_copies = False
 
     @abstractmethod
     def bodies(self, docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -248,8 +270,8 @@ class SimilarityJoin(ABC):
 
     def _lists(self, entries: DataFrame, parts: int) -> DataFrame:
         """sig, node, pivot: the members, but the pivot, of each list."""
-        reach = size_reach(self.ratio)
-        dealt = entries.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: read_lists(batches, reach), "home long, sig long, node long, pivot long")
+        reach, by_copies = size_reach(self.ratio), self.by_copies
+        dealt = entries.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: read_lists(batches, reach, by_copies), "home long, sig long, node long, pivot long")
         rows = self.work.save(dealt, "dealt")
         hot = rows.where("pivot is null").select("home", "node")
         if self.renumbered is not None:  # all items of a number, with a pivot of its own for each list
@@ -259,7 +281,9 @@ class SimilarityJoin(ABC):
         elif hot.isEmpty():
             return rows.select("sig", "node", "pivot")
         hot = hot.distinct()
-        hot = hot.join(hot.groupBy("home").agg(F.min("node").alias("pivot")), "home").where("node <> pivot")
+        copies = F.shiftright("node", _RANK_AT).bitwiseAND(F.lit(63)) if self.by_copies else F.lit(0)
+        pivots = hot.groupBy("home").agg(F.max_by("node", F.struct(copies, F.xxhash64("node"), "node")).alias("pivot"))
+        hot = hot.join(pivots, "home").where("node <> pivot")
         lists = self.work.save(rows.where("pivot is not null").select("sig", "node", "pivot").union(hot.select("home", "node", "pivot")), "lists")
         self.work.drop("dealt")
         return lists

@@ -16,6 +16,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,7 +49,13 @@ class Workspace:
         return f"{self.root}/{label}"
 
     def save(self, df: DataFrame, label: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(label))
+        """Rows go to Python workers in batches of BATCH_ROWS at most, for they may hold long texts."""
+        kept = self.spark.conf.get(_BATCH)
+        self.spark.conf.set(_BATCH, min(int(kept), BATCH_ROWS) if int(kept) > 0 else BATCH_ROWS)
+        try:
+            df.write.mode("overwrite").parquet(self.path(label))
+        finally:
+            self.spark.conf.set(_BATCH, kept)
         return self.spark.read.schema(df.schema).parquet(self.path(label))
 
     def settle(self) -> None:
