@@ -57,13 +57,45 @@ def top_k(scored: DataFrame, session: str, item: str, score, k: int) -> DataFram
     return scored.withColumn("score", score).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+def allowed(rows: DataFrame, restrict: DataFrame | None, session: str, item: str) -> DataFrame:
+    """rows without those that restrict (session, item) does not have, of sessions that stand in it."""
+    if restrict is None:
+        return rows
+    bound = rows.join(restrict, [session, item], "left_semi")
+    return bound.union(rows.join(restrict.select(session).distinct(), session, "left_anti").select(bound.columns))
+
+
 def evidence_track(found: DataFrame, session: str, item: str, k: int) -> DataFrame:
     score = F.round(F.col("support") + X.PROMINENCE_WEIGHT * F.col("prominence"), 9)
     return top_k(found.where("support > 0"), session, item, score, k)
 
 
-def plausible_pool(found: DataFrame, session: str) -> DataFrame:
-    """session, pool: items whose support is near the best one's."""
+def with_primary(found: DataFrame, primary: DataFrame, items: DataFrame, session: str, item: str) -> DataFrame:
+    """Evidence with agreement in primary attributes: each stated value that is an item's own adds the same share of the total.
+
+    found: see evidence; primary: session, attribute (material or color), value; items: item, primary_material, primary_color.
+    """
+    stated = primary.groupBy(session).agg(F.count("*").alias("n"))
+    own = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(f"primary_{a}").alias("value")) for a in ("material", "color")))
+    has = items.select(item, F.explode(own).alias("p")).select(item, "p.attribute", "p.value").where("value <> ''")
+    agree = primary.join(has, ["attribute", "value"]).groupBy(session, item).agg(F.count("*").alias("agreement"))
+    totals = found.groupBy(session).agg(F.max("total").alias("said"))
+    rows = found.drop("total").join(agree, [session, item], "full").join(stated, session, "left").join(totals, session, "left")
+    said = F.coalesce("said", F.lit(0.0))
+    share = F.coalesce(X.PRIMARY_WEIGHT * F.greatest(said, F.lit(1.0)) / F.col("n"), F.lit(0.0))
+    return rows.select(
+        session, item, (F.coalesce("support", F.lit(0.0)) + share * F.coalesce("agreement", F.lit(0))).alias("support"),
+        F.coalesce("prominence", F.lit(0.0)).alias("prominence"), (said + share * F.coalesce("n", F.lit(0))).alias("total"),
+    )
+
+
+def contenders(found: DataFrame, session: str) -> DataFrame:
+    """session, contenders: items whose support is near the best one's; 0 where none has any."""
     best = found.groupBy(session).agg(F.max("support").alias("best"))
-    near = F.col("support") >= X.PLAUSIBLE_SHARE * F.col("best") - 1e-12
-    return found.join(best, session).groupBy(session).agg(F.greatest(F.lit(1), F.count(F.when(near & (F.col("best") > 0), 1))).alias("pool"))
+    near = (F.col("support") >= X.PLAUSIBLE_SHARE * F.col("best") - 1e-12) & (F.col("best") > 0)
+    return found.join(best, session).groupBy(session).agg(F.count(F.when(near, 1)).alias("contenders"))
+
+
+def plausible_pool(found: DataFrame, session: str) -> DataFrame:
+    """session, pool: contenders, one at least."""
+    return contenders(found, session).select(session, F.greatest(F.lit(1), "contenders").alias("pool"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tarnlight.functions import fixed as X, text as T
-from tarnlight.operators import clarify, dense, dialog, filters, fusion, keyword, metrics, phrases, scoring, shelf, simulate
+from tarnlight.operators import clarify, dense, dialog, filters, fusion, keyword, metrics, phrases, scoring, shelf, simulate, tracks
+from tarnlight.plans import turns
+from tarnlight.plans.index import CatalogIndex, build_index
+from tarnlight.work import Work
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -42,7 +45,7 @@ lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_s
 keyed AS (SELECT doc_id, {NORM.format('line')} AS key, pos FROM lines),
 posts AS (SELECT key, doc_id, min(pos) AS pos FROM keyed WHERE length(key) >= 4 GROUP BY 1, 2),
 idf AS (SELECT key, count(*) AS df, ln((SELECT count(*) FROM documents) / count(*)) AS idf FROM posts GROUP BY 1),
-asked AS (SELECT doc_id AS sid, key AS phrase FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM posts WHERE doc_id % 20 = 0) WHERE r <= 2)
+asked AS (SELECT doc_id AS sid, key AS phrase, pos AS place FROM posts WHERE doc_id % 20 = 0)
 """
 FOUND_SQL = POSTS_SQL + """,
 hits AS (SELECT sid, phrase, idf, doc_id, pos FROM asked JOIN idf ON key = phrase JOIN posts USING (key)),
@@ -58,10 +61,9 @@ def _posts(spark, d):
 
 
 def _asked(posts):
-    """Every document whose id is divisible by 20 asks for its first two keys."""
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    rows = posts.where("doc_id % 20 = 0").withColumn("r", F.row_number().over(by)).where("r <= 2")
-    return rows.select(F.col("doc_id").alias("sid"), F.col("key").alias("phrase"), F.lit(1.0).alias("weight"))
+    """Every document whose id is divisible by 20 asks for all its keys."""
+    rows = posts.where("doc_id % 20 = 0")
+    return rows.select(F.col("doc_id").alias("sid"), F.col("key").alias("phrase"), F.col("pos").alias("place"), F.lit(1.0).alias("weight"))
 
 
 def _found(spark, d):
@@ -133,6 +135,30 @@ def target_mrr(spark, d):
     return rows.agg(F.count("*").alias("sessions"), F.round(F.avg(F.coalesce(1 / F.col("rank"), F.lit(0.0))), 6).alias("mrr"))
 
 
+@query("""WITH posts AS (SELECT p_partkey AS item, trim(regexp_replace(lower(f), '[^a-z0-9]+', ' ', 'g')) AS key, pos - 1 AS pos FROM (SELECT p_partkey, unnest(['Brand: ' || p_brand, 'Size: ' || p_size, 'Type: ' || p_type]) AS f, unnest([1, 2, 3]) AS pos FROM part)),
+idf AS (SELECT key, ln((SELECT count(*) FROM part) / count(*)) AS idf FROM posts GROUP BY 1),
+own AS (SELECT p_partkey AS item, lower(regexp_extract(p_name, '(?i)""" + _words(X.PRIMARY_COLORS) + """', 1)) AS color FROM part),
+stated AS (SELECT item AS sid, color FROM own WHERE item % 20 = 0 AND color <> ''),
+hits AS (SELECT q.item AS sid, p.item AS item, sum(idf) AS support, sum(idf / (1 + p.pos)) AS prominence FROM posts q JOIN posts p USING (key) JOIN idf USING (key) WHERE q.item % 20 = 0 GROUP BY 1, 2),
+said AS (SELECT item AS sid, sum(idf) AS said FROM posts JOIN idf USING (key) WHERE item % 20 = 0 GROUP BY 1),
+agree AS (SELECT sid, item FROM stated JOIN own USING (color)),
+every AS (SELECT coalesce(h.sid, a.sid) AS sid, coalesce(h.item, a.item) AS item, coalesce(support, 0) AS support, coalesce(prominence, 0) AS prominence, a.sid IS NOT NULL AS agrees FROM hits h FULL JOIN agree a ON a.sid = h.sid AND a.item = h.item),
+total AS (SELECT e.sid, item, prominence, support + CASE WHEN agrees THEN 0.35 * greatest(said, 1.0) ELSE 0 END AS support, said + CASE WHEN s.sid IS NULL THEN 0 ELSE 0.35 * greatest(said, 1.0) END AS total FROM every e JOIN said USING (sid) LEFT JOIN stated s ON s.sid = e.sid)
+SELECT sid, item, rank, round(support, 6) AS support, round(support / total, 6) AS coverage FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(support + 0.25 * prominence, 9) DESC, item) AS rank FROM total) WHERE rank <= 10""")
+def evidence_primary_topk(spark, d):
+    """Quoted attributes and the stated color of every part whose key is divisible by 20."""
+    p = table(spark, d, "part")
+    told = F.array(*(F.concat(F.lit(f"{k}: "), F.col(c).cast("string")) for k, c in (("Brand", "p_brand"), ("Size", "p_size"), ("Type", "p_type"))))
+    items = p.select(F.col("p_partkey").alias("item"), told.alias("phrases"), F.lit(None).cast("string").alias("primary_material"), T.primary_attribute(F.col("p_name"), "color").alias("primary_color"))
+    posts = phrases.postings(items, "item", "phrases")
+    idf = phrases.phrase_idf(posts, items)
+    asked = posts.where("item % 20 = 0").select(F.col("item").alias("sid"), F.col("key").alias("phrase"), F.lit(1.0).alias("weight"))
+    stated = items.where("item % 20 = 0 and primary_color <> ''").select(F.col("item").alias("sid"), F.lit("color").alias("attribute"), F.col("primary_color").alias("value"))
+    found = phrases.with_primary(phrases.evidence(phrases.lookup(asked, posts, idf, "item"), "sid", "item"), stated, items, "sid", "item")
+    rows = phrases.evidence_track(found.withColumn("coverage", phrases.coverage()), "sid", "item", 10)
+    return rows.select("sid", "item", F.col("rank").cast("long").alias("rank"), *rounded("support", "coverage"))
+
+
 # ---------------------------------------------------------------- shelves over part
 
 PART_SQL = f"""
@@ -231,11 +257,11 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 
 @query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS l FROM documents), e AS (SELECT doc_id, unnest(l) AS t, generate_subscripts(l, 1) AS p FROM w),
-f AS (SELECT doc_id, t, min(p) AS p FROM e WHERE length(t) > 1 AND t NOT IN ({_STOP}) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS r FROM f)
-SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY p) FILTER (r <= 40), '') AS terms, count(t) AS n_terms FROM documents LEFT JOIN r USING (doc_id) GROUP BY 1""")
+f AS (SELECT doc_id, t, min(p) AS p FROM e WHERE length(t) > 1 AND t NOT IN ({_STOP}) GROUP BY 1, 2)
+SELECT doc_id, coalesce(string_agg(t, ' ' ORDER BY p), '') AS terms, count(t) AS n_terms FROM documents LEFT JOIN f USING (doc_id) GROUP BY 1""")
 def terms_tokens(spark, d):
     docs = table(spark, d, "documents").withColumn("t", T.terms(F.col("text")))
-    return docs.select("doc_id", F.array_join(F.slice("t", 1, 40), " ").alias("terms"), F.size("t").cast("long").alias("n_terms"))
+    return docs.select("doc_id", F.array_join("t", " ").alias("terms"), F.size("t").cast("long").alias("n_terms"))
 
 
 @query(f"SELECT DISTINCT {NORM.format('text')} AS phrase, length({NORM.format('text')}) AS n FROM benchmark")
@@ -363,9 +389,10 @@ BM25_SQL = POSTS_SQL + f""",
 fields AS (SELECT doc_id, unnest([struct_pack(t := split_part(text, chr(10), 1), w := 6.0::DOUBLE), struct_pack(t := substring(text, length(split_part(text, chr(10), 1)) + 1), w := 2.5::DOUBLE), struct_pack(t := lang, w := 4.0::DOUBLE), struct_pack(t := source, w := 1.5::DOUBLE)]) AS f FROM documents),
 toks AS (SELECT doc_id, unnest({_TOKENS_SQL.format('f.t')}) AS term, f.w AS w FROM fields),
 dls AS (SELECT doc_id, count(*) AS dl FROM toks GROUP BY 1), tf AS (SELECT doc_id, term, sum(w) AS f FROM toks GROUP BY 1, 2),
-words AS (SELECT sid, phrase, pos, unnest(regexp_extract_all(phrase, '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(phrase, '[a-z0-9]+'), 1) AS i FROM (SELECT sid, phrase, row_number() OVER (PARTITION BY sid ORDER BY phrase) AS pos FROM asked)),
-firsts AS (SELECT sid, phrase, term, min(i) AS i FROM words WHERE length(term) > 1 AND term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
-qterms AS (SELECT DISTINCT sid, term FROM (SELECT *, row_number() OVER (PARTITION BY sid, phrase ORDER BY i) AS r FROM firsts) WHERE r <= 6),
+words AS (SELECT sid, place, unnest(regexp_extract_all(phrase, '[a-z0-9]+')) AS term, generate_subscripts(regexp_extract_all(phrase, '[a-z0-9]+'), 1) AS i FROM asked),
+firsts AS (SELECT sid, place, term, min(i) AS i FROM words WHERE length(term) > 1 AND term NOT IN ({_STOP}) GROUP BY 1, 2, 3),
+heads AS (SELECT sid, term, min((place, i)) AS spot FROM (SELECT *, row_number() OVER (PARTITION BY sid, place ORDER BY i) AS r FROM firsts) WHERE r <= 6 GROUP BY 1, 2),
+qterms AS (SELECT sid, term FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY spot) AS r FROM heads) WHERE r <= 40),
 dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents), avgs AS (SELECT sum(dl) / (SELECT n FROM n) AS avgdl FROM dls),
 bm AS (SELECT sid, doc_id, sum((CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl))) AS raw
  FROM qterms JOIN dfs USING (term) JOIN tf USING (term) JOIN dls USING (doc_id), n, avgs GROUP BY 1, 2),
@@ -373,14 +400,21 @@ bmtop AS (SELECT sid, doc_id, round(raw, 9) AS score, row_number() OVER (PARTITI
 """
 
 
-def _bm25(spark, d, k, stemmed=False):
-    docs = table(spark, d, "documents")
+def _bm25(spark, d, k, stemmed=False, restrict=None):
+    docs, asked = table(spark, d, "documents"), _own_keys(spark, d)
     title = F.substring_index("text", "\n", 1)
     fields = {"title": title, "features": F.substring(F.col("text"), F.length(title) + 1, F.length("text")), "categories": F.col("lang"), "store": F.col("source")}
-    posts = keyword.term_postings(docs, "doc_id", fields, X.BM25_WEIGHTS, stemmed)
-    words = T.terms(F.col("phrase"), 6)
-    asked = _asked(_posts(spark, d)[1]).select("sid", F.explode(keyword.stems(words) if stemmed else words).alias("term")).distinct()
-    return keyword.bm25(asked, posts, docs, "sid", "doc_id", k)
+    terms = tracks.query_terms(asked, "sid")
+    if stemmed:
+        terms = terms.select("sid", F.explode(keyword.stems(F.array("term"))).alias("term")).distinct()
+    index = keyword.term_index(docs, "doc_id", fields, X.BM25_WEIGHTS, stemmed, terms.select("term").distinct())
+    return keyword.bm25(terms, index, "sid", "doc_id", k, restrict)
+
+
+def _own_keys(spark, d):
+    """What the asking documents ask for, from their own lines only."""
+    docs = table(spark, d, "documents").where("doc_id % 20 = 0").select("doc_id", F.split("text", "\n").alias("lines"))
+    return _asked(phrases.postings(docs, "doc_id", "lines"))
 
 
 @query("WITH " + BM25_SQL + "SELECT sid, doc_id, rank, round(score, 6) AS score FROM bmtop WHERE rank <= 10")
@@ -388,6 +422,15 @@ def bm25_weighted_topk(spark, d):
     return _bm25(spark, d, 10).select("sid", "doc_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
 
 
+@query("WITH " + BM25_SQL + """, own AS (SELECT b.sid, b.doc_id, round(b.raw, 9) AS score FROM bm b JOIN documents q ON q.doc_id = b.sid JOIN documents t ON t.doc_id = b.doc_id AND t.lang = q.lang)
+SELECT sid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, doc_id) AS rank FROM own) WHERE rank <= 10""")
+def bm25_restricted_topk(spark, d):
+    """Restricted before the top-k: only documents of the asking one's language."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    restrict = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("sid"), "lang").join(docs, "lang").select("sid", "doc_id")
+    return _bm25(spark, d, 10, restrict=restrict).select("sid", "doc_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
+
+
 @query()
 def bm25_stemmed_topk(spark, d):
     """As bm25_weighted_topk, over Porter stems."""
@@ -431,7 +474,7 @@ def mmr_diversify(spark, d):
 def tfidf_svd_embed(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     rows = dense.TfidfSvd().fit(docs, "doc_id", "text").transform(docs, "doc_id", "text")
-    return rows.select("doc_id", F.size("vector").cast("long").alias("rank"), F.round(F.sqrt(dense.dot(F.col("vector"), F.col("vector"))), 6).alias("norm"))
+    return rows.select("doc_id", F.size("vector").cast("long").alias("rank"), F.round(F.sqrt(dense.dot(F.col("vector"), F.col("vector"))), 6).alias("norm"), *rounded("kept"))
 
 
 @query("WITH " + BM25_SQL + ", hits AS (SELECT sid, phrase, idf, doc_id, pos FROM asked JOIN idf ON key = phrase JOIN posts USING (key)), found AS (SELECT sid, doc_id, sum(idf) AS support, sum(idf / (1 + pos)) AS prominence FROM hits GROUP BY 1, 2)" + """,
@@ -536,7 +579,7 @@ def slot_decay(spark, d):
     rows = table(spark, d, "events").withColumn("turn", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     last = rows.groupBy("user_id", "event_type").agg(F.max("turn").alias("touched"))
     n = rows.groupBy("user_id").agg(F.max("turn").alias("n"))
-    weight = F.greatest(F.lit(X.MIN_WEIGHT), F.pow(F.lit(X.DECAY), F.col("n") - F.col("touched")))
+    weight = dialog.decayed(F.col("n") - F.col("touched"))
     return last.join(n, "user_id").select("user_id", "event_type", F.round(weight, 6).alias("weight"))
 
 
@@ -554,7 +597,23 @@ def dialog_fold(spark, d):
     return dialog.fold(turns, "conv_id").select("conv_id", "turn", "category", "override_events", F.size("evidence").cast("long").alias("n_evidence"), F.array_join("unresolved", ",").alias("unresolved"), "hard_slots")
 
 
-@query()
+def _pattern(p: str) -> str:
+    return "'(?is)" + p.replace("'", "''") + "'"
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(13)"
+_ENDS = "' ' || chr(9) || chr(10) || '.,;:'"
+_CLEAN_SQL = f"trim(regexp_replace(trim({{}}, {_BLANKS}), {_pattern(X.LEAD_IN)}, ''), {_ENDS})"
+
+
+@query(f"""WITH m AS (SELECT conv_id, turn, trim(coalesce(text, ''), {_BLANKS}) AS t FROM conversations WHERE role = 'user'),
+d AS (SELECT *, regexp_matches(t, {_pattern(X.NO_PREFERENCE)}) AS declined FROM m),
+u AS (SELECT *, NOT declined AND regexp_matches(t, {_pattern(X.UNCLEAR)}) AS is_unclear FROM d), p AS (SELECT *, NOT declined AND NOT is_unclear AND t <> '' AS plain, regexp_replace(t, {_pattern(X.OVERRIDE_SENTENCE)}, '') AS cut FROM u),
+o AS (SELECT *, plain AND (cut <> t OR regexp_matches(t, {_pattern(X.OVERRIDE)})) AS is_override FROM p), b AS (SELECT *, CASE WHEN is_override THEN cut ELSE t END AS body FROM o),
+c AS (SELECT *, regexp_matches(body, {_pattern(X.OPENER)}) AS opens, trim(regexp_extract(body, {_pattern(X.OPENER)}, 1), ' ' || chr(9) || chr(10) || ',.') AS named FROM b),
+r AS (SELECT *, regexp_replace(trim(CASE WHEN opens THEN regexp_extract(body, {_pattern(X.OPENER)}, 2) ELSE body END, {_BLANKS}), {_pattern(X.LEAD_IN)}, '') AS rest FROM c),
+s AS (SELECT *, len(list_filter(list_transform(regexp_split_to_array(rest, '[ \\t\\n\\r\\f]*;[ \\t\\n\\r\\f]*'), lambda x: {_CLEAN_SQL.format('x')}), lambda x: length(x) >= 2)) AS n, length({_CLEAN_SQL.format('rest')}) AS whole FROM r)
+SELECT conv_id, turn, CASE WHEN plain AND opens AND named <> '' THEN named END AS category, CAST(CASE WHEN NOT plain THEN 0 WHEN n > 1 AND whole >= 2 THEN n + 1 ELSE n END AS BIGINT) AS n_phrases, is_override, is_unclear FROM s""")
 def parse_turns(spark, d):
     rows = dialog.parsed_turns(table(spark, d, "conversations").where("role = 'user'"), "text")
     return rows.select("conv_id", "turn", "parsed.category", F.size("parsed.phrases").cast("long").alias("n_phrases"), "parsed.is_override", "parsed.is_unclear")
@@ -643,3 +702,58 @@ def customer_reply(spark, d):
     rows = _cards(spark, d).withColumn("ask", F.when(F.col("item") % 3 == 0, "other").when(F.col("item") % 3 == 1, "size"))
     reply, _, _ = simulate.customer_reply(F.col("scenario"), F.col("card"), F.col("ask"), F.array().cast("array<string>"), F.lit(False))
     return rows.select("item", "scenario", "ask", reply.alias("reply"))
+
+
+# ---------------------------------------------------------------- whole sessions over part
+
+def _catalog(spark, d) -> DataFrame:
+    """part as a catalog: title, brand, size and type as details, orders as popularity."""
+    p = table(spark, d, "part")
+    detail = lambda k, c: F.concat(F.lit(f"{k}: "), F.col(c).cast("string"))
+    details = F.array(detail("Brand", "p_brand"), detail("Size", "p_size"), detail("Type", "p_type"))
+    per = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("volume"))
+    text = F.lower(F.concat_ws(" ", "p_name", F.array_join(details, " "), "p_type", "p_brand"))
+    rows = fusion.popularity(p.join(per, "p_partkey", "left").withColumn("volume", F.coalesce("volume", F.lit(0))), "volume")
+    noun = F.regexp_extract("p_name", "[^ ]+$", 0)
+    return rows.select(
+        F.col("p_partkey").alias("item"), "p_name", F.concat_ws(" ", "p_type", noun).alias("category"), details.alias("details"), F.concat(F.array("p_name"), details).alias("phrases"), text.alias("searchable"), F.lower("p_brand").alias("store"),
+        T.normalize_phrase(F.concat_ws(" ", "p_type", noun)).alias("shelf"), F.col("p_retailprice").alias("price"), "popularity", (F.pmod("p_size", F.lit(50)) / 10).alias("rating"),
+        T.primary_attribute(text, "material").alias("primary_material"), T.primary_attribute(text, "color").alias("primary_color"),
+    )
+
+
+def _part_index(spark, d, work: Work) -> CatalogIndex:
+    catalog = _catalog(spark, d)
+    fields = {"title": F.col("p_name"), "categories": F.col("category"), "features": F.col("p_name"), "details": F.array_join("details", " "), "store": F.col("store")}
+    return build_index(catalog, fields, f"{work.root}/index", rank=32, max_features=20_000)
+
+
+def _samples(index: CatalogIndex) -> DataFrame:
+    """Every part whose key is divisible by 20 is wanted by a customer; scenarios in turn."""
+    card = simulate.intent_card(F.col("p_name"), F.array("p_name"), F.col("details"), F.col("price").cast("string"), F.col("searchable"))
+    scenario = F.element_at(F.array(*(F.lit(s) for s in ("buying", "browsing", "intent_override", "boundary"))), (F.col("item") / 20 % 4 + 1).cast("int"))
+    rows = index.items.where("item % 20 = 0").select(
+        F.col("item").cast("string").alias("session_id"), scenario.alias("scenario"), "category", F.col("item").alias("target"), card.alias("card"),
+        F.array(F.lit("red"), F.lit("steel")).alias("tags"), F.lit("generous").alias("rating_style"),
+    )
+    return rows.withColumn("override_turn", F.when(F.col("scenario") == "intent_override", 3 + F.pmod(F.xxhash64("session_id", "scenario"), F.lit(2)).cast("int")))
+
+
+def evaluate_sessions(spark, d):
+    """Each session to its end: fold, retrieval, question and reply, up to ten turns. Minutes even on small tables, so it is not registered."""
+    work = Work(spark, "evaluate")
+    index = _part_index(spark, d, work)
+    rows = turns.evaluate(index, work.save(_samples(index), "samples"), work)
+    return rows.select("session_id", "scenario", F.col("first_hit_turn").cast("long").alias("first_hit_turn"), F.col("best_rank").cast("long").alias("best_rank"), *rounded("reciprocal_rank"))
+
+
+@query()
+def first_answers(spark, d):
+    """What each session is answered to its first message."""
+    work = Work(spark, "answers")
+    index = _part_index(spark, d, work)
+    samples = work.save(_samples(index), "samples")
+    opening, _ = simulate.initial_message(F.col("scenario"), F.col("category"), F.col("card"))
+    first = work.save(samples.select("session_id", F.lit(1).cast("long").alias("turn"), opening.alias("message"), F.lit(None).cast("string").alias("asked")), "first")
+    _, answers, _ = turns.respond(index, first, samples.select("session_id", "tags", "rating_style"), work.save)
+    return answers.select("session_id", "mode", *rounded("buying_weight"), "pool_size", "ask_attribute", "message")

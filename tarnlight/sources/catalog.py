@@ -35,8 +35,9 @@ def detail_pairs(c):
 
 
 def products(raw: DataFrame) -> DataFrame:
-    """raw: as PRODUCT. Adds ord (dense, by id), typed columns, searchable, shelf, primary attributes, popularity. Of repeated ids one stays."""
-    rows = raw.dropDuplicates(["parent_asin"])
+    """raw: as PRODUCT. Adds ord (dense, by id), typed columns, searchable, shelf, primary attributes, popularity. Of repeated ids the least row stays."""
+    least = Window.partitionBy("parent_asin").orderBy(F.to_json(F.struct(*raw.columns)))
+    rows = raw.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
     parts = F.pmod(F.xxhash64("parent_asin"), F.lit(1 << 10))
     rows = rows.withColumn("__part", parts)
     before = rows.groupBy("__part").count().withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).select("__part", "__before")
@@ -54,6 +55,28 @@ def products(raw: DataFrame) -> DataFrame:
     return popularity(rows.withColumn("phrases", spoken).drop("is_list"), "rating_number")
 
 
+def flat_values(c):
+    """A JSON value as the texts that a customer may name: "key: value" of an object, else the value or values; without nulls, blanks and empty lists."""
+    pairs = F.transform(F.filter(detail_pairs(c), lambda e: ~F.coalesce(e["v"], F.lit("")).isin("", "[]")), lambda e: F.concat(e["k"], F.lit(": "), e["v"]))
+    many = F.filter(string_list(c), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.when(c.startswith("{"), pairs).otherwise(many)
+
+
+def customer_text(title, features, details, description, categories, store):
+    """The text in which the simulated customer looks for material and color: case as it is, and a field that is not there adds no space."""
+    each = F.flatten(F.array(features, F.transform(details, lambda e: F.concat_ws(" ", e["k"], e["v"])), description, F.coalesce(categories, F.array().cast("array<string>"))))
+    return F.trim(F.concat_ws(" ", title, each, store))
+
+
+def customer_catalog(raw: DataFrame) -> DataFrame:
+    """raw: as PRODUCT. What the simulation needs of each product: parent_asin, title, categories, features, details ("key: value"), price, corpus."""
+    rows = raw.select("parent_asin", "title", "categories", "store", "description", "price", F.col("features").alias("told"), F.col("details").alias("named"))
+    corpus = customer_text(F.col("title"), string_list(F.col("told")), detail_pairs(F.col("named")), string_list(F.col("description")), F.col("categories"), F.col("store"))
+    return rows.select(
+        "parent_asin", "title", "categories", flat_values(F.col("told")).alias("features"), flat_values(F.col("named")).alias("details"), F.trim(F.col("price"), F.lit('"')).alias("price"), corpus.alias("corpus"),
+    )
+
+
 def write_results(summary: DataFrame, sessions: DataFrame, path: str) -> None:
     """JSON: sessions and summary in folders of their own."""
     sessions.write.mode("overwrite").json(f"{path}/sessions")

@@ -1,28 +1,33 @@
-"""The dialog fold over a stream of turns, one state a session."""
+"""The dialog fold over a stream of turns.
+
+Turns are kept in a history table, by buckets of sessions; after each batch the
+sessions that spoke in it are folded anew from their own few turns. A batch that
+is run again after a failure overwrites its own part of the history.
+"""
 
 from __future__ import annotations
 
-import json
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import DataStreamWriter
+
+from tarnlight.operators.dialog import fold
 
-from tarnlight.operators.dialog import _filled, _need, empty_state, observe, parsed_turns, unresolved
+BUCKETS = 64
 
 
-def dialog_stream(turns: DataFrame, session: str = "session_id") -> DataFrame:
-    """turns: a stream of session (string), turn, message, asked. Emits a session's summary after each batch that has turns of it."""
-    packed = parsed_turns(turns).select(session, "turn", "asked", F.to_json("parsed").alias("parsed"), F.to_json(F.struct("requirements")).alias("requirements"))
+def dialog_stream(turns: DataFrame, history: str, told: Callable[[DataFrame, int], None], session: str = "session_id") -> DataStreamWriter:
+    """turns: a stream of session, turn, message, asked. told gets the states (see fold) of a batch's sessions, and its number.
 
-    def step(key, batches, held: GroupState):
-        state = json.loads(held.get[0]) if held.exists else empty_state()
-        rows = pd.concat(list(batches)).sort_values("turn")
-        for r in rows.itertuples():
-            observe(state, int(r.turn), _filled(r.parsed), [_need(x) for x in json.loads(r.requirements).get("requirements", [])], r.asked if isinstance(r.asked, str) else None)
-        held.update((json.dumps(state),))
-        yield pd.DataFrame([{session: key[0], "turn": state["turn"], "category": state["category"], "n_evidence": len(state["evidence"]), "override_events": state["overrides"], "unresolved": ",".join(unresolved(state))}])
+    history: a folder that all executors share.
+    """
+    def step(batch: DataFrame, number: int) -> None:
+        rows = batch.select(session, "turn", "message", "asked", F.pmod(F.xxhash64(session), F.lit(BUCKETS)).alias("bucket"))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{history}/batch={number}")
+        buckets = [r[0] for r in rows.select("bucket").distinct().collect()]  # BUCKETS at most
+        if buckets:
+            every = batch.sparkSession.read.parquet(history).where(F.col("bucket").isin(*buckets))
+            told(fold(every.join(batch.select(session).distinct(), session, "left_semi"), session), number)
 
-    return packed.groupBy(session).applyInPandasWithState(
-        step, f"{session} string, turn long, category string, n_evidence long, override_events long, unresolved string", "state string", "update", GroupStateTimeout.NoTimeout,
-    )
+    return turns.writeStream.foreachBatch(step)
