@@ -31,8 +31,9 @@ def quality_counts(spark, sf_dir: str) -> DataFrame:
 QUALITY_SQL = rf"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM t),
 dups AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) AS r FROM lines WHERE regexp_matches(line, '{_WORD}')) WHERE r > 1 GROUP BY 1),
-starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM t WHERE len(words) >= 5),
-wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i:i + 4]) AS n FROM starts),
+each AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM t),
+five AS (SELECT doc_id, i, w AS a, lead(w, 1) OVER o AS b, lead(w, 2) OVER o AS c, lead(w, 3) OVER o AS d, lead(w, 4) OVER o AS e FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+wins AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c, d, e) AS n FROM five WHERE e IS NOT NULL),
 reps AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM wins WHERE n > 1) GROUP BY 1),
 c AS (SELECT doc_id, len(words) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(d.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words FROM t LEFT JOIN dups d USING (doc_id) LEFT JOIN reps r USING (doc_id))
@@ -57,12 +58,13 @@ def license_places(spark, sf_dir: str) -> DataFrame:
 
 def _phrase_sql(phrase: str, label: str) -> str:
     words = phrase.split()
-    fits = " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+    fits = " AND ".join(f"{'abc'[k]} = '{x}'" for k, x in enumerate(words))
     return f"SELECT doc_id, i - 1 AS place, '{label}' AS label FROM starts WHERE {fits}"
 
 
 LICENSE_SQL = rf"""WITH t AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-starts AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM t),
+each AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t),
+starts AS (SELECT doc_id, i, x AS a, lead(x, 1) OVER o AS b, lead(x, 2) OVER o AS c FROM each WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 hits AS ({" UNION ALL ".join(_phrase_sql(*b) for b in BASE)})
 SELECT doc_id, len(any_value(w)) AS n_words, count(place) AS n_base, min(place) AS first_word, max(place) AS last_word, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
 FROM t LEFT JOIN hits USING (doc_id) GROUP BY doc_id"""
