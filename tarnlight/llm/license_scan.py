@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tarnlight.llm import kernels as K
+from tarnlight.llm.similarity import free_name
 from tarnlight.llm.store import Workspace
 
 #: Base phrases and their labels.
@@ -192,8 +193,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
             scores.append(max([0.5 if base else 0.0, *got.values()]))
         return pd.DataFrame({"labels": labels, "score": scores})
 
-    judged = held.withColumn("__judged", judge("licenses"))
-    return judged.withColumn("licenses", F.struct(*(f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")), "__judged.labels", "__judged.score")).drop("__judged")
+    name = free_name(held, "__judged")
+    judged = held.withColumn(name, judge("licenses"))
+    return judged.withColumn("licenses", F.struct(*(f"licenses.{c}" for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")), f"{name}.labels", f"{name}.score")).drop(name)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -156,7 +156,8 @@ N_SHAPE = 5
 def estimate(patterns: dict[tuple[int, str], int], steps: int = EM_STEPS) -> dict[tuple[int, str], float]:
     """Posterior of "personal data" for each (kind, votes), by expectation-maximisation over counts.
 
-    A labeler has, for either class, a chance of each vote, shared by all kinds; each kind has its own prior.
+    A labeler that votes has, for either class, a chance of voting for it, shared by all kinds; one that does not
+    vote tells nothing. Each kind has its own prior.
     """
     keys = sorted(patterns)
     if not keys:
@@ -171,8 +172,9 @@ def estimate(patterns: dict[tuple[int, str], int], steps: int = EM_STEPS) -> dic
         for c, p in ((0, 1 - post), (1, post)):
             w = weight * p
             for j in range(vote.shape[1]):
-                chance = np.bincount(vote[:, j], w, 3) + np.array([2.0, 1.0, 0.2] if c == 0 else [0.2, 1.0, 2.0])  # a labeler is better than chance
-                like[c] += np.log(chance / chance.sum())[vote[:, j]]
+                chance = np.bincount(vote[:, j], w, 3) + np.array([2.0, 0.0, 0.2] if c == 0 else [0.2, 0.0, 2.0])  # a labeler is better than chance
+                against, _, given = np.log(chance / (chance[0] + chance[2]) + 1e-12)
+                like[c] += np.where(vote[:, j] == 0, against, np.where(vote[:, j] == 2, given, 0.0))
         n = np.bincount(kind, weight, len(KINDS))
         prior = (np.bincount(kind, weight * post, len(KINDS)) + 1) / (n + 2)
         odds = np.log(prior / (1 - prior))[kind] + like[1] - like[0]
