@@ -129,28 +129,6 @@ def split_requirements(c: Column) -> Column:
     return F.when((F.size(parts) > 1) & (F.length(whole) >= 2), F.array_prepend(parts, whole)).otherwise(parts)
 
 
-def parse_turn(message: Column) -> Column:
-    """Struct of category, phrases, is_override, no_preference_for, is_deflection, is_unclear."""
-    text = strip_chars(F.coalesce(message, F.lit("")), " \t\n\r")
-    none = F.array().cast("array<string>")
-    declined = no_preference(text)
-    unclear = declined.isNull() & has_cue(text, X.UNCLEAR)
-    plain = declined.isNull() & ~unclear & (text != "")
-    stripped = F.regexp_replace(text, _i(X.OVERRIDE_SENTENCE), "")
-    override = plain & ((stripped != text) | has_cue(text, X.OVERRIDE))
-    body = F.when(override, stripped).otherwise(text)
-    opens = body.rlike("(?is)" + X.OPENER)
-    category = strip_chars(F.regexp_extract(body, "(?is)" + X.OPENER, 1), " \t\n,.")
-    rest = F.when(opens, F.regexp_extract(body, "(?is)" + X.OPENER, 2)).otherwise(body)
-    rest = F.regexp_replace(strip_chars(rest, " \t\n\r"), _i(X.LEAD_IN), "")
-    return F.struct(
-        F.when(plain & opens & (category != ""), category).alias("category"),
-        F.when(plain, split_requirements(rest)).otherwise(none).alias("phrases"),
-        override.alias("is_override"), declined.alias("no_preference_for"),
-        (declined.isNotNull() & has_cue(text, X.DEFLECTION)).alias("is_deflection"), unclear.alias("is_unclear"),
-    )
-
-
 def constraint_class(c: Column) -> Column:
     """The simulator's classifier: by substrings, other than attribute_of_text."""
     low = F.lower(c)

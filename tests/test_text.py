@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import text as T
 from tarnlight.functions.porter import stem
+from tarnlight.operators.dialog import parsed_turns
 
 
 def one(spark, column, **values):
@@ -43,7 +44,8 @@ def test_bare_and_cues(spark):
 
 
 def test_parse_turn(spark):
-    parse = lambda m: one(spark, T.parse_turn(F.col("m")), m=m)
+    said = lambda m: parsed_turns(spark.createDataFrame([(m,)], "message string"))
+    parse = lambda m: said(m).first()["parsed"]
     a = parse("I'm looking for Wrist Watches. A key requirement is: steel band.")
     assert a["category"] == "Wrist Watches" and a["phrases"] == ["steel band"] and not a["is_override"]
     b = parse("I'm looking for Shoes, but I'm still exploring.")
