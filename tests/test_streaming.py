@@ -101,11 +101,16 @@ def test_goes_on_from_a_batch(spark, tmp_path):
 
 
 def test_silent_sessions_are_closed(spark, tmp_path):
-    stream = Stream(spark, str(tmp_path), idle_ms=200)
-    stream.send([("a", None, None, None), ("a", 1, "wool", None), ("a", 3, "red", None)])
-    time.sleep(1)
-    stream.send([("b", None, None, None)])
-    closed = [r for r in stream.seen if r["closed"]]
-    assert [(r["session_id"], r["turn"], len(r["evidence"])) for r in closed] == [("a", 3, 2)]
-    stream.send([("a", 4, "blue", None)])
-    assert [r["session_id"] for r in stream.seen if r["error"]] == ["a"]
+    rows = [("a", None, None, None), ("a", 1, "wool", None), ("a", 3, "red", None)]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen = []
+    source = spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in")
+    writer = dialog_states(source, idle_ms=500).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/checkpoint")
+    query = writer.trigger(processingTime="1 second").foreachBatch(lambda out, _: seen.extend(out.collect())).start()
+    try:
+        until = time.time() + 40
+        while time.time() < until and not any(r.closed for r in seen):
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    assert [(r.turn, r.closed) for r in seen][:2] == [(1, False), (3, True)] and [e.phrase for e in seen[1].evidence] == ["wool", "red"]
