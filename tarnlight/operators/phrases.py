@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tarnlight.functions import fixed as X
 from tarnlight.functions.text import normalize_phrase
@@ -70,30 +70,87 @@ def evidence_track(found: DataFrame, session: str, item: str, k: int) -> DataFra
     return top_k(found.where("support > 0"), session, item, score, k)
 
 
-def with_primary(found: DataFrame, primary: DataFrame, items: DataFrame, session: str, item: str) -> DataFrame:
-    """Evidence with agreement in primary attributes: each stated value that is an item's own adds the same share of the total.
+_PRIMARIES = ("color", "material")
 
-    found: see evidence; primary: session, attribute (material or color), value; items: item, primary_material, primary_color.
+
+def primary_lists(items: DataFrame, item: str, k: int = X.ROUTE_DEPTH) -> DataFrame:
+    """color, material (one of them may be '': any), n: the items that have them, first: the first k of those by item.
+
+    items: item, primary_color, primary_material. A row for each value and each pair of values that items have.
+    """
+    own = [F.coalesce(f"primary_{a}", F.lit("")).alias(a) for a in _PRIMARIES]
+    each = items.select(item, *own).select(item, F.explode(F.array_distinct(F.array(
+        F.struct("color", "material"), F.struct("color", F.lit("").alias("material")), F.struct(F.lit("").alias("color"), "material"),
+    ))).alias("v")).select(item, "v.*").where("color <> '' or material <> ''")
+    nth = F.row_number().over(Window.partitionBy(*_PRIMARIES).orderBy(item))
+    first = each.withColumn("r", nth).where(F.col("r") <= k).groupBy(*_PRIMARIES).agg(F.sort_array(F.collect_list(item)).alias("first"))
+    return each.groupBy(*_PRIMARIES).agg(F.count("*").alias("n")).join(first, list(_PRIMARIES))
+
+
+def primary_shares(found: DataFrame, primary: DataFrame, session: str) -> DataFrame:
+    """session, color, material (stated, or null), share: what agreement in one of them adds, total: over phrases and stated values.
+
+    found: see evidence; primary: session, attribute (material or color), value, one of an attribute.
     """
-    stated = primary.groupBy(session).agg(F.count("*").alias("n"))
-    own = F.array(*(F.struct(F.lit(a).alias("attribute"), F.col(f"primary_{a}").alias("value")) for a in ("material", "color")))
-    has = items.select(item, F.explode(own).alias("p")).select(item, "p.attribute", "p.value").where("value <> ''")
-    agree = primary.join(has, ["attribute", "value"]).groupBy(session, item).agg(F.count("*").alias("agreement"))
+    value = lambda a: F.max(F.when(F.col("attribute") == a, F.nullif(F.col("value"), F.lit("")))).alias(a)
+    stated = primary.groupBy(session).agg(F.count("*").alias("n"), *(value(a) for a in _PRIMARIES))
     totals = found.groupBy(session).agg(F.max("total").alias("said"))
-    rows = found.drop("total").join(agree, [session, item], "full").join(stated, session, "left").join(totals, session, "left")
-    said = F.coalesce("said", F.lit(0.0))
-    share = F.coalesce(X.PRIMARY_WEIGHT * F.greatest(said, F.lit(1.0)) / F.col("n"), F.lit(0.0))
-    return rows.select(
-        session, item, (F.coalesce("support", F.lit(0.0)) + share * F.coalesce("agreement", F.lit(0))).alias("support"),
-        F.coalesce("prominence", F.lit(0.0)).alias("prominence"), (said + share * F.coalesce("n", F.lit(0))).alias("total"),
+    rows = stated.join(totals, session, "full")
+    said, n = F.coalesce("said", F.lit(0.0)), F.coalesce("n", F.lit(0))
+    share = F.when(n > 0, X.PRIMARY_WEIGHT * F.greatest(said, F.lit(1.0)) / n).otherwise(0.0)
+    return rows.select(session, *_PRIMARIES, share.alias("share"), (said + share * n).alias("total"))
+
+
+def agreement() -> Column:
+    """In how many stated values (color, material) an item's own (primary_color, primary_material) agree."""
+    same = [F.coalesce((F.col(a) == F.col(f"primary_{a}")).cast("int"), F.lit(0)) for a in _PRIMARIES]
+    return same[0] + same[1]
+
+
+def _classes(shares: DataFrame, session: str) -> DataFrame:
+    """The rows of primary_lists that a session's stated values select: color, material, agreement."""
+    c, m = (F.coalesce(a, F.lit("")) for a in _PRIMARIES)
+    named = lambda x, y, a: F.struct(x.alias("color"), y.alias("material"), F.lit(a).alias("agreement"))
+    pair = F.when((c != "") & (m != ""), named(c, m, 2))
+    one = [F.when(c != "", named(c, F.lit(""), 1)), F.when(m != "", named(F.lit(""), m, 1))]
+    return shares.select(session, F.explode(F.array_compact(F.array(pair, *one))).alias("v")).select(session, "v.*")
+
+
+def with_primary(found: DataFrame, shares: DataFrame, lists: DataFrame, items: DataFrame, session: str, item: str) -> DataFrame:
+    """session, item, support, prominence, total, agreement, evident: evidence with agreement in primary attributes.
+
+    Items that agree in as many values gain the same, so of those without any evidence only the first k of each list can
+    be among a session's k best: they are added (evident is false), the others are not, and pairs of sessions and items that agree are never made.
+    """
+    rows = found.select(session, item, "support", "prominence").join(items.select(item, "primary_color", "primary_material"), item).join(shares, session, "left")
+    rows = rows.select(session, item, "support", "prominence", agreement().alias("agreement"), F.lit(True).alias("evident"))
+    first = _classes(shares, session).join(lists, list(_PRIMARIES)).select(session, F.explode("first").alias(item), "agreement")
+    first = first.select(session, item, F.lit(0.0).alias("support"), F.lit(0.0).alias("prominence"), "agreement", F.lit(False).alias("evident"))
+    both = rows.union(first).groupBy(session, item).agg(F.sum("support").alias("support"), F.sum("prominence").alias("prominence"), F.max("agreement").alias("agreement"), F.max("evident").alias("evident"))
+    return both.join(shares.select(session, "share", "total"), session).select(
+        session, item, (F.col("support") + F.col("share") * F.col("agreement")).alias("support"), "prominence", "total", "agreement", "evident",
     )
 
 
-def contenders(found: DataFrame, session: str) -> DataFrame:
-    """session, contenders: items whose support is near the best one's; 0 where none has any."""
+def contenders(found: DataFrame, session: str, shares: DataFrame | None = None, lists: DataFrame | None = None) -> DataFrame:
+    """session, contenders: items whose support is near the best one's; 0 where none has any.
+
+    With shares and lists (see with_primary) items that only agree are counted by the lists, not one by one.
+    """
+    least = X.PLAUSIBLE_SHARE * F.col("best") - 1e-12
     best = found.groupBy(session).agg(F.max("support").alias("best"))
-    near = (F.col("support") >= X.PLAUSIBLE_SHARE * F.col("best") - 1e-12) & (F.col("best") > 0)
-    return found.join(best, session).groupBy(session).agg(F.count(F.when(near, 1)).alias("contenders"))
+    rows = found.join(best, session)
+    evident = F.col("evident") if shares is not None else F.lit(True)
+    near = F.count(F.when(evident & (F.col("support") >= least) & (F.col("best") > 0), 1)).alias("near")
+    if shares is None:
+        return rows.groupBy(session).agg(near).select(session, F.col("near").alias("contenders"))
+    seen = [F.count(F.when(evident & (F.col("agreement") == a), 1)).alias(f"seen{a}") for a in (1, 2)]
+    counts = _classes(shares, session).join(lists, list(_PRIMARIES)).groupBy(session).agg(*(F.sum(F.when(F.col("agreement") == a, F.col("n")).otherwise(0)).alias(f"n{a}") for a in (1, 2)))
+    rows = rows.groupBy(session).agg(F.max("best").alias("best"), near, *seen).join(counts, session, "left").join(shares.select(session, "share"), session, "left")
+    n2 = F.coalesce("n2", F.lit(0))
+    only = {2: n2 - F.col("seen2"), 1: F.coalesce("n1", F.lit(0)) - 2 * n2 - F.col("seen1")}
+    more = [F.when((F.col("best") > 0) & (F.col("share") > 0) & (a * F.col("share") >= least), count).otherwise(0) for a, count in only.items()]
+    return rows.select(session, (F.col("near") + more[0] + more[1]).alias("contenders"))
 
 
 def plausible_pool(found: DataFrame, session: str) -> DataFrame:

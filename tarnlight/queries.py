@@ -154,7 +154,10 @@ def evidence_primary_topk(spark, d):
     idf = phrases.phrase_idf(posts, items)
     asked = posts.where("item % 20 = 0").select(F.col("item").alias("sid"), F.col("key").alias("phrase"), F.lit(1.0).alias("weight"))
     stated = items.where("item % 20 = 0 and primary_color <> ''").select(F.col("item").alias("sid"), F.lit("color").alias("attribute"), F.col("primary_color").alias("value"))
-    found = phrases.with_primary(phrases.evidence(phrases.lookup(asked, posts, idf, "item"), "sid", "item"), stated, items, "sid", "item")
+    work = Work(spark, "agreement")
+    found = work.save(phrases.evidence(phrases.lookup(asked, posts, idf, "item"), "sid", "item"), "evidence")
+    shares = work.save(phrases.primary_shares(found, stated, "sid"), "shares")
+    found = phrases.with_primary(found, shares, phrases.primary_lists(items, "item", 10), items, "sid", "item")
     rows = phrases.evidence_track(found.withColumn("coverage", phrases.coverage()), "sid", "item", 10)
     return rows.select("sid", "item", F.col("rank").cast("long").alias("rank"), *rounded("support", "coverage"))
 
@@ -459,9 +462,9 @@ def dense_topk(spark, d):
 SELECT sid, vec_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
 def dense_restricted(spark, d):
     """Restricted before the top-k: only vectors of the query's label."""
-    pairs = _vectors(spark, d).join(_vector_queries(spark, d), F.col("label") == F.col("wanted"))
-    scored = pairs.select("sid", "vec_id", dense.dot(F.col("query"), F.col("vector")).alias("raw"))
-    return phrases.top_k(scored, "sid", "vec_id", F.round("raw", 9), 10).select("sid", "vec_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
+    vectors, queries = _vectors(spark, d), _vector_queries(spark, d)
+    restrict = vectors.join(queries, F.col("label") == F.col("wanted")).select("sid", "vec_id")
+    return dense.dense_top_k(queries.select("sid", "query"), vectors, "sid", "vec_id", 10, restrict).select("sid", "vec_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
 
 
 @query()
@@ -570,6 +573,30 @@ def best_question(spark, d):
     return clarify.best_question(split, "sid", ~F.col("attribute").isin("other", "feature"), F.col("attribute") == "brand").select("sid", "ask_attribute", *rounded("gain"))
 
 
+# ---------------------------------------------------------------- what a session may be offered
+
+_WANTS_SQL = "s AS (SELECT item AS sid, CASE WHEN item % 40 = 0 THEN shelf END AS named, CASE WHEN item % 100 <> 0 THEN price * 0.72 END AS budget, CASE WHEN item % 60 = 0 THEN store END AS brand, list_filter(['" + "', '".join(X.COLORS) + "'], lambda c: contains(lower(p_name), c)) AS colors FROM items WHERE item % 20 = 0)"
+
+
+@query("WITH " + PART_SQL + ", " + _WANTS_SQL + """,
+bare AS (SELECT *, greatest(CASE WHEN budget IS NULL THEN 0 ELSE 1 END, CASE WHEN brand IS NULL THEN 0 ELSE 2 END, CASE WHEN len(colors) = 0 THEN 0 ELSE 3 END) AS bare FROM s),
+t AS (SELECT sid, item, i.price, named, bare, budget IS NULL OR i.price <= 1.35 * budget AS b, brand IS NULL OR contains(store, brand) AS st, len(colors) = 0 OR len(list_filter(colors, lambda c: contains(searchable, c))) > 0 AS c FROM bare JOIN items i ON named IS NULL OR shelf = named),
+l AS (SELECT *, CASE WHEN b AND st AND c THEN 0 WHEN st AND c THEN 1 WHEN c THEN 2 ELSE 3 END AS level FROM t QUALIFY level = min(level) OVER (PARTITION BY sid))
+SELECT sid, CAST(level AS INTEGER) AS level, count(*) AS n_items, CAST(sum(item) AS BIGINT) AS sum_items, min(item) AS first_item FROM l WHERE named IS NOT NULL OR level < bare GROUP BY 1, 2""")
+def compute_restrict(spark, d):
+    """Sessions with and without a shelf, budget, brand and color, and how far their filters had to be relaxed."""
+    items = _items(spark, d)
+    slot = lambda attribute, variants, amount: F.struct(F.lit(attribute).alias("attribute"), variants.alias("variants"), F.lit("confirmed").alias("status"), amount.alias("budget_max"))
+    none = F.lit(None).cast("double")
+    every = F.array(
+        F.when(F.col("item") % 100 != 0, slot("budget", F.array(F.lit("some")), F.col("price") * 0.72)), F.when(F.col("item") % 60 == 0, slot("brand", F.array("p_brand"), none)),
+        slot("color", F.array("p_name"), none),
+    )
+    states = items.where("item % 20 = 0").select(F.col("item").alias("sid"), F.when(F.col("item") % 40 == 0, F.col("shelf")).alias("category"), F.array_compact(every).alias("slots"))
+    found = tracks.restricted(states, tracks.marks(items, "item"), shelf.shelves(items, "shelf", "item"), "sid", "item")
+    return found.groupBy("sid", "level").agg(F.count("*").alias("n_items"), F.sum("item").alias("sum_items"), F.min("item").alias("first_item"))
+
+
 # ---------------------------------------------------------------- dialog and events
 
 @query("""WITH r AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS turn, count(*) OVER (PARTITION BY user_id) AS n FROM events)
@@ -725,7 +752,7 @@ def _catalog(spark, d) -> DataFrame:
 def _part_index(spark, d, work: Work) -> CatalogIndex:
     catalog = _catalog(spark, d)
     fields = {"title": F.col("p_name"), "categories": F.col("category"), "features": F.col("p_name"), "details": F.array_join("details", " "), "store": F.col("store")}
-    return build_index(catalog, fields, f"{work.root}/index", rank=32, max_features=20_000)
+    return build_index(catalog, fields, f"{work.root}/index")
 
 
 def _samples(index: CatalogIndex) -> DataFrame:
@@ -736,11 +763,12 @@ def _samples(index: CatalogIndex) -> DataFrame:
         F.col("item").cast("string").alias("session_id"), scenario.alias("scenario"), "category", F.col("item").alias("target"), card.alias("card"),
         F.array(F.lit("red"), F.lit("steel")).alias("tags"), F.lit("generous").alias("rating_style"),
     )
-    return rows.withColumn("override_turn", F.when(F.col("scenario") == "intent_override", 3 + F.pmod(F.xxhash64("session_id", "scenario"), F.lit(2)).cast("int")))
+    return rows.withColumn("override_turn", F.when(F.col("scenario") == "intent_override", simulate.override_turn("session_id", "scenario")))
 
 
+@query()
 def evaluate_sessions(spark, d):
-    """Each session to its end: fold, retrieval, question and reply, up to ten turns. Minutes even on small tables, so it is not registered."""
+    """Each session to its end: state, retrieval, question and reply, up to ten turns."""
     work = Work(spark, "evaluate")
     index = _part_index(spark, d, work)
     rows = turns.evaluate(index, work.save(_samples(index), "samples"), work)
@@ -754,6 +782,6 @@ def first_answers(spark, d):
     index = _part_index(spark, d, work)
     samples = work.save(_samples(index), "samples")
     opening, _ = simulate.initial_message(F.col("scenario"), F.col("category"), F.col("card"))
-    first = work.save(samples.select("session_id", F.lit(1).cast("long").alias("turn"), opening.alias("message"), F.lit(None).cast("string").alias("asked")), "first")
-    _, answers, _ = turns.respond(index, first, samples.select("session_id", "tags", "rating_style"), work.save)
+    first = work.save(samples.select("session_id", F.lit(1).cast("long").alias("turn"), opening.alias("message"), F.lit(None).cast("string").alias("asked"), "tags", "rating_style"), "first")
+    _, answers = turns.respond(index, work.save(dialog.folded(first, "session_id"), "memory"), first.select("session_id", "message", "tags", "rating_style"), work.save)
     return answers.select("session_id", "mode", *rounded("buying_weight"), "pool_size", "ask_attribute", "message")
