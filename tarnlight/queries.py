@@ -403,15 +403,20 @@ bmtop AS (SELECT sid, doc_id, round(raw, 9) AS score, row_number() OVER (PARTITI
 """
 
 
-def _bm25(spark, d, k, stemmed=False, restrict=None):
+def _bm25(spark, d, k, stemmed=False, grouped=False):
     docs, asked = table(spark, d, "documents"), _own_keys(spark, d)
+    work = Work(spark, "bm25")
     title = F.substring_index("text", "\n", 1)
     fields = {"title": title, "features": F.substring(F.col("text"), F.length(title) + 1, F.length("text")), "categories": F.col("lang"), "store": F.col("source")}
     terms = tracks.query_terms(asked, "sid")
     if stemmed:
-        terms = terms.select("sid", F.explode(keyword.stems(F.array("term"))).alias("term")).distinct()
-    index = keyword.term_index(docs, "doc_id", fields, X.BM25_WEIGHTS, stemmed, terms.select("term").distinct())
-    return keyword.bm25(terms, index, "sid", "doc_id", k, restrict)
+        terms = terms.select("sid", keyword.stem("term").alias("term")).distinct()
+    terms = work.save(terms, "asked")
+    if grouped:
+        terms = terms.join(docs.select(F.col("doc_id").alias("sid"), F.col("lang").alias("group")), "sid")
+    words = work.save(terms.select("term").distinct(), "words")
+    index = keyword.term_index(docs, "doc_id", fields, X.BM25_WEIGHTS, words, stemmed, F.col("lang") if grouped else None, work.save)
+    return keyword.block_max_bm25(terms, keyword.block_index(index, words, work.save), "sid", "doc_id", k, work.save)
 
 
 def _own_keys(spark, d):
@@ -428,10 +433,8 @@ def bm25_weighted_topk(spark, d):
 @query("WITH " + BM25_SQL + """, own AS (SELECT b.sid, b.doc_id, round(b.raw, 9) AS score FROM bm b JOIN documents q ON q.doc_id = b.sid JOIN documents t ON t.doc_id = b.doc_id AND t.lang = q.lang)
 SELECT sid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, doc_id) AS rank FROM own) WHERE rank <= 10""")
 def bm25_restricted_topk(spark, d):
-    """Restricted before the top-k: only documents of the asking one's language."""
-    docs = table(spark, d, "documents").select("doc_id", "lang")
-    restrict = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("sid"), "lang").join(docs, "lang").select("sid", "doc_id")
-    return _bm25(spark, d, 10, restrict=restrict).select("sid", "doc_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
+    """Restricted before a block of postings is opened: only documents of the asking one's language."""
+    return _bm25(spark, d, 10, grouped=True).select("sid", "doc_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
 
 
 @query()
