@@ -470,7 +470,23 @@ def dense_restricted(spark, d):
     return dense.dense_top_k(queries.select("sid", "query"), vectors, "sid", "vec_id", 10, restrict).select("sid", "vec_id", F.col("rank").cast("long").alias("rank"), *rounded("score"))
 
 
-@query()
+#: The choices one after another: gain of each of the 50, and the largest likeness to a choice so far, as lists by place.
+MMR_SQL = """WITH RECURSIVE e AS MATERIALIZED (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS sid, v.vec_id, round(list_dot_product(q.v, v.v), 9) AS score FROM e q, e v WHERE q.vec_id % 20 = 0 AND len(list_filter(q.v, lambda x: x <> 0)) > 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY score DESC, vec_id) AS place FROM s QUALIFY place <= 50),
+c AS MATERIALIZED (SELECT sid, vec_id, place, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS relevance FROM r WINDOW w AS (PARTITION BY sid)),
+near AS MATERIALIZED (SELECT a.sid, a.place, b.place AS other, list_dot_product(x.v, y.v) AS likeness FROM c a JOIN c b USING (sid) JOIN e x ON x.vec_id = a.vec_id JOIN e y ON y.vec_id = b.vec_id),
+best AS (SELECT sid, list(round(0.7 * relevance, 12) ORDER BY place) AS gain FROM c GROUP BY 1),
+likely AS MATERIALIZED (SELECT sid, list(l ORDER BY other) AS l FROM (SELECT sid, other, list(likeness ORDER BY place) AS l FROM near GROUP BY 1, 2) GROUP BY 1),
+rel AS MATERIALIZED (SELECT sid, list(relevance ORDER BY place) AS rel FROM c GROUP BY 1),
+pick(sid, n, picks, most) AS (SELECT sid, 0, []::BIGINT[], list_transform(rel, lambda x: 0.0::DOUBLE) FROM rel
+ UNION ALL SELECT p.sid, p.n + 1, list_append(p.picks, k), list_transform(p.most, lambda x, i: greatest(x, l[k][i])) FROM (
+  SELECT p.*, l, list_position(g, list_max(g)) AS k FROM (
+   SELECT p.*, l, list_transform(rel, lambda x, i: CASE WHEN list_contains(p.picks, i) THEN -1e9 ELSE round(0.7 * x - 0.3 * p.most[i], 12) END) AS g FROM pick p JOIN rel USING (sid) JOIN likely USING (sid) WHERE p.n < 10) p) p)
+SELECT sid, vec_id, pick FROM (SELECT sid, unnest(picks) AS place, generate_subscripts(picks, 1) AS pick FROM pick WHERE n = 10) JOIN c USING (sid, place)"""
+
+
+@query(MMR_SQL)
 def mmr_diversify(spark, d):
     found = dense.dense_top_k(_vector_queries(spark, d).select("sid", "query"), _vectors(spark, d), "sid", "vec_id", 50)
     return dense.mmr(found.join(_vectors(spark, d).select("vec_id", "vector"), "vec_id"), "sid", "vec_id", 10)
