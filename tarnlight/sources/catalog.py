@@ -34,15 +34,39 @@ def detail_pairs(c):
     return F.coalesce(F.transform(keys, lambda k: F.struct(k.alias("k"), F.element_at(held, k).alias("v"))), F.array().cast(_PAIRS))
 
 
+#: Where a row stands: its file, the start of its split, and its place in the task that reads the split.
+_AT = "__at"
+
+
+def read_products(spark: SparkSession, path: str) -> DataFrame:
+    """Catalog lines as PRODUCT, with the place of each line, for products()."""
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return read_jsonl(spark, path, PRODUCT).select("*", place.alias(_AT))
+
+
+def _dense_ordinals(rows: DataFrame, group: list[str], order: str) -> DataFrame:
+    """Adds ord: 0, 1, 2 ... by the group columns and then order. Rows are numbered within their group; only the groups' sizes meet in one task."""
+    before = rows.groupBy(*group).agg(F.count("*").alias("__n"))
+    before = before.withColumn("__before", F.sum("__n").over(Window.orderBy(*group)) - F.col("__n")).drop("__n")
+    own = F.row_number().over(Window.partitionBy(*group).orderBy(order)) - 1
+    return rows.withColumn("__own", own).join(before, group).withColumn("ord", F.col("__before") + F.col("__own")).drop("__before", "__own")
+
+
 def products(raw: DataFrame) -> DataFrame:
-    """raw: as PRODUCT. Adds ord (dense, by id), typed columns, searchable, shelf, primary attributes, popularity. Of repeated ids the least row stays."""
-    least = Window.partitionBy("parent_asin").orderBy(F.to_json(F.struct(*raw.columns)))
-    rows = raw.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
-    parts = F.pmod(F.xxhash64("parent_asin"), F.lit(1 << 10))
-    rows = rows.withColumn("__part", parts)
-    before = rows.groupBy("__part").count().withColumn("__before", F.sum("count").over(Window.orderBy("__part")) - F.col("count")).select("__part", "__before")
-    own = F.row_number().over(Window.partitionBy("__part").orderBy("parent_asin")) - 1
-    rows = rows.withColumn("__own", own).join(before, "__part").withColumn("ord", F.col("__before") + F.col("__own")).drop("__part", "__before", "__own")
+    """raw: as PRODUCT. Adds ord, typed columns, searchable, shelf, primary attributes, popularity.
+
+    With the places of read_products, ord goes by file (by name) and line, and of repeated ids the last line stays; else ord
+    goes by id, and the least row stays.
+    """
+    if _AT in raw.columns:
+        # The last line of an id is a maximum, which is combined before it is shuffled.
+        last = raw.groupBy("parent_asin").agg(F.max_by(F.struct(*(c for c in raw.columns if c != "parent_asin")), _AT).alias("r")).select("parent_asin", "r.*")
+        rows = last.select("*", f"{_AT}.file", f"{_AT}.split", F.col(f"{_AT}.row").alias("__row")).drop(_AT)
+        rows = _dense_ordinals(rows, ["file", "split"], "__row").drop("file", "split", "__row")
+    else:
+        least = Window.partitionBy("parent_asin").orderBy(F.to_json(F.struct(*raw.columns)))
+        rows = raw.withColumn("__nth", F.row_number().over(least)).where("__nth = 1").drop("__nth")
+        rows = _dense_ordinals(rows.withColumn("__part", F.pmod(F.xxhash64("parent_asin"), F.lit(1 << 10))), ["__part"], "parent_asin").drop("__part")
     numeric = F.when(~F.col("price").startswith('"'), F.col("price").try_cast("double"))
     rows = rows.withColumns({
         "is_list": F.col("features").startswith("["), "price": numeric, "details": detail_pairs(F.col("details")),
