@@ -172,13 +172,18 @@ class Mix:
         return cut.withColumn("first", lo - F.col("start")).withColumn("words", hi - lo)
 
     def taken(self) -> DataFrame:
-        """doc_id, size, source_size, target, taken of every row of docs."""
+        """doc_id, size, source_size, target, taken and places of every row of docs.
+
+        places: which slots (shard and place) take words of the document, as the exclusive or of their hashes; 0 for none. It
+        changes with the shards' draws, though what is taken of a source does not.
+        """
         # Generated rows escape the optimizer's estimates, so joins of them say that they are shuffled.
-        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
+        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"), F.bit_xor(F.xxhash64("shard", "place")).alias("at"))
         got = self.pieces().join(times.hint("merge"), ["s", "block"], "left").withColumn("got", F.col("words") * F.coalesce("times", F.lit(0)))
         key = ["doc_id", "size", "source_size", "target"]
-        some = got.groupBy("s", "start", *key).agg(F.sum("got").alias("taken")).select(*key, "taken")
-        return some.union(self.rows.where("size = 0").select(*key, F.lit(0).cast("long").alias("taken")))
+        nothing = F.lit(0).cast("long")
+        some = got.groupBy("s", "start", *key).agg(F.sum("got").alias("taken"), F.coalesce(F.bit_xor("at"), nothing).alias("places")).select(*key, "taken", "places")
+        return some.union(self.rows.where("size = 0").select(*key, nothing.alias("taken"), nothing.alias("places")))
 
 
 def mixed_documents(docs: DataFrame, block_words: int) -> DataFrame:
@@ -201,7 +206,9 @@ def mixed_documents(docs: DataFrame, block_words: int) -> DataFrame:
     own = held.withColumn(key, F.xxhash64("doc_id", F.xxhash64("text"), "source"))
     rows = own.join(got.hint("merge"), F.col(key) == F.col(other))
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.transform(runs_, lambda r: F.array_join(F.slice(words, (r["first"] + 1).cast("int"), r["words"].cast("int")), " ")), " ")
+    # A text is cut into words once, however many runs are taken of it: a word list named inside the runs' lambda would be made for each of them.
+    joined = lambda w: F.array_join(F.transform(runs_, lambda r: F.array_join(F.slice(w, (r["first"] + 1).cast("int"), r["words"].cast("int")), " ")), " ")
+    cut = F.element_at(F.transform(F.array(words), joined), 1)
     rows = rows.withColumn("text", F.when(F.col(whole), F.col("text")).otherwise(cut))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -1,3 +1,4 @@
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -106,3 +107,33 @@ def test_edges(docs, none):
     got = Mix(docs).taken()
     assert got.count() == docs.count() and {r.taken for r in got.where("size = 0").collect()} == {0}
     assert Mix(none).taken().count() == 0
+
+
+def test_places_follow_the_draws(spark, monkeypatch):
+    """places are the slots of the shards, hash by hash; another draw moves them and leaves what is taken of each source."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    monkeypatch.setattr(M, "SHARD_SLOTS", 64, raising=False)
+    mix = Mix(docs, 8)
+    at = defaultdict(int)
+    for r in mix.slots.select("s", "block", F.xxhash64("shard", "place").alias("h")).collect():
+        at[r.s, r.block] ^= r.h
+    want = {r.doc_id: 0 for r in mix.rows.collect()}
+    for r in mix.rows.collect():
+        for block in range(r.start // 8, -(-(r.start + r.size) // 8) if r.size else 0):
+            want[r.doc_id] ^= at.get((r.s, block), 0)
+    first = {r.doc_id: r for r in mix.taken().collect()}
+    assert {k: r.places for k, r in first.items()} == want
+    monkeypatch.setattr(M, "SEED", M.SEED + 1)
+    other = {r.doc_id: r for r in Mix(docs, 8).taken().collect()}
+    assert sum(other[k].places != r.places for k, r in first.items()) > len(first) / 2
+    assert sum(r.taken for r in other.values()) == pytest.approx(sum(r.taken for r in first.values()), rel=0.02)
+
+
+def test_many_runs_of_a_long_text(spark):
+    """A text is cut into words once, not for each of its thousands of runs."""
+    words = [f"w{k}" for k in range(24_000)]
+    docs = spark.createDataFrame([(1, " ".join(words), "a"), (2, "x " * 24_000, "b")], "doc_id long, text string, source string")
+    began = time.monotonic()
+    rows = mixed_documents(docs, 4).where("doc_id = 1").collect()
+    assert time.monotonic() - began < 60
+    assert rows and all(set(r.text.split(" ")) <= set(words) for r in rows)
