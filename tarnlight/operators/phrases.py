@@ -21,20 +21,42 @@ def phrase_idf(posts: DataFrame, items: DataFrame) -> DataFrame:
     return posts.groupBy("key").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("key", "df", F.log(F.col("n") / F.col("df")).alias("idf"))  # n: one row
 
 
-def lookup(queries: DataFrame, posts: DataFrame, idf: DataFrame, item: str) -> DataFrame:
+#: Ranges of the sorted keys, and keys by which their fences are chosen.
+RANGES, FENCE_SAMPLE = 64, 4096
+
+
+def fences(idf: DataFrame) -> list[str]:
+    """Up to RANGES - 1 keys, ascending, that cut the keys into ranges of about the same size; by FENCE_SAMPLE keys of lowest hash."""
+    some = sorted(r[0] for r in idf.select("key").orderBy(F.xxhash64("key"), "key").limit(FENCE_SAMPLE).collect())
+    return sorted({some[k * len(some) // RANGES] for k in range(1, RANGES)}) if len(some) >= RANGES else []
+
+
+def _extensions(missing: DataFrame, idf: DataFrame, cuts: list[str]) -> DataFrame:
+    """phrase, key, idf: of each phrase (no key itself) the first PREFIX_KEYS keys that it begins, with the least idf of these.
+
+    Keys and phrases are laid in one order, range by range, and numbered: the keys that a phrase begins follow it directly, so it
+    looks at the PREFIX_KEYS numbers after its own and never at all keys with the same first letters.
+    """
+    cut = F.array(*(F.lit(c) for c in cuts)).cast("array<string>")
+    laid = idf.select(F.col("key").alias("text"), "idf", F.lit(1).alias("is_key")).union(missing.select("phrase", F.lit(None).cast("double"), F.lit(0)))
+    laid = laid.withColumn("range", F.size(F.filter(cut, lambda c: c <= F.col("text"))))
+    ahead = laid.groupBy("range").agg(F.sum("is_key").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("range")) - F.col("n"))  # RANGES rows at most
+    within = F.sum("is_key").over(Window.partitionBy("range").orderBy("text").rowsBetween(Window.unboundedPreceding, 0)) - F.col("is_key")
+    placed = laid.withColumn("within", within).join(ahead.select("range", "before"), "range").select("text", "idf", "is_key", (F.col("before") + F.col("within")).alias("place"))
+    asked = placed.where("is_key = 0").select(F.col("text").alias("phrase"), F.explode(F.sequence(F.col("place"), F.col("place") + X.PREFIX_KEYS - 1)).alias("place"))
+    found = asked.join(placed.where("is_key = 1").select(F.col("text").alias("key"), "idf", "place"), "place").where(F.col("key").startswith(F.col("phrase")))
+    return found.select("phrase", "key", F.min("idf").over(Window.partitionBy("phrase")).alias("idf"))
+
+
+def lookup(queries: DataFrame, posts: DataFrame, idf: DataFrame, item: str, cuts: list[str] | None = None) -> DataFrame:
     """phrase matches: all columns of queries (with ``phrase``, a key), item, pos, idf, key; by key, or where no key fits by its first 40 extensions.
 
-    Prefixes meet on the first four characters, so this is an equi join with a
-    residual test. A prefix match has the least idf of its keys.
+    A prefix match has the least idf of its keys. cuts: fences(idf), where they are known.
     """
     asked = queries.select("phrase").where(F.length("phrase") >= X.MIN_KEY).distinct()
-    exact = asked.join(idf, asked.phrase == idf.key).select("phrase", "key", "idf")
-    missing = asked.join(idf, asked.phrase == idf.key, "left_anti")
-    heads = idf.withColumn("head", F.substring("key", 1, X.MIN_KEY))
-    ahead = missing.withColumn("head", F.substring("phrase", 1, X.MIN_KEY)).join(heads, "head").where(F.col("key").startswith(F.col("phrase")))
-    by = Window.partitionBy("phrase").orderBy("key")
-    ahead = ahead.withColumn("r", F.row_number().over(by)).where(F.col("r") <= X.PREFIX_KEYS)
-    prefix = ahead.select("phrase", "key", F.min("idf").over(Window.partitionBy("phrase")).alias("idf"))
+    marked = asked.join(idf, asked.phrase == idf.key, "left").select("phrase", "key", "idf")
+    exact, missing = marked.where("key is not null"), marked.where("key is null").select("phrase")
+    prefix = _extensions(missing, idf, fences(idf) if cuts is None else cuts)
     return queries.join(exact.union(prefix), "phrase").join(posts, "key").select(*queries.columns, item, "pos", "idf", "key")
 
 
