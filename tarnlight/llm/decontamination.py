@@ -45,6 +45,8 @@ MIN_BYTES = 40
 #: Edits allowed, as a share of a window's bytes.
 EDITS = 0.06
 BLOCK_GRAMS = 1 << 20
+#: Postings that are laid out, and regions that are aligned, at once.
+POSTINGS, ALIGNED = 1 << 20, 4096
 _FILTER_BITS = 23
 _SPACE = np.uint8(32)
 
@@ -65,29 +67,44 @@ def grams(data: np.ndarray, q: int) -> np.ndarray:
     return K.span_hashes(data, starts, starts + q)
 
 
-def best_alignment(pattern: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int] | None:
-    """(edits, end in region) of the pattern's best match in the region, if within budget.
+def best_alignments(patterns: np.ndarray, regions: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edits (budget + 1: more than it) and end in the region of each pattern's best match in its region; rows of equal length.
 
-    A band: the pattern's byte i is compared with region bytes i .. i + width, the region's slack.
+    A band: a pattern's byte i is compared with region bytes i .. i + width, the region's slack. All rows take a step at once.
     """
-    exact = region.tobytes().find(pattern.tobytes())
-    if exact >= 0:
-        return 0, exact + len(pattern)
-    width = max(0, len(region) - len(pattern)) + 1
+    n, size = patterns.shape
+    width = max(0, regions.shape[1] - size) + 1
     big = budget + 1
-    padded = np.concatenate([region, np.zeros(len(pattern) + width + 1, np.uint8)])
-    valid = np.concatenate([np.ones(len(region), bool), np.zeros(len(pattern) + width + 1, bool)])
-    offsets = np.arange(width + 1)
-    row = np.zeros(width + 1, np.int64)  # row[d]: edits of pattern[:i] ending before region byte i + d
-    for i in range(len(pattern)):
-        step = row + ((padded[i : i + width + 1] != pattern[i]) | ~valid[i : i + width + 1])
-        skip = np.append(row[1:] + 1, big)  # a pattern byte without a region byte
-        got = np.minimum(step, skip)
-        row = np.minimum(np.minimum.accumulate(got - offsets) + offsets, big)
-        if row.min() >= big:
-            return None
-    end = int(row.argmin())
-    return (int(row[end]), min(len(pattern) + end, len(region))) if row[end] <= budget else None
+    tail = size + width + 1
+    padded = np.concatenate([regions, np.zeros((n, tail), np.uint8)], axis=1)
+    valid = np.arange(padded.shape[1]) < regions.shape[1]
+    offsets = np.arange(width + 1, dtype=np.int32)
+    row = np.zeros((n, width + 1), np.int32)  # row[:, d]: edits of pattern[:i] ending before region byte i + d
+    got = np.empty_like(row)
+    alive = np.arange(n)
+    for i in range(size):
+        step = row + ((padded[alive, i : i + width + 1] != patterns[alive, i : i + 1]) | ~valid[i : i + width + 1])
+        got = np.minimum(step[:, :-1], row[:, 1:] + 1)  # a pattern byte without a region byte
+        got = np.concatenate([got, np.minimum(step[:, -1:], big)], axis=1)
+        row = np.minimum(np.minimum.accumulate(got - offsets, axis=1) + offsets, big)
+        if i % 8 == 7:
+            going = row.min(1) < big
+            if not going.all():
+                alive, row = alive[going], row[going]
+            if not len(alive):
+                break
+    edits, ends = np.full(n, big, np.int64), np.zeros(n, np.int64)
+    if len(alive):
+        at = row.argmin(1)
+        edits[alive] = row[np.arange(len(alive)), at]
+        ends[alive] = np.minimum(size + at, regions.shape[1])
+    return edits, ends
+
+
+def best_alignment(pattern: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int] | None:
+    """(edits, end in region) of the pattern's best match in the region, if within budget."""
+    edits, end = best_alignments(pattern[None], region[None], budget)
+    return (int(edits[0]), int(end[0])) if edits[0] <= budget else None
 
 
 def _whole_words(pattern: np.ndarray, body: np.ndarray, first: int, last: int, lo: int, hi: int) -> tuple[int, int] | None:
@@ -107,7 +124,19 @@ class LeakIndex:
 
     def __init__(self, items: list[tuple[int, str]], q: int = Q, edits: float = EDITS):
         self.q = q
-        self.items, self.patterns, self.part = [], [], []
+        #: Distinct windows, the items that have each, and whether it is a part.
+        self.owners, self.patterns, self.part = [], [], []
+        known: dict[tuple[bytes, bool], int] = {}
+
+        def add(window: np.ndarray, item: int, part: bool) -> None:
+            at = known.setdefault((window.tobytes(), part), len(self.patterns))
+            if at == len(self.patterns):
+                self.owners.append([])
+                self.patterns.append(window)
+                self.part.append(part)
+            if item not in self.owners[at][-1:]:
+                self.owners[at].append(item)
+
         for item, text in items:
             raw = np.frombuffer((text or "").encode(), np.uint8)
             body, _, _ = normalised(raw, np.array([0, len(raw)]))
@@ -116,14 +145,10 @@ class LeakIndex:
                 continue
             last = max(0, len(body) - WINDOW)
             for a in sorted({*range(0, last, STEP), last}):
-                self.items.append(item)
-                self.patterns.append(body[a : a + WINDOW])
-                self.part.append(False)
+                add(body[a : a + WINDOW], item, False)
             last = len(body) - PART
             for a in sorted({*range(0, last, PART_STEP), last}) if last > 0 else ():
-                self.items.append(item)
-                self.patterns.append(body[a : a + PART])
-                self.part.append(True)
+                add(body[a : a + PART], item, True)
         self.length = np.array([len(p) for p in self.patterns], np.int64)
         self.budget = np.where(self.length < MIN_BYTES, 0, self.length * edits).astype(np.int64)
         self.least = np.maximum(1, self.length - q + 1 - self.budget * q)
@@ -151,32 +176,67 @@ class LeakIndex:
         row = np.searchsorted(bounds, hit, "right") - 1
         inside = hit + self.q <= bounds[row + 1]
         hit, i, row = hit[inside], i[inside], row[inside]
-        n = self.first[i + 1] - self.first[i]
-        k = np.repeat(self.first[i] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        window, diagonal, row = self.window[k].astype(np.int64), np.repeat(hit, n) - self.offset[k], np.repeat(row, n)
-        reach = self.budget[window] + 1
-        band = diagonal // reach
-        window, row, band = np.tile(window, 2), np.tile(row, 2), np.concatenate([band, band - 1])
-        order = np.lexsort((band, window, row))
-        window, row, band = window[order], row[order], band[order]
-        new = np.ones(len(row) + 1, bool)
-        new[1:-1] = (window[1:] != window[:-1]) | (row[1:] != row[:-1]) | (band[1:] != band[:-1])
-        first = np.flatnonzero(new)
-        count = np.diff(first)
-        for f in first[:-1][count >= self.least[window[first[:-1]]]].tolist():
-            w, r = int(window[f]), int(row[f])
-            reach = int(self.budget[w]) + 1
-            lo = max(int(bounds[r]), int(band[f]) * reach - int(self.budget[w]))
-            hi = min(int(bounds[r + 1]), (int(band[f]) + 2) * reach + int(self.length[w]) + int(self.budget[w]))
-            match = best_alignment(self.patterns[w], body[lo:hi], int(self.budget[w]))
-            if match and self.length[w] < MIN_BYTES:
-                match = _whole_words(self.patterns[w], body, int(bounds[r]), int(bounds[r + 1]), lo, hi)
+        row, window, band = self._bands(hit, i, row)
+        lo = np.maximum(bounds[row], band * (self.budget[window] + 1) - self.budget[window])
+        hi = np.minimum(bounds[row + 1], (band + 2) * (self.budget[window] + 1) + self.length[window] + self.budget[window])
+        # Regions of one shape are aligned together; of equal windows and regions one is enough.
+        length, size = self.length[window], hi - lo
+        order = np.lexsort((size, length))
+        cuts = np.flatnonzero((length[order][1:] != length[order][:-1]) | (size[order][1:] != size[order][:-1])) + 1
+        for same in np.split(order, cuts) if len(order) else ():
+            for first in range(0, len(same), ALIGNED):
+                yield from self._verified(same[first : first + ALIGNED], row, window, lo, hi, body, bounds, place)
+
+    def _bands(self, hit: np.ndarray, gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, window and band of the diagonal bands that share enough q-grams. A hit has a posting for each window with its q-gram, so
+        hits are taken some at a time, and what is kept of them is a count for each band."""
+        n = self.first[gram + 1] - self.first[gram]
+        ends = np.cumsum(n)
+        held, lo = [np.empty((4, 0), np.int64)], 0
+        while lo < len(hit):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + POSTINGS, "right")))
+            m, start = n[lo:hi], self.first[gram[lo:hi]]
+            k = np.repeat(start - np.cumsum(m) + m, m) + np.arange(m.sum())
+            window, diagonal, rows = self.window[k].astype(np.int64), np.repeat(hit[lo:hi], m) - self.offset[k], np.repeat(row[lo:hi], m)
+            band = diagonal // (self.budget[window] + 1)
+            held.append(_counted(np.tile(rows, 2), np.tile(window, 2), np.concatenate([band, band - 1]), np.ones(2 * len(band), np.int64)))
+            if len(held) > 8:
+                held = [_counted(*np.concatenate(held, axis=1))]
+            lo = hi
+        rows, window, band, count = _counted(*np.concatenate(held, axis=1))
+        enough = count >= self.least[window]
+        return rows[enough], window[enough], band[enough]
+
+    def _verified(self, some: np.ndarray, row: np.ndarray, window: np.ndarray, lo: np.ndarray, hi: np.ndarray, body: np.ndarray, bounds: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """The regions of one shape (window length and region size) that hold their windows."""
+        size, region = int(self.length[window[some[0]]]), int(hi[some[0]] - lo[some[0]])
+        regions = body[lo[some][:, None] + np.arange(region)]
+        pairs = np.concatenate([np.ascontiguousarray(window[some].astype(">u8")).view(np.uint8).reshape(-1, 8), regions], axis=1)
+        _, one, which = np.unique(np.ascontiguousarray(pairs).view(np.dtype((np.void, pairs.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        patterns = np.stack([self.patterns[w] for w in window[some[one]].tolist()])
+        budget = int(self.budget[window[some[0]]])
+        edits, ends = (x[which] for x in best_alignments(patterns, regions[one], budget))
+        for j in np.flatnonzero(edits <= budget).tolist():
+            f = int(some[j])
+            w, r, match = int(window[f]), int(row[f]), (int(edits[j]), int(ends[j]))
+            if size < MIN_BYTES:
+                match = _whole_words(self.patterns[w], body, int(bounds[r]), int(bounds[r + 1]), int(lo[f]), int(hi[f]))
             if match:
-                end = lo + match[1]
-                start = max(lo, end - int(self.length[w]))
+                end = int(lo[f]) + match[1]
+                start = max(int(lo[f]), end - size)
                 yield r, w, int(place[start]), int(place[end - 1]) + 1, match[0]
 
 
+def _counted(rows: np.ndarray, window: np.ndarray, band: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Equal (row, window, band) put together, their counts added up."""
+    if not len(rows):
+        return np.empty((4, 0), np.int64)
+    order = np.lexsort((band, window, rows))
+    rows, window, band, count = rows[order], window[order], band[order], count[order]
+    new = np.flatnonzero(np.append(True, (window[1:] != window[:-1]) | (rows[1:] != rows[:-1]) | (band[1:] != band[:-1])))
+    return np.stack([rows[new], window[new], band[new], np.add.reduceat(count, new)])
+
+
 def benchmark_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size; a byte is in WINDOW / STEP + PART / PART_STEP windows."""
     block, n = [], 0
@@ -206,12 +266,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 for lo, _, data, at in K.text_slices(batch.column(1)):
                     best: dict = {}
                     for r, w, start, end, edits in index.value.scan(data, at):
-                        key, found = (lo + r, index.value.items[w]), (index.value.part[w], start - int(at[r]), end - int(at[r]), edits)
-                        old = best.get(key, found)
-                        if old[0] != found[0]:
-                            best[key] = min(old, found)  # windows of the first kind go before parts
-                        else:
-                            best[key] = (*min(old[:3], found[:3]), min(old[3], edits))
+                        found = (index.value.part[w], start - int(at[r]), end - int(at[r]), edits)
+                        for item in index.value.owners[w]:
+                            key = (lo + r, item)
+                            old = best.get(key, found)
+                            if old[0] != found[0]:
+                                best[key] = min(old, found)  # windows of the first kind go before parts
+                            else:
+                                best[key] = (*min(old[:3], found[:3]), min(old[3], edits))
                     yield pa.RecordBatch.from_pylist(
                         [{"doc_id": ids[r].as_py(), "item_id": item, "start": a, "end": b, "edits": e} for (r, item), (_, a, b, e) in best.items()],
                         schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start", "end", "edits")]),

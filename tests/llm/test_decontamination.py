@@ -1,3 +1,4 @@
+import time
 import random
 
 import numpy as np
@@ -87,7 +88,7 @@ def test_against_brute_force(spark):
     index = D.LeakIndex(items)
     clean = lambda text: [*" ".join(text.lower().split()).encode()]
     want = {
-        (k, index.items[w]) for k, text in rows for w, p in enumerate(index.patterns)
+        (k, item) for k, text in rows for w, p in enumerate(index.patterns) for item in index.owners[w]
         if least_edits([*p.tobytes()], clean(text)) <= index.budget[w]
     }
     held = spark.createDataFrame(rows, "doc_id long, text string")
@@ -103,3 +104,22 @@ def test_many_blocks_repeats_and_clashes(spark, bench, monkeypatch):
     kept = drop_leaks(held, benchmark)
     assert kept.columns == held.columns and sorted(str(x.doc_id) for x in kept.collect()) == ["3", "3", "None"]
     assert sorted((x.doc_id, x.item_id) for x in find_leaks(held, benchmark).collect()) == [(1, 0), (1, 0), (2, 2)]
+
+
+def test_shared_preamble(monkeypatch):
+    """Items that share a preamble against a text that repeats it: windows once, regions put together, hits some at a time."""
+    rng = random.Random(1)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    preamble = words(30)[:105]
+    items = [(k, f"{preamble} {words(20)}") for k in range(200)]
+    index = D.LeakIndex(items)
+    assert max(len(o) for o in index.owners) == 200
+    parts = [preamble] * 20 + [f"{preamble} {words(6)}" for _ in range(20)]
+    raw = np.frombuffer((" ".join(parts) + " " + items[7][1]).encode(), np.uint8)
+    began = time.monotonic()
+    found = list(index.scan(raw, np.array([0, len(raw)])))
+    assert time.monotonic() - began < 20
+    assert {index.owners[w][0] for _, w, *_ in found if not index.part[w]} == {7}
+    monkeypatch.setattr(D, "POSTINGS", 1000)
+    monkeypatch.setattr(D, "ALIGNED", 50)
+    assert sorted(index.scan(raw, np.array([0, len(raw)]))) == sorted(found)
