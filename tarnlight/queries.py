@@ -665,6 +665,59 @@ def parse_turns(spark, d):
     return rows.select("conv_id", "turn", "parsed.category", F.size("parsed.phrases").cast("long").alias("n_phrases"), "parsed.is_override", "parsed.is_unclear")
 
 
+def _in(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+#: The fold where nobody declines: new requirements and their attributes, and questions that brought nothing.
+ORACLE["dialog_fold"] = ORACLE["parse_turns"][: ORACLE["parse_turns"].index("s AS (SELECT *, len(")] + f"""s AS (SELECT *, list_filter(list_transform(regexp_split_to_array(rest, '[ \\t\\n\\r\\f]*;[ \\t\\n\\r\\f]*'), lambda x: {_CLEAN_SQL.format('x')}), lambda x: length(x) >= 2) AS parts, {_CLEAN_SQL.format('rest')} AS whole FROM r),
+phr AS (SELECT conv_id, turn, unnest(l) AS phrase, generate_subscripts(l, 1) AS place FROM (SELECT conv_id, turn, CASE WHEN NOT plain THEN [] WHEN len(parts) > 1 AND length(whole) >= 2 THEN list_prepend(whole, parts) ELSE parts END AS l FROM s)),
+said AS (SELECT *, {NORM.format('phrase')} AS normal FROM phr),
+new AS (SELECT *, trim(phrase, {_BLANKS}) AS t FROM said WHERE normal <> '' QUALIFY row_number() OVER (PARTITION BY conv_id, normal ORDER BY turn, place) = 1),
+keyed AS (SELECT *, regexp_matches(t, '{X.KEY_VALUE}') AS has_key, lower(trim(regexp_extract(t, '{X.KEY_VALUE}', 1))) AS k, CASE WHEN regexp_matches(t, '{X.KEY_VALUE}') THEN trim(regexp_extract(t, '{X.KEY_VALUE}', 2)) ELSE phrase END AS v,
+ lower(regexp_extract(trim(phrase), '(?i){X.BARE_ATTRIBUTE}', 1)) AS bk, lower(regexp_extract(trim(phrase), '(?i){X.BARE_ATTRIBUTE}', 2)) AS bv FROM new),
+attrs AS (SELECT conv_id, turn, coalesce(CASE WHEN bv IN ({_in(X.PRIMARY_COLORS)}) AND bk IN ('color', 'colour', '') THEN 'color' WHEN bv IN ({_in(X.PRIMARY_MATERIALS)}) AND bk IN ('material', 'fabric', '') THEN 'material' END, CASE WHEN has_key THEN {_sql_key('k')} END, {_sql_attribute('lower(v)')}) AS attribute, v FROM keyed),
+asks AS (SELECT conv_id, turn, contains(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '?') AS asked, role FROM conversations),
+dull AS (SELECT DISTINCT conv_id FROM s JOIN asks USING (conv_id, turn) WHERE asked AND role = 'user' AND NOT declined AND NOT is_unclear AND NOT is_override AND (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM attrs)),
+slots AS (SELECT conv_id, list(DISTINCT attribute) AS held, count(DISTINCT attribute) FILTER (attribute IN ({_in(X.HARD_FILTER_ATTRIBUTES)}) AND v <> '') AS hard, count(*) AS n FROM attrs GROUP BY 1),
+main AS (SELECT conv_id, max(turn) AS turn, arg_max(CASE WHEN plain AND opens AND named <> '' THEN named END, turn) AS category, count(*) FILTER (is_override) AS override_events, conv_id IN (SELECT conv_id FROM dull) AS is_dull FROM s GROUP BY 1)
+SELECT conv_id, turn, category, override_events, coalesce(n, 0) AS n_evidence, array_to_string(list_filter([{_in(X.ATTRIBUTES[1:])}], lambda a: a = 'feature' OR (a = 'other' AND NOT is_dull) OR (a NOT IN ('feature', 'other') AND NOT list_contains(coalesce(held, []), a))), ',') AS unresolved, coalesce(hard, 0) AS hard_slots
+FROM main LEFT JOIN slots USING (conv_id)"""
+
+_WORN = [X.DECAY**k for k in range(4)]
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS sid, p_type, p_brand AS b, CAST(p_size AS VARCHAR) AS z, CAST(p_size + 5 AS VARCHAR) AS m, p_size + 5.0 AS amount, p_partkey % 3 AS kind FROM part),
+e AS (SELECT *, 'Size: ' || z || '; under $' || m AS whole FROM p)
+SELECT sid, 4 AS turn, p_type AS category, CASE WHEN kind = 0 THEN 1 ELSE 0 END AS override_events, false AS set_now, 2 AS hard_slots,
+ 'Brand: ' || b || '/brand/1/' || CASE WHEN kind = 0 THEN '0.5' ELSE '1.0' END || '/phrase|' || whole || '/size/2/1.0/phrase|Size: ' || z || '/size/2/1.0/phrase|under $' || m || '/budget/2/1.0/phrase' || CASE WHEN kind = 0 THEN '|Brand: Brand#99/brand/3/1.0/phrase' ELSE '' END AS evidence,
+ 'brand/' || CASE WHEN kind = 0 THEN 'Brand#99,' ELSE '' END || b || '/confirmed/' || CASE WHEN kind = 0 THEN '3' ELSE '1' END || '/false|size/' || z || '; under $' || m || ',' || z || CASE WHEN kind = 1 THEN '/no_pref' ELSE '/confirmed' END || '/2/false|budget/under $' || m || '/confirmed/2/false' || CASE WHEN kind = 2 THEN '|feature//confirmed/3/true' ELSE '' END AS slots,
+ round(CASE WHEN kind = 0 THEN {_WORN[1]} ELSE {_WORN[3]} END + CASE WHEN kind = 1 THEN 1.0 ELSE {_WORN[2]} END + {_WORN[2]} + CASE WHEN kind = 2 THEN {_WORN[2]} ELSE 0 END, 6) AS weight, CAST(amount AS DOUBLE) AS budget,
+ 'other,' || CASE WHEN kind = 1 THEN 'size' ELSE 'feature' END || ',color' AS asked, CASE kind WHEN 1 THEN 'size' WHEN 2 THEN 'feature' ELSE '' END AS exhausted,
+ CASE WHEN kind = 2 THEN 'material,style,use_case,other' ELSE 'material,style,feature,use_case,other' END AS unresolved FROM e""")
+def planted_dialogs(spark, d):
+    """Four turns about each part: requirements, then an override, a refusal or an empty answer, then a deflection; the whole state."""
+    p = table(spark, d, "part")
+    size, brand = F.col("p_size").cast("string"), F.col("p_brand")
+    third = F.when(F.col("p_partkey") % 3 == 0, "Actually, ignore my earlier preference. What I need is: Brand: Brand#99.").when(F.col("p_partkey") % 3 == 1, "I don't have an additional preference for size.").otherwise("")
+    turn = lambda message, asked: F.struct(message.alias("message"), asked.cast("string").alias("asked"))
+    said = F.array(
+        turn(F.concat(F.lit("I'm looking for "), F.col("p_type"), F.lit(". A key requirement is: Brand: "), brand, F.lit(".")), F.lit(None)),
+        turn(F.concat(F.lit("For that, what matters is: Size: "), size, F.lit("; under $"), (F.col("p_size") + 5).cast("string"), F.lit(".")), F.lit("other")),
+        turn(third, F.when(F.col("p_partkey") % 3 == 1, "size").otherwise("feature")),
+        turn(F.lit("I don't have a preference for color; please use your judgment."), F.lit("color")),
+    )
+    rows = p.select(F.col("p_partkey").alias("sid"), F.posexplode(said).alias("at", "t")).select("sid", (F.col("at") + 1).alias("turn"), "t.message", "t.asked")
+    shown = lambda fields: lambda e: F.concat_ws("/", *(F.array_join(e[f], ",") if f == "variants" else e[f].cast("string") for f in fields))
+    listed = lambda c, fields: F.array_join(F.transform(c, shown(fields)), "|")
+    return dialog.fold(rows, "sid").select(
+        "sid", "turn", "category", "override_events", "set_now", "hard_slots", listed("evidence", ("phrase", "attribute", "turn_seen", "weight", "kind")).alias("evidence"),
+        listed("slots", ("attribute", "variants", "status", "turn_set", "stagnant")).alias("slots"), F.round(F.aggregate("slots", F.lit(0.0), lambda a, e: a + e["weight"]), 6).alias("weight"),
+        F.element_at(F.array_compact(F.transform("slots", lambda e: e["budget_max"])), 1).alias("budget"), *(F.array_join(c, ",").alias(c) for c in ("asked", "exhausted", "unresolved")),
+    )
+
+
+
 SESSIONS_SQL = """s AS (SELECT user_id, date_trunc('week', ts) AS week, event_type, row_number() OVER (PARTITION BY user_id, date_trunc('week', ts) ORDER BY ts, event_id) AS turn FROM events),
 sessions AS (SELECT user_id, week, any_value(event_type) FILTER (turn = 1) AS scenario, min(turn) FILTER (event_type = 'purchase' AND turn <= 10) AS first_hit_turn FROM s GROUP BY 1, 2),
 m AS (SELECT *, coalesce(1.0 / first_hit_turn, 0) AS rr FROM sessions)"""
