@@ -279,7 +279,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         schema=pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "start", "end", "edits")]),
                     )
 
-        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scan, _LEAKS)
+        rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(K.tidy(scan), _LEAKS)
         out = rows if out is None else out.union(rows)
     return docs.sparkSession.createDataFrame([], _LEAKS) if out is None else out
 

@@ -324,12 +324,12 @@ class JaccardJoin(SimilarityJoin):
                     yield from packer.add(sig, ids[rows])
             yield from packer.flush()
 
-        return self.docs.select("text").mapInArrow(emit, "part int, hot boolean, blob binary")
+        return self.docs.select("text").mapInArrow(K.tidy(emit), "part int, hot boolean, blob binary")
 
     def components(self) -> DataFrame:
         """doc_id, key, n_shingles, component_id and first (key of its group's first row: smallest id, nulls last) of every row."""
         work, width = self.work, self.width
-        seen = work.save(self.docs.mapInArrow(lambda batches: _describe(batches, width), _SETS), "seen")
+        seen = work.save(self.docs.mapInArrow(K.tidy(lambda batches: _describe(batches, width)), _SETS), "seen")
         rows = seen.where("n is not null").select("doc_id", "key", "n", "name")
         classes = seen.where("n > 0").groupBy("name").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")).alias("rep"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("id").alias("id"), F.first("sketch").alias("sketch"),

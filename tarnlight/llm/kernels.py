@@ -7,7 +7,8 @@ slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,26 @@ _powers = {}
 CACHES: list[dict] = []
 
 
+def give_back() -> None:
+    """Returns memory that is free but held by the allocators of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(task: Callable) -> Callable:
+    """A task over batches after which its worker, which Spark keeps for others, is as small as it can be."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def _power(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _powers.get(base)

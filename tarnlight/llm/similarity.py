@@ -271,7 +271,7 @@ class SimilarityJoin(ABC):
     def _lists(self, entries: DataFrame, parts: int) -> DataFrame:
         """sig, node, pivot: the members, but the pivot, of each list."""
         reach, by_copies = size_reach(self.ratio), self.by_copies
-        dealt = entries.repartitionById(parts, F.col("part")).mapInArrow(lambda batches: read_lists(batches, reach, by_copies), "home long, sig long, node long, pivot long")
+        dealt = entries.repartitionById(parts, F.col("part")).mapInArrow(K.tidy(lambda batches: read_lists(batches, reach, by_copies)), "home long, sig long, node long, pivot long")
         rows = self.work.save(dealt, "dealt")
         hot = rows.where("pivot is null").select("home", "node")
         if self.renumbered is not None:  # all items of a number, with a pivot of its own for each list
@@ -301,7 +301,7 @@ class SimilarityJoin(ABC):
                 yield pa.RecordBatch.from_arrays([*own, pa.array(far)], [*names, "far"]).filter(pa.array(~np.isnan(far)))
 
         both = pairs.join(sketches.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        return both.select(*names, "x", "y").mapInArrow(test, ", ".join(f"{c} long" for c in names) + ", far double")
+        return both.select(*names, "x", "y").mapInArrow(K.tidy(test), ", ".join(f"{c} long" for c in names) + ", far double")
 
     def _linked(self, pairs: DataFrame, label: str, keep_pairs: bool = False) -> DataFrame:
         """Those of the pairs a, b that are similar, as u, v."""
@@ -332,7 +332,7 @@ class SimilarityJoin(ABC):
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
         rows = self.bodies(docs, wanted).repartition("t", "salt").sortWithinPartitions("t", "salt", F.col("a").asc_nulls_first())
-        out = self.work.save(rows.mapInArrow(verify, "u long, v long"), label)
+        out = self.work.save(rows.mapInArrow(K.tidy(verify), "u long, v long"), label)
         for name in ("wanted",) if keep_pairs else ("wanted", "pairs"):
             self.work.drop(f"{label}-{name}")
         self.work.settle()

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnlight.llm.elias_fano import EliasFano
-from tarnlight.llm.kernels import CACHES
+from tarnlight.llm.kernels import CACHES, tidy
 from tarnlight.llm.store import Workspace
 from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
     (
         rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-        .select("doc_id", "text").mapInArrow(encode, _BLOCKS).write.mode("overwrite").parquet(path)
+        .select("doc_id", "text").mapInArrow(tidy(encode), _BLOCKS).write.mode("overwrite").parquet(path)
     )
 
 
@@ -206,7 +206,7 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     blocks = spark.read.schema(_BLOCKS).parquet(path)
     starts = read_tokens(spark, path).select("part", "seq", "start")
     return (
-        blocks.select("part", "seq", "payload").mapInArrow(decode, _DIGEST).join(starts, ["part", "seq"])
+        blocks.select("part", "seq", "payload").mapInArrow(tidy(decode), _DIGEST).join(starts, ["part", "seq"])
         .select("doc_id", (F.col("start") + F.col("start_in_block")).alias("start"), "n_tokens", "ids_crc32")
     )
 
