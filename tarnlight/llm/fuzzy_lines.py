@@ -24,14 +24,14 @@ gives an empty result; other columns pass through ``drop_repeated_lines``.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tarnlight.llm import kernels as K
-from tarnlight.llm.similarity import BROADCAST_ROWS, LIST_ENTRIES, Packer, SimilarityJoin, free_name, numbers, ranked, row_key
+from tarnlight.llm import kernels as K, similarity as S
+from tarnlight.llm.components import connected_components
+from tarnlight.llm.edits import BAND, Letters, within
+from tarnlight.llm.similarity import BROADCAST_ROWS, LIST_ENTRIES, Packer, SimilarityJoin, few, free_name, numbers, ranked, row_key
 
 MIN_WORDS = 5
 #: Words of a line of which candidates share two.
@@ -40,8 +40,8 @@ SKETCH = 6
 EDITS = 0.1
 #: Counts of letters in a sketch, each 255 at most.
 BUCKETS = 32
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_LOWER = {c: c + 32 for c in range(65, 91)}
+#: Bytes of a word as they are, but A-Z lower-cased, and a space for each other.
+_LETTERS = np.where(K.NOT_ALNUM[K.LOWER], 32, K.LOWER).astype(np.uint8).tobytes()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: A line's characters, counts of letters, and of SKETCH words as they follow each other hashes (0 where there are fewer) and places (65,535 at most).
 SKETCHES = np.dtype([("chars", "<u4"), ("letters", "u1", BUCKETS), ("word", "<u4", SKETCH), ("place", "<u2", SKETCH)])
@@ -50,10 +50,12 @@ _FIRST = np.dtype([("one", "<u8"), ("two", "<u8"), ("unnamed", "?"), ("doc", "<i
 _COPY = np.dtype([("one", "<u8"), ("two", "<u8"), ("chars", "<u4"), ("key", "<i8"), ("line", "<i4")])
 #: Lines of a task that are put together at once.
 _HELD = 1 << 17
+#: Members of lists that are verified together, pairs whose sketches are compared at once, and pairs between two looks at what is joined.
+_TOGETHER, _SEEN, _PAIRS = 1 << 13, 1 << 16, 1 << 12
 
 
 def normal_form(line: str) -> str:
-    return " ".join(_WORD.findall(line.translate(_LOWER)))
+    return b" ".join(line.encode("utf-8", "surrogatepass").translate(_LETTERS).split()).decode("utf-8", "surrogatepass")
 
 
 def line_table(texts: pa.Array):
@@ -281,6 +283,127 @@ def _members(names, node, doc, key, line, k, long, sketch, number, named, ranks)
     ], names)
 
 
+def _verified_pairs(batches):
+    """As SimilarityJoin.verifier, many pairs at once."""
+    now, texts, u, v, x, y = None, [], [], [], [], []
+    at = -1  # the pivot's text
+
+    def tested():
+        some, letters = np.arange(len(x)), Letters(texts)
+        fit = _similar(texts, letters, np.array(x, np.int64), np.array(y, np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[some[fit]]) for c in (u, v)], ["u", "v"])
+
+    for batch in batches:
+        for t, salt, a, body in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            if a is None:
+                now, at = (t, salt), len(texts)
+                texts.append(normal_form(body))
+            elif (t, salt) == now:
+                x.append(len(texts))
+                y.append(at)
+                u.append(a)
+                v.append(t)
+                texts.append(normal_form(body))
+        if len(x) >= _PAIRS:
+            yield tested()
+            texts, u, v, x, y = [texts[at]], [], [], [], []
+            at = 0
+    if x:
+        yield tested()
+
+
+def _verified_lists(batches):
+    """sig, cell, block, node, component, odd, sketch, body, sorted by cells of lists, to u, v: links that join the components of a cell, by a few."""
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        sig, cell = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        new = np.flatnonzero((sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])) + 1
+        if held:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            if (last.column(0)[0].as_py(), last.column(1)[0].as_py()) != (sig[0], cell[0]):
+                new = np.append(0, new)
+        if n + batch.num_rows >= _TOGETHER and len(new):
+            cut = int(new[-1])
+            held.append(batch.slice(0, cut))
+            yield _joined(pa.Table.from_batches(held))
+            held, n = [], 0
+            batch = batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield _joined(pa.Table.from_batches(held))
+
+
+def _joined(rows: pa.Table) -> pa.RecordBatch:
+    """The links of whole cells, those within what links before them joined left out."""
+    sig, cell, block, node, component, odd = (rows.column(k).to_numpy() for k in range(6))
+    texts = [normal_form(x) for x in rows.column(7).to_pylist()]
+    sketch = _unpacked(rows.column(6).to_pylist())
+    of = np.cumsum(np.append(False, (sig[1:] != sig[:-1]) | (cell[1:] != cell[:-1])))
+    chars = sketch["chars"].astype(np.int64)
+    order = np.lexsort((chars, of))
+    of, chars, block, node, odd, sketch = (x[order] for x in (of, chars, block, node, odd, sketch))
+    letters, texts = Letters([texts[i] for i in order]), [texts[i] for i in order]
+    crossed = np.zeros(int(of[-1]) + 1, bool)  # cells of two blocks
+    crossed[of[block != block[np.searchsorted(of, of)]]] = True
+    _, group = np.unique(component[order], return_inverse=True)
+    up = list(range(int(group.max()) + 1))
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    wide = np.int64(int(chars.max()) * 2 + 4)
+    key = of * wide + chars
+    ones = np.flatnonzero(odd)
+    lo = np.searchsorted(key, of[ones] * wide + (chars[ones] * (1 - EDITS)).astype(np.int64), "left")
+    hi = np.searchsorted(key, of[ones] * wide + (chars[ones] / (1 - EDITS)).astype(np.int64) + 1, "right")
+    ends = np.cumsum(hi - lo)
+    u, v, first = [], [], 0
+    while first < len(ones):
+        before = int(ends[first - 1]) if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + _SEEN, "right")))
+        k = (hi - lo)[first:last]
+        x = np.repeat(ones[first:last], k)
+        y = np.arange(len(x)) + np.repeat(lo[first:last] - (np.cumsum(k) - k), k)
+        first = last
+        now = np.fromiter(map(root, range(len(up))), np.int64, len(up))[group]
+        apart = (now[x] != now[y]) & (~odd[y] | (y > x)) & (~crossed[of[x]] | (block[x] != block[y]))
+        x, y = x[apart], y[apart]
+        far = _far(sketch[x], sketch[y])
+        near = np.flatnonzero(~np.isnan(far))
+        near = near[np.argsort(far[near], kind="stable")]
+        at = 0
+        while at < len(near):
+            some = near[at : at + _PAIRS]
+            at += len(some)
+            now = np.fromiter(map(root, range(len(up))), np.int64, len(up))[group]
+            some = some[now[x[some]] != now[y[some]]]
+            some = some[_similar(texts, letters, x[some], y[some])]
+            for a, b in zip(x[some].tolist(), y[some].tolist(), strict=True):
+                p, q = root(int(group[a])), root(int(group[b]))
+                if p != q:
+                    up[q] = p
+                    u.append(node[a])
+                    v.append(node[b])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _similar(texts: list[str], letters: Letters, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the texts of each pair x, y are similar."""
+    most = (EDITS * np.maximum(letters.size[x], letters.size[y])).astype(np.int64)
+    same = np.zeros(len(x), bool)
+    banded = np.flatnonzero(most <= BAND)
+    same[banded] = within(letters, x[banded], y[banded], most[banded])
+    for k in np.flatnonzero(most > BAND).tolist():
+        same[k] = similar_lines(texts[x[k]], texts[y[k]])
+    return same
+
+
 class LineJoin(SimilarityJoin):
     """One run over docs; ``lines()`` is its result."""
 
@@ -310,6 +433,9 @@ class LineJoin(SimilarityJoin):
     def similar(self):
         return similar_lines
 
+    def verifier(self):
+        return _verified_pairs
+
     def sketched(self):
         def block(sketches):
             rows = _unpacked(sketches)
@@ -349,6 +475,33 @@ class LineJoin(SimilarityJoin):
 
         return self.items.select("node", "sketch").mapInArrow(emit, "part int, hot boolean, blob binary")
 
+    def groups(self, entries: DataFrame, parts: int) -> DataFrame:
+        """As SimilarityJoin's; lists that still hold several components are verified where they stand, so that no pair is named."""
+        work = self.work
+        found, components, mixed = self._by_pivots(entries, parts)
+        if mixed.isEmpty():
+            return components
+        at = self.items.join(few(mixed.select("node").distinct()), "node", "left_semi")
+        wanted = work.save(at.select("key", "line", F.col("node").alias("t"), F.lit(0).alias("salt"), F.lit(None).cast("long").alias("a")), "texts-wanted")
+        docs = self.docs.select("key", "text")
+        if self.rows_repeat:
+            docs = docs.join(few(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
+        texts = work.save(self.bodies(docs, wanted).select(F.col("t").alias("node"), "body"), "texts")
+        # Of a list, those outside its largest component meet all others; a long list is dealt to blocks, and each two of them meet in a cell.
+        share = mixed.groupBy("sig", "component").agg(F.count("*").alias("k"))
+        most = share.groupBy("sig").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
+        blocks = F.ceil(F.col("members") / S.BLOCK_MEMBERS).cast("int")
+        rows = mixed.join(most, "sig").select("sig", "node", "component", (F.col("component") != F.col("most")).alias("odd"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+        rows = rows.join(self.items.select("node", "sketch").join(texts, "node"), "node")
+        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cell = (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell")
+        rows = rows.select("sig", cell, "block", "node", "component", "odd", "sketch", "body").repartition(parts, "sig", "cell").sortWithinPartitions("sig", "cell")
+        links = work.save(rows.mapInArrow(K.tidy(_verified_lists), "u long, v long"), "within")
+        whole = connected_components(found.union(links), work, "whole")
+        for label in ("dealt", "lists", "mixed", "texts", "texts-wanted"):
+            work.drop(label)
+        return whole
+
     def lines(self) -> tuple[DataFrame, DataFrame]:
         """Two tables, by key: n_lines (with a word) of each document that has any, and the lines that go: line, class_doc, class_line (the occurrence that stays)."""
         self.rows_repeat = not self.docs.groupBy("key").count().where("count > 1").isEmpty()

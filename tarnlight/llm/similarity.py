@@ -253,6 +253,24 @@ class SimilarityJoin(ABC):
     def refuted(self) -> Callable:
         """A function of two lists of sketches: for each pair how far they are, NaN where they cannot be similar."""
 
+    def verifier(self) -> Callable:
+        """A function of batches t, salt, a, body, sorted, the pivot (a null) before its members, to u, v: members and pivots that are similar."""
+        prepared, similar = self.prepared(), self.similar()
+
+        def verify(batches):
+            now = pivot = None
+            for batch in batches:
+                u, v = [], []
+                for t, salt, a, body in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                    if a is None:
+                        now, pivot = (t, salt), prepared(body.as_py())
+                    elif (t, salt) == now and similar(prepared(body.as_py()), pivot):
+                        u.append(a)
+                        v.append(t)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+        return verify
+
     def near(self, a: str, b: str) -> Column:
         return sizes_near(a, b, self.ratio)
 
@@ -317,22 +335,8 @@ class SimilarityJoin(ABC):
         docs = self.docs.select("key", "text")
         if self.rows_repeat:
             docs = docs.join(few(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-        prepared, similar = self.prepared(), self.similar()
-
-        def verify(batches):
-            now = pivot = None
-            for batch in batches:
-                u, v = [], []
-                for t, salt, a, body in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
-                    if a is None:
-                        now, pivot = (t, salt), prepared(body.as_py())
-                    elif (t, salt) == now and similar(prepared(body.as_py()), pivot):
-                        u.append(a)
-                        v.append(t)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
         rows = self.bodies(docs, wanted).repartition("t", "salt").sortWithinPartitions("t", "salt", F.col("a").asc_nulls_first())
-        out = self.work.save(rows.mapInArrow(K.tidy(verify), "u long, v long"), label)
+        out = self.work.save(rows.mapInArrow(K.tidy(self.verifier()), "u long, v long"), label)
         for name in ("wanted",) if keep_pairs else ("wanted", "pairs"):
             self.work.drop(f"{label}-{name}")
         self.work.settle()
@@ -396,15 +400,19 @@ class SimilarityJoin(ABC):
         once = pairs.select("a", "b", "far").distinct()
         return once.withColumn("nth", F.row_number().over(by)).where(F.col("nth") <= CLOSEST).select("a", "b")
 
-    def groups(self, entries: DataFrame, parts: int) -> DataFrame:
-        """node, component of every item that is linked, but the smallest of each group. entries: rows of Packers with ``parts``."""
-        work = self.work
+    def _by_pivots(self, entries: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Links u, v of members with their lists' pivots, the components of these, and the lists that still hold several (see _mixed)."""
         lists = self._lists(entries, parts)
-        work.settle()
+        self.work.settle()
         pairs = lists.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(self.near("a", "b")).distinct()
         found = self._linked(self._close(pairs), "found")
-        components = connected_components(found, work, "stars")
-        mixed = self._mixed(lists, components, "mixed")
+        components = connected_components(found, self.work, "stars")
+        return found, components, self._mixed(lists, components, "mixed")
+
+    def groups(self, entries: DataFrame, parts: int) -> DataFrame:
+        """node, component of every item that is linked, but the smallest of each group. entries: rows of Packers with ``parts``."""
+        work = self.work
+        found, components, mixed = self._by_pivots(entries, parts)
         if mixed.isEmpty():
             return components
         small = work.save(self._small(mixed), "small")

@@ -10,7 +10,9 @@ from conftest import DATA
 from pyspark.sql import functions as F
 
 from tarnlight.llm import similarity as S
+from tarnlight.llm.edits import Letters, within
 from tarnlight.llm.fuzzy_lines import dropped_lines, drop_repeated_lines, edit_distance, op3, similar_lines
+from tarnlight.llm.store import Workspace
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -34,6 +36,25 @@ def test_edit_distance():
         assert edit_distance(a, b) == d and (edit_distance(a, b, 3) == d or min(d, edit_distance(a, b, 3)) > 3)
 
 
+def test_many_distances():
+    """Pairs at once, with bands of one word and of several, against one at a time."""
+    r, texts = random.Random(5), []
+    for n in (0, 1, 3, 40, 63, 64, 65, 200, 640, 1500):
+        for _ in range(4):
+            base = [r.choice("abcdé中 ") for _ in range(n)]
+            texts.append("".join(base))
+            for _ in range(3):
+                other = [*base]
+                for _ in range(r.randint(0, n // 7 + 1)):
+                    i = r.randrange(len(other) + 1)
+                    other[i : i + r.randrange(2)] = r.choice([[], [r.choice("abcd")]])
+                texts.append("".join(other))
+    x, y = (np.array(k) for k in zip(*((i - i % 4 + a, i - i % 4 + b) for i in range(0, len(texts), 4) for a in range(4) for b in range(4)), strict=True))
+    most = np.array([max(len(texts[a]), len(texts[b])) // 10 + r.randrange(3) for a, b in zip(x, y, strict=True)])
+    slow = [abs(len(texts[a]) - len(texts[b])) <= m and edit_distance(texts[a], texts[b]) <= m for a, b, m in zip(x, y, most, strict=True)]
+    assert within(Letters(texts), x, y, most).tolist() == slow and 0 < sum(slow) < len(slow)
+
+
 def brute(rows):
     """rows: (id, text) with distinct ids. The lines of each that go."""
     items = defaultdict(list)
@@ -93,6 +114,30 @@ def test_edited_copies(spark, monkeypatch, small, hot):
     assert {r.doc_id: list(r.dropped) for r in dropped_lines(docs).collect()} == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4096, 50])
+def test_family_names_no_pairs(spark, monkeypatch, block):
+    """Lines further from each other than the limit, that share words: what is written grows with them, not with their pairs."""
+    monkeypatch.setattr(S, "BLOCK_MEMBERS", block)
+    wrote, save = {}, Workspace.save
+
+    def counted(self, df, label):
+        out = save(self, df, label)
+        wrote[label] = out.count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", counted)
+    r, base, n = random.Random(4), [f"{c}{k}stays" for k, c in enumerate("abcdefghij")], 240
+    rows = []
+    for k in range(n):
+        line = [*base]
+        for i in (2, 7):
+            line[i] = "".join(r.choice("klmn") for _ in range(6))
+        rows.append((k, " ".join(line)))
+    got = {row.doc_id: list(row.dropped) for row in dropped_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert max(rows for label, rows in wrote.items() if label not in ("dealt", "lists", "mixed")) <= 20 * n
+
+
 def edited(r, line, n):
     out = [*line]
     for _ in range(n):
