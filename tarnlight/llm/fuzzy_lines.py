@@ -24,6 +24,8 @@ gives an empty result; other columns pass through ``drop_repeated_lines``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -52,6 +54,8 @@ _COPY = np.dtype([("one", "<u8"), ("two", "<u8"), ("chars", "<u4"), ("key", "<i8
 _HELD = 1 << 17
 #: Members of lists that are verified together, pairs whose sketches are compared at once, and pairs between two looks at what is joined.
 _TOGETHER, _SEEN, _PAIRS = 1 << 13, 1 << 16, 1 << 12
+#: Turns in which lists are dealt out with their texts, and members that are dealt in one.
+_TURNS, _ONE_TURN = 4, 1 << 16
 
 
 def normal_form(line: str) -> str:
@@ -481,25 +485,38 @@ class LineJoin(SimilarityJoin):
         found, components, mixed = self._by_pivots(entries, parts)
         if mixed.isEmpty():
             return components
-        at = self.items.join(few(mixed.select("node").distinct()), "node", "left_semi")
+        for label in ("dealt", "lists"):  # what is dropped here does not stand beside the texts
+            work.drop(label)
+        # Only items of these lists are dealt out with their sketches, not all.
+        at = work.save(self.items.join(few(mixed.select("node").distinct()), "node", "left_semi"), "within-items")
         wanted = work.save(at.select("key", "line", F.col("node").alias("t"), F.lit(0).alias("salt"), F.lit(None).cast("long").alias("a")), "texts-wanted")
         docs = self.docs.select("key", "text")
         if self.rows_repeat:
             docs = docs.join(few(wanted.select("key").distinct()), "key", "left_semi").dropDuplicates(["key"])
-        texts = work.save(self.bodies(docs, wanted).select(F.col("t").alias("node"), "body"), "texts")
+        texts = work.save(self.bodies(docs, wanted).select(F.col("t").alias("node"), "body").join(at.select("node", "sketch"), "node"), "texts")
+        for label in ("texts-wanted", "per-document", "within-items"):
+            work.drop(label)
+        work.settle()
         # Of a list, those outside its largest component meet all others; a long list is dealt to blocks, and each two of them meet in a cell.
         share = mixed.groupBy("sig", "component").agg(F.count("*").alias("k"))
         most = share.groupBy("sig").agg(F.max_by("component", F.struct("k", "component")).alias("most"))
         blocks = F.ceil(F.col("members") / S.BLOCK_MEMBERS).cast("int")
         rows = mixed.join(most, "sig").select("sig", "node", "component", (F.col("component") != F.col("most")).alias("odd"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), blocks.alias("blocks"))
-        rows = rows.join(self.items.select("node", "sketch").join(texts, "node"), "node")
+        rows = rows.join(texts, "node")
         rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         cell = (F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")).alias("cell")
-        rows = rows.select("sig", cell, "block", "node", "component", "odd", "sketch", "body").repartition(parts, "sig", "cell").sortWithinPartitions("sig", "cell")
-        links = work.save(rows.mapInArrow(K.tidy(_verified_lists), "u long, v long"), "within")
-        whole = connected_components(found.union(links), work, "whole")
-        for label in ("dealt", "lists", "mixed", "texts", "texts-wanted"):
+        rows = rows.select("sig", cell, "block", "node", "component", "odd", "sketch", "body")
+        # Lists are dealt out in turns, for a text stands in each of its lists; so a share of that is on disk at once.
+        turns = _TURNS if mixed.count() > _ONE_TURN else 1
+        links = []
+        for turn in range(turns):
+            own = rows.where(F.pmod(F.xxhash64("sig"), F.lit(turns)) == turn).repartition(parts, "sig", "cell").sortWithinPartitions("sig", "cell")
+            links.append(work.save(own.mapInArrow(K.tidy(_verified_lists), "u long, v long"), f"within-{turn}"))
+            work.settle()
+        for label in ("mixed", "texts"):
             work.drop(label)
+        whole = connected_components(reduce(DataFrame.union, links, found), work, "whole")
+        work.settle()
         return whole
 
     def lines(self) -> tuple[DataFrame, DataFrame]:
@@ -523,6 +540,7 @@ class LineJoin(SimilarityJoin):
 
         dealt = docs.mapInArrow(emit, "part int, copies boolean, blob binary").repartitionById(parts, F.col("part"))
         members = self.work.save(dealt.mapInArrow(_read_classes, _MEMBERS), "members")
+        self.work.settle()
         classes = members.where("k is not null")
         other = classes.where("node <> number").select("number", "name", F.col("node").alias("other"))
         if not other.isEmpty():  # copies of a class that has not the number of its name

@@ -407,7 +407,9 @@ class SimilarityJoin(ABC):
         pairs = lists.select(F.col("node").alias("a"), F.col("pivot").alias("b")).where(self.near("a", "b")).distinct()
         found = self._linked(self._close(pairs), "found")
         components = connected_components(found, self.work, "stars")
-        return found, components, self._mixed(lists, components, "mixed")
+        mixed = self._mixed(lists, components, "mixed")
+        self.work.settle()
+        return found, components, mixed
 
     def groups(self, entries: DataFrame, parts: int) -> DataFrame:
         """node, component of every item that is linked, but the smallest of each group. entries: rows of Packers with ``parts``."""

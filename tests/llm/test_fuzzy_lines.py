@@ -1,5 +1,6 @@
 """Fuzzy lines against plain edit distance: no filter that could lose a pair."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -146,6 +147,28 @@ def edited(r, line, n):
     return " ".join("".join(out).split())
 
 
+def test_lists_are_gone_before_their_texts_are_dealt(spark, monkeypatch):
+    """Disk: what is read no more does not stand beside the texts of lists, and only items of these lists are dealt out with them."""
+    r, held, save = random.Random(5), {}, Workspace.save
+    words = [f"word{k:03d}" for k in range(400)]
+    base = [r.choice(words) for _ in range(30)]
+    family = [" ".join(w if k not in (i, i + 9) else words[(i * 7 + k) % 400] for k, w in enumerate(base)) for i in range(20)]
+    rest = [" ".join(r.choice(words) for _ in range(12)) for _ in range(300)]
+
+    def watched(self, df, label):
+        out = save(self, df, label)
+        if label == "within-0":
+            held["tables"] = [x for x in ("dealt", "lists", "texts-wanted", "within-items", "per-document") if os.path.exists(self.path(x).removeprefix("file:"))]
+            held["texts"] = self.spark.read.parquet(self.path("texts")).count()
+        return out
+
+    monkeypatch.setattr(Workspace, "save", watched)
+    docs = spark.createDataFrame([(k, line) for k, line in enumerate(family + rest)], "doc_id long, text string")
+    got = {x.doc_id for x in dropped_lines(docs).where(F.size("dropped") > 0).collect()}
+    assert held["tables"] == [] and 0 < held["texts"] <= len(family)
+    assert got <= set(range(len(family)))
+
+
 def test_recall(spark):
     r = random.Random(2)
     pairs = []
