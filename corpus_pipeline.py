@@ -18,6 +18,8 @@ from tarnlight.llm.token_output import write_and_digest
 
 #: Words of a block of the mix: long, so most documents are taken whole.
 MIX_BLOCK_WORDS = 2048
+#: Pieces and words whose ids a worker keeps: few, for the stages before leave their executor little memory.
+TOKEN_MEMO = 1 << 16
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A null or empty text is the end id alone; null ids come first, rows of one id are ordered by a hash of their text.
     """
-    return write_and_digest(docs)
+    return write_and_digest(docs, TOKEN_MEMO)
 
 
 STAGES = [

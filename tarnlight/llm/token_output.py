@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tarnlight.llm.elias_fano import EliasFano
 from tarnlight.llm.kernels import CACHES, tidy
-from tarnlight.llm.store import Workspace
+from tarnlight.llm.store import Workspace, small_batches
 from tarnlight.llm.vocabulary import byte_letters, tokenizer_file
 
 END_ID = 2
@@ -39,7 +39,7 @@ BLOCK_TOKENS = 1 << 18
 _HEAD = struct.Struct("<4sBBQq")
 _BLOCKS = "part int, seq int, n_docs long, n_tokens long, payload binary"
 _DIGEST = "doc_id long, part int, seq int, start_in_block long, n_tokens long, ids_crc32 long"
-#: Distinct pieces between spaces, and distinct words, whose ids a worker keeps.
+#: Distinct pieces between spaces, and distinct words, whose ids a worker keeps, of each so many. Fewer take less memory and more time.
 _MEMO = 300_000
 #: Boundaries that are selected at once.
 _SELECTED = 4096
@@ -58,14 +58,14 @@ _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø
 class _WordIds(dict):
     """Ids of the words that the tokenizer's pattern finds, from its model."""
 
-    def __init__(self, model):
+    def __init__(self, model, memo: int):
         super().__init__()
-        self.model = model
+        self.model, self.memo = model, memo
         self.letter = {byte: letter for letter, byte in byte_letters().items()}
 
     def __missing__(self, word: str) -> bytes:
         ids = np.array([t.id for t in self.model.tokenize("".join([self.letter[b] for b in word.encode()]))], "<u4").tobytes()
-        if len(self) >= _MEMO:
+        if len(self) >= self.memo:
             self.clear()
         self[word] = ids
         return ids
@@ -80,14 +80,15 @@ class PieceIds(dict):
     piece goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = _MEMO):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.memo = memo
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
-        self.words = _WordIds(self.tokenizer.model)
-        self.split = json.loads(self.tokenizer.to_str())["normalizer"] == _NORMALIZER
+        self.words = _WordIds(self.tokenizer.model, memo)
+        self.split = self.tokenizer.normalizer is not None and json.loads(self.tokenizer.normalizer.__getstate__()) == _NORMALIZER
 
     def __missing__(self, piece: str) -> bytes:
         if self.split and len(piece) <= 64 and "<|" not in piece and _PLAIN.fullmatch(piece):
@@ -95,7 +96,7 @@ class PieceIds(dict):
         else:
             ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) >= _MEMO:
+            if len(self) >= self.memo:
                 self.clear()
             self[piece] = ids
         return ids
@@ -106,16 +107,17 @@ class PieceIds(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
-_loaded: dict[str, PieceIds] = {}
+_loaded: dict[tuple[str, int], PieceIds] = {}
 CACHES.append(_loaded)
 
 
-def piece_ids(path: str) -> PieceIds:
-    """One for each worker process and file."""
-    if path not in _loaded:
+def piece_ids(path: str, memo: int = _MEMO) -> PieceIds:
+    """One for each worker process, the last that was asked for."""
+    if (path, memo) not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _loaded[path] = PieceIds(path)
-    return _loaded[path]
+        _loaded.clear()
+        _loaded[path, memo] = PieceIds(path, memo)
+    return _loaded[path, memo]
 
 
 def pack_block(doc_ids: list[int | None], docs: list[np.ndarray], width: int) -> bytes:
@@ -148,11 +150,11 @@ class Block:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
-    """Encodes each whole text, appends end_id and writes blocks in ascending doc_id order."""
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS, memo: int = _MEMO) -> None:
+    """Encodes each whole text, appends end_id and writes blocks in ascending doc_id order. memo: pieces and words whose ids a worker keeps."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, part, seq = piece_ids(tokenizer_path), TaskContext.get().partitionId(), 0
+        pieces, part, seq = piece_ids(tokenizer_path, memo), TaskContext.get().partitionId(), 0
         doc_ids, held, n = [], [], 0
 
         def block():
@@ -174,10 +176,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("text").rdd.getNumPartitions())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("tie"))
-    (
-        rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-        .select("doc_id", "text").mapInArrow(tidy(encode), _BLOCKS).write.mode("overwrite").parquet(path)
-    )
+    rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    with small_batches(spark):
+        rows.select("doc_id", "text").mapInArrow(tidy(encode), _BLOCKS).write.mode("overwrite").parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -211,9 +212,9 @@ def token_digest(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def write_and_digest(docs: DataFrame) -> DataFrame:
+def write_and_digest(docs: DataFrame, memo: int = _MEMO) -> DataFrame:
     work = Workspace(docs.sparkSession, "tokens")
-    write_tokens(docs, tokenizer_file(), work.path("blocks"))
+    write_tokens(docs, tokenizer_file(), work.path("blocks"), memo=memo)
     return token_digest(docs.sparkSession, work.path("blocks"))
 
 
